@@ -1,11 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct words of a chunk of the corpus (the rows of one Arrow batch) are laid
+The distinct words of a chunk of the corpus (rows of an Arrow batch, of about CHUNK_BYTES) are laid
 out as one linked sequence of symbols. An inverted index holds, for each pair of
 neighbouring symbols that a merge can join, the positions where it stands. Merges
 are applied in rank order, each at all its positions at once; only the
 neighbours that a merge touches are entered anew. Words are remembered across
-batches (at most MEMO of them), so each is replayed about once for each task.
+batches (in two memories of about MEMO each), so each is replayed about once for each task.
 
 A merge can create a pair of lower rank than its own, which then goes first. A
 word in which that happens beside another place of the same merge is encoded
@@ -28,12 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_of
 
-MEMO = 1_000_000
+MEMO = 300_000
+#: UTF-8 bytes of the texts that are replayed together.
+CHUNK_BYTES = 8_000_000
 
 _loaded: dict = {}
 
@@ -59,6 +62,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.whole = {t: np.int32(i).tobytes() for t, i in ranks.items()}
         self.size = np.zeros(max(ranks.values()) + 1, np.int32)  # bytes of each token
         for token, i in ranks.items():
             self.size[i] = len(token)
@@ -83,10 +87,11 @@ class MergeReplay:
         at[at == len(table[0])] = 0
         return np.where(table[0][at] == symbols, table[1][at], -1)
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word."""
-        ranks, size = self.ranks, self.size
-        out: list = [(ranks[w],) if w in ranks else () for w in words]
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the bytes of an int32 array."""
+        size = self.size
+        whole = self.whole.get
+        out: list = [whole(w, b"") for w in words]
         todo = [k for k, w in enumerate(words) if w and not out[k]]
         if not todo:
             return out
@@ -161,12 +166,14 @@ class MergeReplay:
                     several = word_of[i]
                     several = several[1:][several[1:] == several[:-1]]
                     alone.update(np.intersect1d(word_of[at[to < rank]], several).tolist())
-        flat = symbol[symbol >= 0].tolist()
-        ends = np.cumsum(np.bincount(word_of[symbol >= 0], minlength=len(todo))).tolist()
+        flat = symbol[symbol >= 0].astype(np.int32).tobytes()
+        ends = (np.cumsum(np.bincount(word_of[symbol >= 0], minlength=len(todo))) * 4).tolist()
         begin = 0
-        for n, (k, end) in enumerate(zip(todo, ends, strict=True)):
-            out[k] = tuple(flat[begin:end]) if n not in alone else encode_alone(words[k], ranks)
+        for k, end in zip(todo, ends, strict=True):
+            out[k] = flat[begin:end]
             begin = end
+        for n in alone:
+            out[todo[n]] = np.array(encode_alone(words[todo[n]], self.ranks), np.int32).tobytes()
         return out
 
 
@@ -188,30 +195,36 @@ class Encoder:
 
         self.replay = MergeReplay(read_ranks(rank_file))
         self.find = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}  # a piece to the ids of ' ' + piece
-
-    def _learn(self, keys: list[str]) -> list[tuple[int, ...]]:
-        words = [self.find(k) for k in keys]
-        distinct = list({w for found in words for w in found})
+        self.memo: dict[str, bytes] = {}  # a piece to the ids of ' ' + piece
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """The ids of each key, as bytes."""
+        find = self.find
+        words = [(k,) if k[1:].isalpha() and k[0] == " " else find(k) for k in keys]
+        distinct = list(set(chain.from_iterable(words)))
         ids = dict(zip(distinct, self.replay.encode([w.encode() for w in distinct]), strict=True))
-        return [ids[found[0]] if len(found) == 1 else tuple([i for w in found for i in ids[w]]) for found in words]
+        return [ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found]) for found in words]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; all texts of a call are one corpus for the replay."""
         memo = self.memo
         split = [pieces_of(text) for text in texts]
         firsts = [p[0] for p in split]
         rest = [p[1:] for p in split]
+        del split
         fresh: set[str] = set()
         for pieces in rest:
             fresh.update(set(pieces).difference(memo))
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = set().union(*rest)
+        if known := fresh.intersection(self.older):
+            memo.update([(k, self.older[k]) for k in known])
+            fresh -= known
         keys = list(fresh)
         found = self._learn([*firsts, *(" " + k for k in keys)])
         memo.update(zip(keys, found[len(firsts) :], strict=True))
-        return [list(chain(first, chain.from_iterable(map(memo.__getitem__, pieces)))) for first, pieces in zip(found, rest, strict=False)]
+        if len(memo) > MEMO:  # what isn't met again before the next change of memories is forgotten
+            self.memo, self.older = {}, memo
+        return [np.frombuffer(first + b"".join(map(memo.__getitem__, pieces)), np.int32) for first, pieces in zip(found, rest, strict=False)]
 
 
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
@@ -221,20 +234,49 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     return _loaded[key]
 
 
+def _slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows of about `most` units together, one row at least."""
+    begin, total = 0, 0
+    for k, n in enumerate(lengths.tolist()):
+        if total and total + n > most:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def _encode_batch(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    parts, ends = [np.zeros(0, np.int32)], [0]
+    for a, b in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), CHUNK_BYTES):
+        for row in encoder.encode([t or "" for t in texts[a:b].to_pylist()]):
+            parts.append(row)
+            ends.append(ends[-1] + len(row))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+
+
+def _decode_batch(vocab: dict[int, bytes], lists: pa.Array) -> pa.Array:
+    out = []
+    for ids in lists:
+        out.append(b"".join(map(vocab.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else None)
+    return pa.array(out, pa.binary())
+
+
+def _over_batches(run, types: str):
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, types)
+
+
 def encode_column(text: Column, rank_file: bytes, pattern: str) -> Column:
     """Column of arrays of token ids of a text column."""
 
     def run(batches):
-        encoder = _encoder(rank_file, pattern)
         gc.disable()  # millions of small tuples, none in a cycle
+        encoder = _encoder(rank_file, pattern)
         for texts in batches:
-            rows = encoder.encode([t or "" for t in texts.to_pylist()])
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-            flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
-            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield _encode_batch(encoder, texts)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>")(text)
+    return _over_batches(run, "array<int>")(text)
 
 
 def decode_column(ids: Column, rank_file: bytes) -> Column:
@@ -243,15 +285,26 @@ def decode_column(ids: Column, rank_file: bytes) -> Column:
     def run(batches):
         vocab = {i: b for b, i in read_ranks(rank_file).items()}
         for lists in batches:
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([len(v) if v.is_valid else 0 for v in lists]).tolist()
-            whole = [b"".join(map(vocab.__getitem__, flat[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
-            yield pa.array(whole, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False)) if lists.null_count else pa.array(whole, pa.binary())
+            yield _decode_batch(vocab, lists)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")(ids)
+    return _over_batches(run, "binary")(ids)
+
+
+def round_trip_column(text: Column, rank_file: bytes, pattern: str) -> Column:
+    """Column of structs: ids as encode_column gives them, and decoded, what decode_column makes of these ids; both in one worker."""
+
+    def run(batches):
+        gc.disable()
+        encoder = _encoder(rank_file, pattern)
+        vocab = {i: b for b, i in encoder.replay.ranks.items()}
+        for texts in batches:
+            ids = _encode_batch(encoder, texts)
+            yield pa.StructArray.from_arrays([ids, _decode_batch(vocab, ids)], ["ids", "decoded"])
+
+    return _over_batches(run, "struct<ids:array<int>,decoded:binary>")(text)
 
 
 def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, ids (array of token ids), decoded (the bytes that the ids decode to)."""
-    encoded = docs.select(docs[id_col].alias("doc_id"), encode_column(text_of(docs, text_col), rank_file, pattern).alias("ids"))
-    return encoded.select("doc_id", "ids", decode_column(F.col("ids"), rank_file).alias("decoded"))
+    both = docs.select(docs[id_col].alias("doc_id"), round_trip_column(text_of(docs, text_col), rank_file, pattern).alias("both"))
+    return both.select("doc_id", "both.ids", "both.decoded")

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media_ogg, quality_rank, token_cache
+from . import byte_bpe, media_ogg, quality_rank, secret_scan, source_mixing, token_cache, url_templates
 from .shared import durable_dir, table
 
 
@@ -38,6 +38,31 @@ def op2_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = secret_scan.secret_spans(docs, secret_scan.train(secret_scan.samples_of(docs)))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    every = F.array_sort(F.concat("base", "added"))
+    return spans.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"), secret_scan.spans_text(every).alias("spans"))
+
+
+#: The rules of op4, in the contract's order.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # A page's last number is the id of the document that it shows, whose quality label marks its URL.
+    number = F.try_element_at(F.regexp_extract_all(url_templates.path_of(pages["url"]), F.lit("[0-9]{1,18}"), F.lit(0)), F.lit(-1)).cast("bigint")
+    marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    labelled = pages.select("url", number.alias("doc_id")).join(marks, "doc_id").select("url", "label")
+    return url_templates.url_filter(pages, RULES, labelled).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_counts(table(spark, sf_dir, "documents"), max_repeats=4.0)
+
+
 def op5_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_rank.train(docs, labels.where(~quality_rank.held_out(F.col("doc_id"))))
@@ -60,6 +85,9 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_ogg": op2_media_ogg,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_url_templates": op4_url_templates,
+    "op6_source_mixing": op6_source_mixing,
     "op5_quality_rank": op5_quality_rank,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_token_cache": op10_token_cache,

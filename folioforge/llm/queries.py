@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media_ogg, quality_rank, secret_scan, source_mixing, token_cache, url_templates
+from . import ann_polytope, byte_bpe, media_ogg, ngram_join, quality_rank, secret_scan, source_mixing, token_cache, url_templates
 from .shared import durable_dir, table
 
 
@@ -26,6 +26,11 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media_ogg.ogg_media(table(spark, sf_dir, "documents"))
     got = F.col("got")
@@ -77,6 +82,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ann_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{durable_dir(spark)}/folioforge/token-counts-{uuid.uuid4().hex}"  # a cold cache: the query must not depend on earlier runs
     counts = token_cache.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cache)
@@ -84,12 +93,14 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_media_ogg": op2_media_ogg,
     "op3_secret_scan": op3_secret_scan,
     "op4_url_templates": op4_url_templates,
     "op6_source_mixing": op6_source_mixing,
     "op5_quality_rank": op5_quality_rank,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_ann_polytope": op8_ann_polytope,
     "op10_token_cache": op10_token_cache,
 }
 

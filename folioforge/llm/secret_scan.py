@@ -95,7 +95,8 @@ def samples_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     spark: SparkSession = docs.sparkSession
     number = spark.range(0, SAMPLE_RANDOM, 1, 1).select(F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256).alias("h"), "id")
     random = number.select(F.when(F.col("id") % 3 == 0, F.substring("h", 1, 40)).otherwise(F.substring(F.translate(F.base64(F.unhex("h")), "\r\n", ""), 1, 40)).alias("text"), F.lit(1).alias("label"))
-    some = docs.select(F.xxhash64(docs[id_col]).alias("h"), text_of(docs, text_col).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS)
+    chosen = docs.select(docs[id_col].alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
+    some = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
     words = some.select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}|[0-9]{4,}"), F.lit(0)).alias("w")).where("size(w) > 1")
     joined = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda x, y: F.concat(x, F.lit("_"), y))
     single = words.select(F.explode("w").alias("text"))

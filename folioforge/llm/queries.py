@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_polytope, byte_bpe, media_ogg, ngram_join, quality_rank, secret_scan, source_mixing, token_cache, url_templates
+from . import ann_polytope, byte_bpe, media_ogg, ngram_join, passage_chains, quality_rank, secret_scan, source_mixing, token_cache, url_templates
 from .shared import durable_dir, table
 
 
@@ -86,6 +86,10 @@ def op8_ann_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{durable_dir(spark)}/folioforge/token-counts-{uuid.uuid4().hex}"  # a cold cache: the query must not depend on earlier runs
     counts = token_cache.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cache)
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rank": op5_quality_rank,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_ann_polytope": op8_ann_polytope,
+    "op9_passage_chains": op9_passage_chains,
     "op10_token_cache": op10_token_cache,
 }
 

@@ -342,3 +342,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     members_out = named.join(least, "class", "left").select("doc_id", "n_shingles", "rid", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
     return members_out, spanning
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each component (the least id), all columns kept.
+
+    Rows that share an id stay or go together (they stay if one of them is its component's least), equal ones once. Rows with
+    a null id and documents without shingles stay.
+    """
+    members, _ = ngram_join(docs, id_col, text_col, **how)
+    by_id = members.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    by_id = durable(by_id.where("rows > 1 or not stays"), "decisions")
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+    gone = few(by_id.where("not stays").select(F.col("doc_id").alias(id_col)))
+    twice = by_id.where("stays").select(F.col("doc_id").alias(id_col))
+    left = docs.join(gone, id_col, "left_anti")
+    if not twice.limit(1).count():
+        return left.select(docs.columns)
+    single, several = left.join(few(twice), id_col, "left_anti"), left.join(few(twice), id_col, "left_semi")
+    return single.select(docs.columns).unionByName(several.select(docs.columns).dropDuplicates())

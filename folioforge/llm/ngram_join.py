@@ -46,7 +46,10 @@ from .components import components
 from .shared import durable, text_of
 
 WORDS, THRESHOLD = 5, 80
-BITS = 2048
+#: Bits of the bitmap of a set of up to PER_BASE tokens; twice as many for each doubling of the size.
+BITS, PER_BASE = 2048, 512
+#: Longer sets are compared by 4-byte hashes, and by 8-byte hashes where that leaves MARGIN tokens of doubt.
+LONG, MARGIN = 2048, 4
 FREQUENT_SHARE, FREQUENT_LEAST = 4096, 64
 PIVOTS = 3
 TILE = 1024
@@ -70,13 +73,26 @@ def _frequent_here(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """BITS bits as uint64 words, one set for the top bits of each token."""
-    bits = np.zeros(BITS, bool)
-    bits[(tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+def size_class(n: int) -> int:
+    """0 up to PER_BASE tokens, one more for each doubling."""
+    return max(0, (n - 1).bit_length() - PER_BASE.bit_length() + 1) if n > PER_BASE else 0
+
+
+def bitmap(tokens: np.ndarray, cls: int | None = None) -> np.ndarray:
+    """BITS << class bits as uint64 words, one set for the top bits of each token."""
+    width = BITS << (size_class(len(tokens)) if cls is None else cls)
+    bits = np.zeros(width, bool)
+    bits[(tokens >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a smaller width: neighbouring bits are joined."""
+    while len(bits) > words:
+        bits = np.packbits(np.unpackbits(bits.view(np.uint8)).reshape(-1, 2).any(1)).view(np.uint64)
+    return bits
+
+
 def set_id(tokens: np.ndarray) -> int:
     """A 64-bit hash of a set."""
     h = wordhash.mix(np.array([wordhash.mix(tokens ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64))
@@ -109,12 +125,19 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, threshold: int, frequ
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(rid, shingles) of each text that has any."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int, short: bool) -> Iterator[pa.RecordBatch]:
+    """(rid, n, shingles) of each text that has any; with short, 4 bytes each where there are more than LONG."""
     for batch in batches:
         for _, texts in wordhash.slices(batch.column(0), SLICE):
             sets = [s for s in wordhash.shingle_sets(texts, k) if len(s)]
-            yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "shingles"])
+            held = [_short(s).tobytes() if short and len(s) > LONG else s.tobytes() for s in sets]
+            yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(held, pa.binary())], ["rid", "n", "shingles"])
+
+
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """The distinct top halves of sorted tokens."""
+    x = (tokens >> np.uint64(32)).astype(np.uint32)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
 def links(overlap, a, b, threshold: int):
@@ -126,28 +149,44 @@ def possible_overlap(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_
     return np.minimum(n_a - np.bitwise_count(bits_a & ~bits_b).sum(1, dtype=np.int64), n_b - np.bitwise_count(bits_b & ~bits_a).sum(1, dtype=np.int64))
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _may_link(threshold: int):
     def run(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        if not len(n_a):
-            return pa.array([], pa.bool_())
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(n_a), -1) for c in (bits_a, bits_b))
-        m, n = n_a.to_numpy(zero_copy_only=False), n_b.to_numpy(zero_copy_only=False)
-        return pa.array(links(possible_overlap(x, y, m, n), m, n, threshold))
+        out = []
+        for x, y, m, n in zip(bits_a, bits_b, n_a.to_pylist(), n_b.to_pylist(), strict=True):
+            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            words = min(len(u), len(v))
+            u, v = folded(u, words)[None], folded(v, words)[None]
+            out.append(bool(links(possible_overlap(u, v, np.array([m]), np.array([n]))[0], m, n, threshold)))
+        return pa.array(out, pa.bool_())
 
     run.__annotations__ = dict.fromkeys(("bits_a", "bits_b", "n_a", "n_b", "return"), pa.Array)
     return F.arrow_udf(run, "boolean")
 
 
 def _do_link(threshold: int):
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+    """1 where two sets link, 0 where they don't, null where 4-byte hashes leave it open."""
+
+    def run(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            out.append(bool(links(len(u) + len(v) - len(np.union1d(u, v)), len(u), len(v), threshold)))
-        return pa.array(out, pa.bool_())
+        for x, y, m, n in zip(a, b, n_a.to_pylist(), n_b.to_pylist(), strict=True):
+            u, v = (np.frombuffer(z.as_buffer(), np.uint64 if len(z.as_buffer()) == 8 * size else np.uint32) for z, size in ((x, m), (y, n)))
+            if u.dtype == v.dtype == np.uint64:
+                out.append(int(links(common(u, v), m, n, threshold)))
+                continue
+            o = common(*(z if z.dtype == np.uint32 else _short(z) for z in (u, v)))
+            sure, never = links(o - MARGIN, m, n, threshold), not links(o + MARGIN, m, n, threshold)
+            out.append(1 if sure else 0 if never else None)
+        return pa.array(out, pa.int32())
 
-    run.__annotations__ = dict.fromkeys(("a", "b", "return"), pa.Array)
-    return F.arrow_udf(run, "boolean")
+    run.__annotations__ = dict.fromkeys(("a", "b", "n_a", "n_b", "return"), pa.Array)
+    return F.arrow_udf(run, "int")
 
 
 class Trees:
@@ -211,7 +250,7 @@ class Trees:
 
 
 def _traverse(batches: Iterator[pa.RecordBatch], threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, side, rid, n, c, bits or shingles) in order of unit: flagged sets (unit, rid), or links (a, b) with exact."""
+    """Rows (unit, cls, side, rid, n, c, bits or shingles) in order of unit: flagged sets (unit, rid), or links (a, b) with exact."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -222,14 +261,21 @@ def _traverse(batches: Iterator[pa.RecordBatch], threshold: int, exact: bool) ->
             unit = whole["unit"].to_numpy()
             cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
             if cut:
-                yield from _traverse_units(whole.slice(0, cut), threshold, exact)
+                yield from _by_class(whole.slice(0, cut), threshold, exact)
                 held = whole.slice(cut).combine_chunks().to_batches()
                 size = len(whole) - cut
     if size:
-        yield from _traverse_units(pa.Table.from_batches(held).combine_chunks(), threshold, exact)
+        yield from _by_class(pa.Table.from_batches(held).combine_chunks(), threshold, exact)
 
 
-def _traverse_units(rows: pa.Table, threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:
+def _by_class(rows: pa.Table, threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Units of one class together: their bitmaps have one width."""
+    cls = rows["cls"].to_numpy()
+    for c in np.unique(cls).tolist():
+        yield from _traverse_units(rows.filter(pa.array(cls == c)).combine_chunks(), c, threshold, exact)
+
+
+def _traverse_units(rows: pa.Table, cls: int, threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:
     unit, side, n = rows["unit"].to_numpy(), rows["side"].to_numpy().astype(np.int64), rows["n"].to_numpy()
     number = np.unique(unit, return_inverse=True)[1]
     root = number * 2 + side
@@ -238,9 +284,11 @@ def _traverse_units(rows: pa.Table, threshold: int, exact: bool) -> Iterator[pa.
     rid, c = rows["rid"].to_numpy()[order], rows["c"].to_numpy()[order]
     if exact:
         sets = [np.frombuffer(rows["shingles"][int(i)].as_py(), np.uint64) for i in order]
-        bits = np.stack([bitmap(s) for s in sets])
+        bits = np.stack([bitmap(s, cls) for s in sets])
     else:
-        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(rows), -1)[order]
+        words = (BITS << cls) // 64
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["bits"].chunk(0)]
+        bits = np.stack([folded(held[int(i)], words) for i in order])
     trees = Trees(root, n, c, bits)
     there = set(root.tolist())
     roots = [(2 * u, 2 * u + 1) if 2 * u + 1 in there else (2 * u, 2 * u) for u in np.unique(number).tolist() if 2 * u in there]
@@ -260,7 +308,7 @@ def _traverse_units(rows: pa.Table, threshold: int, exact: bool) -> Iterator[pa.
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
             u = int(unit[i])
             p, q = find((u, int(c[i]))), find((u, int(c[j])))
-            if p != q and links(len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), threshold):
+            if p != q and links(common(sets[i], sets[j]), len(sets[i]), len(sets[j]), threshold):
                 parent[p] = q
                 a.append(int(rid[i]))
                 b.append(int(rid[j]))
@@ -281,14 +329,31 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     return np.sort(rows["token"].to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
 
-def _with_sets(wanted: DataFrame, signed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(rid, shingles) of the rids in wanted (distinct), from one document of each."""
+def _with_sets(wanted: DataFrame, signed: DataFrame, texts: DataFrame, k: int, short: bool) -> DataFrame:
+    """(rid, n, shingles) of the rids in wanted (distinct), from one document of each; a few others may come along."""
     sources = durable(signed.join(wanted, "rid", "left_semi").groupBy("rid").agg(F.min("doc_id").alias("doc_id")), "sources")
     ids = sources.where("doc_id is not null").select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    named = texts.where("doc_id is not null").join(ids, "doc_id", "left_semi").select("text")
-    sets = named.unionByName(texts.where("doc_id is null").select("text")).mapInArrow(lambda b: _sets(b, k), "rid bigint, shingles binary")
-    return durable(sets.join(wanted, "rid", "left_semi").groupBy("rid").agg(F.first("shingles").alias("shingles")), "sets")
+    made = lambda df: df.select("text").mapInArrow(lambda b: _sets(b, k, short), "rid bigint, n bigint, shingles binary")
+    named = made(texts.where("doc_id is not null").join(ids, "doc_id", "left_semi"))
+    return durable(named.unionByName(made(texts.where("doc_id is null")).dropDuplicates(["rid"])), "sets")
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of sets that link."""
+
+    def judged(pairs: DataFrame, short: bool) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        sets = _with_sets(wanted, signed, texts, k, short)
+        side = lambda c, x, n: sets.select(F.col("rid").alias(c), F.col("shingles").alias(x), F.col("n").alias(n))
+        both = pairs.join(side("a", "x", "n_x"), "a").join(side("b", "y", "n_y"), "b")
+        return durable(both.select("a", "b", _do_link(threshold)(F.col("x"), F.col("y"), F.col("n_x"), F.col("n_y")).alias("link")), "judged")
+
+    first = judged(pairs, True)
+    found, open_ = first.where("link = 1").select("a", "b"), first.where("link is null").select("a", "b").distinct()
+    if open_.limit(1).count():
+        found = found.unionByName(judged(open_, False).where("link = 1").select("a", "b"))
+    return durable(found.distinct(), "verified")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: int = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -300,21 +365,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = durable(texts.mapInArrow(lambda b: _signatures(b, k, threshold, frequent.value), "doc_id bigint, rid bigint, n bigint, bits binary, tokens array<bigint>"), "signatures")
 
     entered = signed.where("rid is not null").select("rid", "n", F.explode("tokens").alias("token"))
-    by_order = F.xxhash64("rid", F.pmod("token", F.lit(PIVOTS)))
-    stats = entered.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min_by(F.struct("rid", "n"), by_order).alias("pivot")).where("lo <> hi")
-    members = durable(entered.join(stats.select("token", "pivot"), "token").groupBy("token", "rid").agg(F.first("n").alias("n"), F.first("pivot").alias("pivot")), "members")
+    stats = entered.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("token")
+    members = durable(entered.join(stats, "token").groupBy("token", "rid").agg(F.first("n").alias("n")), "members")
 
     # Pivots
-    pairs = members.select("rid", "n", "pivot").where("rid <> pivot.rid").groupBy(F.col("rid").alias("a"), F.col("pivot.rid").alias("b")).agg(F.first("n").alias("n_a"), F.first("pivot.n").alias("n_b"))
+    by_order = F.xxhash64("rid", F.pmod("token", F.lit(PIVOTS)))
+    pivots = members.groupBy("token").agg(F.min_by(F.struct("rid", "n"), by_order).alias("pivot"))
+    pairs = members.join(pivots, "token").where("rid <> pivot.rid").groupBy(F.col("rid").alias("a"), F.col("pivot.rid").alias("b")).agg(F.first("n").alias("n_a"), F.first("pivot.n").alias("n_b"))
     near = pairs.where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
     bits = signed.where("rid is not null").groupBy("rid").agg(F.first("bits").alias("bits"))
     bits = durable(bits.join(members.select("rid").distinct(), "rid", "left_semi"), "bits")
     both = near.join(bits.select(F.col("rid").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("rid").alias("b"), F.col("bits").alias("bits_b")), "b")
     likely = durable(both.where(_may_link(threshold)(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"), "likely")
-    wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
-    sets = _with_sets(wanted, signed, texts, k)
-    held = likely.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-    first = durable(held.where(_do_link(threshold)(F.col("x"), F.col("y"))).select("a", "b"), "first")
+    first = _verified(likely, signed, texts, k, threshold)
     contracted = components(first)
 
     # Signature trees, over blocks that hold several components
@@ -325,14 +388,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tiles = F.ceil(F.col("m") / tile).cast("int")
     own = labelled.join(blocks.select("token", tiles.alias("tiles")), "token").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    size = F.greatest(F.lit(0), F.length(F.bin(F.col("n") - 1)) - (PER_BASE.bit_length() - 1))
+    # A set meets sets of its own class of sizes and of the next ones; the smaller class gives a unit its bitmap's width.
+    classes = F.explode(F.when(size > 0, F.array(size, size - 1)).otherwise(F.array(size)))
     units = own.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other"), "side": F.when(F.col("tile") <= F.col("other"), 0).otherwise(1)})
-    units = units.select(F.xxhash64("token", "i", "j").alias("unit"), "side", "rid", "n", "c")
-    units = durable(units, "units")
+    units = units.withColumn("cls", classes).select(F.xxhash64("token", "i", "j", "cls").alias("unit"), "cls", "side", "rid", "n", "c")
+    mixed = units.groupBy("unit").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("unit")
+    units = durable(units.join(mixed, "unit", "left_semi"), "units")
     placed = lambda df: df.repartition("unit").sortWithinPartitions("unit")
-    flagged = placed(units.join(bits, "rid").select("unit", "side", "rid", "n", "c", "bits")).mapInArrow(lambda b: _traverse(b, threshold, False), "unit bigint, rid bigint")
+    flagged = placed(units.join(bits, "rid").select("unit", "cls", "side", "rid", "n", "c", "bits")).mapInArrow(lambda b: _traverse(b, threshold, False), "unit bigint, rid bigint")
     flagged = durable(flagged.distinct(), "flagged")
-    more = _with_sets(flagged.select("rid").distinct(), signed, texts, k)
-    whole = units.join(flagged, ["unit", "rid"], "left_semi").join(more, "rid").select("unit", "side", "rid", "n", "c", "shingles")
+    more = _with_sets(flagged.select("rid").distinct(), signed, texts, k, False).select("rid", "shingles").dropDuplicates(["rid"])
+    whole = units.join(flagged, ["unit", "rid"], "left_semi").join(more, "rid").select("unit", "cls", "side", "rid", "n", "c", "shingles")
     second = durable(placed(whole).mapInArrow(lambda b: _traverse(b, threshold, True), "a bigint, b bigint"), "second")
 
     spanning = first.unionByName(second)

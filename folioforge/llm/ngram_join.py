@@ -55,7 +55,9 @@ PIVOTS = 3
 TILE = 1024
 FAN = 8
 #: UTF-8 bytes of the texts that are hashed together.
-SLICE = 8_000_000
+SLICE = 2_000_000
+#: Shingles that are counted together in a worker before the counts go on.
+COUNTED = 4_000_000
 #: Rows of ids that are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
@@ -64,13 +66,24 @@ BROADCAST_IDS = 2_000_000
 
 
 def _frequent_here(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(token, n): tokens of three or more different sets among the texts of a slice."""
+    """(token, n): tokens of three or more different sets among texts of about COUNTED shingles together."""
+
+    def often(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(list(sets.values()) or [np.zeros(0, np.uint64)]), return_counts=True)
+        return pa.record_batch([pa.array(token[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["token", "n"])
+
+    held: dict[int, np.ndarray] = {}
+    size = 0
     for batch in batches:
         for _, texts in wordhash.slices(batch.column(0), SLICE):
-            sets = {s.tobytes(): s for s in wordhash.shingle_sets(texts, k)}
-            token, n = np.unique(np.concatenate(list(sets.values()) or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = n >= 3
-            yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+            for s in wordhash.shingle_sets(texts, k):
+                if len(s) and (key := set_id(s)) not in held:
+                    held[key] = s
+                    size += len(s)
+            if size >= COUNTED:
+                yield often(held)
+                held, size = {}, 0
+    yield often(held)
 
 
 def size_class(n: int) -> int:

@@ -34,6 +34,7 @@ table gives an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ BITS, PER_BASE = 2048, 512
 #: Longer sets are compared by 4-byte hashes, and by 8-byte hashes where that leaves MARGIN tokens of doubt.
 LONG, MARGIN = 2048, 4
 FREQUENT_SHARE, FREQUENT_LEAST = 4096, 64
-PIVOTS = 3
+PIVOTS = 2
 TILE = 1024
 FAN = 8
 #: UTF-8 bytes of the texts that are hashed together.
@@ -401,13 +402,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tiles = F.ceil(F.col("m") / tile).cast("int")
     own = labelled.join(blocks.select("token", tiles.alias("tiles")), "token").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    size = F.greatest(F.lit(0), F.length(F.bin(F.col("n") - 1)) - (PER_BASE.bit_length() - 1))
-    # A set meets sets of its own class of sizes and of the next ones; the smaller class gives a unit its bitmap's width.
-    classes = F.explode(F.when(size > 0, F.array(size, size - 1)).otherwise(F.array(size)))
+    # Sets that can link are in the same or neighbouring steps of size; each meets its own step and the next in one unit.
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / threshold)).cast("int")
     units = own.withColumn("other", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other"), "side": F.when(F.col("tile") <= F.col("other"), 0).otherwise(1)})
-    units = units.withColumn("cls", classes).select(F.xxhash64("token", "i", "j", "cls").alias("unit"), "cls", "side", "rid", "n", "c")
-    mixed = units.groupBy("unit").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("unit")
-    units = durable(units.join(mixed, "unit", "left_semi"), "units")
+    units = units.withColumn("step", F.explode(F.array(step, step - 1))).select(F.xxhash64("token", "i", "j", "step").alias("unit"), "side", "rid", "n", "c")
+    size = F.greatest(F.lit(0), F.length(F.bin(F.min("n") - 1)) - (PER_BASE.bit_length() - 1))
+    mixed = units.groupBy("unit").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), size.alias("cls")).where("c0 <> c1").select("unit", "cls")
+    units = durable(units.join(mixed, "unit"), "units")
     placed = lambda df: df.repartition("unit").sortWithinPartitions("unit")
     flagged = placed(units.join(bits, "rid").select("unit", "cls", "side", "rid", "n", "c", "bits")).mapInArrow(lambda b: _traverse(b, threshold, False), "unit bigint, rid bigint")
     flagged = durable(flagged.distinct(), "flagged")

@@ -10,7 +10,7 @@ streams by serial number and derives timestamps from granule positions.
 Defined cases: a null text is the empty text; the empty text is one block of
 64 zero bytes; equal texts give equal files. A page with a wrong checksum is
 counted in `bad_pages` and skipped, the reader looks for the next capture
-pattern, and a packet with a missing part is dropped and counted in `lost_packets`.
+pattern, and a packet with a missing part is dropped; `lost_packets` counts these and gaps in page numbers.
 A null media value is an empty file. A file without a sample stream has an
 empty payload.
 
@@ -115,7 +115,7 @@ def demux(media: bytes) -> dict:
         pages, at = pages + 1, end
         s = streams.setdefault(serial, {"packets": [], "next": number, "open": None, "granule": 0, "ended": False})
         if number != s["next"]:
-            lost += s["open"] is not None
+            lost += 1  # pages are missing, and with them a packet at least
             s["open"] = None
         s["next"], skip = number + 1, False
         if flags & CONTINUED:

@@ -43,10 +43,15 @@ def op2_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _equals(k: int):
+    return lambda x: x == k
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     spans = secret_scan.secret_spans(docs, secret_scan.train(secret_scan.samples_of(docs)))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _equals(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
     every = F.array_sort(F.concat("base", "added"))
     return spans.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("base")), 256).alias("base_sha256"), secret_scan.spans_text(every).alias("spans"))
 

@@ -14,7 +14,7 @@ scanning needs no shuffle, and no text is cut.
 Defined cases: a null text is the empty text and has no spans; places count code
 points from 0, ends are exclusive; equal starts are ordered by kind as listed; a run
 that overlaps a rule's span isn't judged again. Samples with a null text or label are
-left out; with no samples of a kind its model is uniform.
+left out; with no samples of a kind its model is uniform. Rare contexts lean on the frequencies of single characters.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def _code(c: Column) -> Column:
     return F.instr(F.lit(ALPHABET), c)
 
 
-def train(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 10.0) -> list[float]:
     """Log-ratios log P(b | a, random) - log P(b | a, ordinary), row by row of a (0: the start).
 
     samples: text and label (1 random, 0 ordinary). At most 2 * WIDTH ** 2 counts reach the driver.
@@ -84,9 +84,10 @@ def train(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
     counts = {(r.label, r.a, r.b): r.n for r in steps.select("label", a.alias("a"), b.alias("b")).groupBy("label", "a", "b").agg(F.count("*").alias("n")).collect()}
     logs = []
     for label in (1, 0):
-        for x in range(WIDTH):
-            row = [counts.get((label, x, y), 0) + smoothing for y in range(WIDTH)]
-            logs.append([math.log(v / sum(row)) for v in row])
+        rows = [[counts.get((label, x, y), 0) for y in range(WIDTH)] for x in range(WIDTH)]
+        alone = [sum(row[y] for row in rows) + 0.5 for y in range(WIDTH)]  # characters whatever stands before, for rare contexts
+        alone = [v / sum(alone) for v in alone]
+        logs += [[math.log((n + smoothing * p) / (sum(row) + smoothing)) for n, p in zip(row, alone, strict=True)] for row in rows]
     return [r - o for x in range(WIDTH) for r, o in zip(logs[x], logs[WIDTH + x], strict=True)]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, catalog, concepts, retrieval, structure
+from .tables import at_rest
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,9 @@ class Engine:
     def structure(blocks: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
         """Nodes and chunks of layout blocks."""
         clean = blocks.withColumn("text", F.trim("text")).where("text <> ''")
-        nodes = structure.build_tree(structure.detect_headings(clean), settings.id_mode)
-        return nodes, structure.chunk_pages(structure.page_texts(nodes))
+        headed = at_rest(structure.detect_headings(clean), "blocks")
+        nodes = at_rest(structure.build_tree(headed, settings.id_mode), "nodes")
+        return nodes, at_rest(structure.chunk_pages(structure.page_texts(nodes)), "chunks")
 
     def ingest(self, files: DataFrame, blocks: Callable[[DataFrame], DataFrame], force: bool = False) -> Engine:
         """The engine with new files in it; those that are there already (same content and session) are skipped unless forced."""
@@ -77,7 +79,7 @@ class Engine:
         """Ranked evidence of questions (query_id, question, session_id): lexical hits, their tree context, all small sessions' nodes
         where nothing hit, re-ranked: query_id, question, rank, score, node_id, title, text, ..."""
         s, nodes = self.settings, self.scoped_nodes()
-        hits = retrieval.lexical(nodes, queries, s.lexical_k, s.signals, s.scope)
+        hits = at_rest(retrieval.lexical(nodes, queries, s.lexical_k, s.signals, s.scope), "hits")
         placed = structure.expand(nodes, hits, s.expand_depth).join(nodes.where("trim(text) <> '' or title is not null").select("node_id"), "node_id", "left_semi")
         small = nodes.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") <= s.full_scan_nodes).select("session_id")
         empty = queries.join(hits.select("query_id"), "query_id", "left_anti").join(small, "session_id", "left_semi")
@@ -96,7 +98,7 @@ class Engine:
         of = lambda *kinds: typed.where(F.col("query_type").isin(*kinds))
 
         def hit_rows(q: DataFrame, k: int) -> DataFrame:
-            h = retrieval.lexical(nodes, q, k, s.signals, s.scope)
+            h = at_rest(retrieval.lexical(nodes, q, k, s.signals, s.scope), "hits")
             return h.select("query_id", "node_id", F.col("score").alias("hit"), F.col("rank").alias("place"), F.lit(False).alias("in_tree"))
 
         fast = retrieval.rank_fast_fact(self.candidates(hit_rows(of("fast_fact"), 4 * s.final_k), typed), s.final_k)
@@ -129,7 +131,7 @@ class Engine:
     def ask(self, queries: DataFrame, generate: Callable[[Column], Column] | None = None) -> DataFrame:
         """query_id, question, answer, answerable, strategy, node_id, file_name, excerpt of questions (query_id, question, session_id)."""
         s = self.settings
-        evidence = self.retrieve(queries).where((F.col("rank") <= s.final_k) & (F.trim("text") != ""))
+        evidence = at_rest(self.retrieve(queries).where((F.col("rank") <= s.final_k) & (F.trim("text") != "")), "evidence")
         passed = retrieval.gate(evidence, s.gate_least).where("passed").select("query_id")
         fit = evidence.join(passed, "query_id", "left_semi")
         out = answer.extractive(queries, fit)

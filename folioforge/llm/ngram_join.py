@@ -16,9 +16,9 @@ filter below only drops pairs that cannot link.
    of a tree whose nodes hold the OR of their token bitmaps, the range of their sizes
    and components. Two trees are traversed together; a pair of nodes is pruned when
    sizes are too far apart, when all is one component, or when the largest possible
-   overlap (common bits and the hash excess, or the sizes) is too small. A first traversal uses
-   bitmaps alone and names the sets that still have a partner; a second has their
-   shingles and keeps a spanning forest of exact links for each pair of tiles.
+   overlap (common bits and the hash excess, or the sizes) is too small. The pairs of sets that are left are
+   verified once each; a unit with more than PAIRS of them for each set is traversed again with
+   its shingles and keeps a spanning forest of exact links.
 4. Components of all links.
 
 What is shuffled: prefix tokens with ids (a fifth of the shingles), bitmaps and
@@ -48,13 +48,15 @@ from .shared import durable, text_of
 
 WORDS, THRESHOLD = 5, 80
 #: Bits of the bitmap of a set of up to PER_BASE tokens; twice as many for each doubling of the size.
-BITS, PER_BASE = 2048, 512
+BITS, PER_BASE = 1024, 512
 #: Longer sets are compared by 4-byte hashes, and by 8-byte hashes where that leaves MARGIN tokens of doubt.
 LONG, MARGIN = 2048, 4
 FREQUENT_SHARE, FREQUENT_LEAST = 4096, 64
 PIVOTS = 2
 TILE = 1024
 FAN = 8
+#: Pairs that a unit hands on for each of its sets; a unit with more of them keeps a spanning forest instead.
+PAIRS = 4
 #: UTF-8 bytes of the texts that are hashed together.
 SLICE = 2_000_000
 #: Shingles that are counted together in a worker before the counts go on.
@@ -264,7 +266,8 @@ class Trees:
 
 
 def _traverse(batches: Iterator[pa.RecordBatch], threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, cls, side, rid, n, c, bits or shingles) in order of unit: flagged sets (unit, rid), or links (a, b) with exact."""
+    """Rows (unit, cls, side, rid, n, c, bits or shingles) in order of unit: candidates (unit, a, b), or sets (unit, a) of units
+    with many of them; with exact, links (a, b)."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -306,7 +309,9 @@ def _traverse_units(rows: pa.Table, cls: int, threshold: int, exact: bool) -> It
     trees = Trees(root, n, c, bits)
     there = set(root.tolist())
     roots = [(2 * u, 2 * u + 1) if 2 * u + 1 in there else (2 * u, 2 * u) for u in np.unique(number).tolist() if 2 * u in there]
-    flagged = np.zeros(len(rid), bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    flagged, many = np.zeros(len(rid), bool), np.zeros(len(rid), np.int64)
+    place, size = np.unique(unit, return_inverse=True)[1], np.unique(unit, return_counts=True)[1]  # many: by a unit's place, pairs so far
     parent: dict[tuple[int, int], tuple[int, int]] = {}
 
     def find(x: tuple[int, int]) -> tuple[int, int]:
@@ -318,6 +323,9 @@ def _traverse_units(rows: pa.Table, cls: int, threshold: int, exact: bool) -> It
     for x, y in trees.pairs(roots, threshold):
         if not exact:
             flagged[x] = flagged[y] = True
+            many[: len(size)] += np.bincount(place[x], minlength=len(size))
+            few = many[place[x]] <= PAIRS * size[place[x]]
+            found.append((x[few], y[few]))
             continue
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
             u = int(unit[i])
@@ -329,7 +337,11 @@ def _traverse_units(rows: pa.Table, cls: int, threshold: int, exact: bool) -> It
     if exact:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     else:
-        yield pa.record_batch([pa.array(unit[flagged], pa.int64()), pa.array(rid[flagged], pa.int64())], ["unit", "rid"])
+        dense = many[place] > PAIRS * size[place]
+        x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64) for i in (0, 1))
+        sparse = ~dense[x]
+        x, y, z = x[sparse], y[sparse], np.flatnonzero(flagged & dense)
+        yield pa.record_batch([pa.array(np.concatenate((unit[x], unit[z])), pa.int64()), pa.array(np.concatenate((rid[x], rid[z])), pa.int64()), pa.concat_arrays([pa.array(rid[y], pa.int64()), pa.nulls(len(z), pa.int64())])], ["unit", "a", "b"])
 
 
 # The plan
@@ -410,11 +422,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = units.groupBy("unit").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), size.alias("cls")).where("c0 <> c1").select("unit", "cls")
     units = durable(units.join(mixed, "unit"), "units")
     placed = lambda df: df.repartition("unit").sortWithinPartitions("unit")
-    flagged = placed(units.join(bits, "rid").select("unit", "cls", "side", "rid", "n", "c", "bits")).mapInArrow(lambda b: _traverse(b, threshold, False), "unit bigint, rid bigint")
-    flagged = durable(flagged.distinct(), "flagged")
-    more = _with_sets(flagged.select("rid").distinct(), signed, texts, k, False).select("rid", "shingles").dropDuplicates(["rid"])
-    whole = units.join(flagged, ["unit", "rid"], "left_semi").join(more, "rid").select("unit", "cls", "side", "rid", "n", "c", "shingles")
-    second = durable(placed(whole).mapInArrow(lambda b: _traverse(b, threshold, True), "a bigint, b bigint"), "second")
+    candidates = placed(units.join(bits, "rid").select("unit", "cls", "side", "rid", "n", "c", "bits")).mapInArrow(lambda b: _traverse(b, threshold, False), "unit bigint, a bigint, b bigint")
+    candidates = durable(candidates, "candidates")
+    pairs = candidates.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = _verified(durable(pairs, "pairs"), signed, texts, k, threshold)
+    flagged = candidates.where("b is null").select("unit", F.col("a").alias("rid")).distinct()
+    if flagged.limit(1).count():
+        more = _with_sets(flagged.select("rid").distinct(), signed, texts, k, False).select("rid", "shingles").dropDuplicates(["rid"])
+        whole = units.join(flagged, ["unit", "rid"], "left_semi").join(more, "rid").select("unit", "cls", "side", "rid", "n", "c", "shingles")
+        second = second.unionByName(durable(placed(whole).mapInArrow(lambda b: _traverse(b, threshold, True), "a bigint, b bigint"), "forest"))
 
     spanning = first.unionByName(second)
     final = components(spanning)

@@ -91,7 +91,7 @@ def test_possible_overlap_is_a_bound():
         a, b = (np.sort(rng.choice(pool, n, replace=False)) for _ in range(2))
         x, y = ngram_join.bitmap(a)[None], ngram_join.bitmap(b)[None]
         assert ngram_join.possible_overlap(x, y, np.array([n]), np.array([n]))[0] >= ngram_join.common(a, b) == len(np.intersect1d(a, b))
-        assert (ngram_join.folded(ngram_join.bitmap(a, 3), 2048 // 64) == ngram_join.bitmap(a, 0)).all()
+        assert (ngram_join.folded(ngram_join.bitmap(a, 3), ngram_join.BITS // 64) == ngram_join.bitmap(a, 0)).all()
 
 
 def test_components(spark):

@@ -44,7 +44,7 @@ def tokens(t: Column) -> Column:
 
 def unify_breaks(t: Column) -> Column:
     """Every line break as one line feed."""
-    return F.regexp_replace(t, "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]", "\n")
+    return F.regexp_replace(t, r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", "\n")
 
 
 def paragraphs(t: Column) -> Column:

@@ -253,3 +253,23 @@ def merge_ordered(first: DataFrame, second: DataFrame) -> DataFrame:
     both = first.select("query_id", "node_id", F.lit(0).alias("side"), "place").unionByName(second.select("query_id", "node_id", F.lit(1).alias("side"), "place"))
     once = both.groupBy("query_id", "node_id").agg(F.min(F.struct("side", "place")).alias("at"))
     return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "node_id"))).select("query_id", "node_id", "place")
+
+
+def preorder(nodes: DataFrame, depth: int = 4) -> DataFrame:
+    """(document_id, node_id, place): nodes depth first, the root first."""
+    roots = nodes.where("parent_id is null").select("document_id", F.col("node_id").alias("ancestor_id"))
+    below = roots.join(descendants(nodes, depth), "ancestor_id").select("document_id", "node_id", "path")
+    top = roots.select("document_id", F.col("ancestor_id").alias("node_id"), F.array().cast(below.schema["path"].dataType).alias("path"))
+    order = Window.partitionBy("document_id").orderBy("path", "node_id")
+    return top.unionByName(below).select("document_id", "node_id", (F.row_number().over(order) - 1).alias("place"))
+
+
+def summary(text: Column, n: int = 300) -> Column:
+    """The first two sentences, so many characters at most."""
+    return F.substring(F.array_join(F.slice(T.sentences(text), 1, 2), " "), 1, n)
+
+
+def batches(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """df with batch: consecutive rows in groups of n, counted within each of order's first column."""
+    w = Window.partitionBy(order[0]).orderBy(*order[1:])
+    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / n))

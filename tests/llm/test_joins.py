@@ -221,6 +221,26 @@ def test_passages(spark):
     assert got[11].partner_id == 5 and passage_chains.repeated(docs.limit(0)).count() == 0
 
 
+def test_passages_behind_long_edits(spark):
+    """Replaced, inserted and deleted stretches of 7 to 14 words end no passage behind them; the shorter part is bridged where the whole is alike enough."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**8)}" for _ in range(n)]
+    parts = [fresh(n) for n in (30, 300, 60, 300, 40, 40, 100)]
+    a = [*parts[0], *fresh(10), *parts[1]]
+    b = [*parts[0], *fresh(10), *parts[1]]
+    c = [*parts[2], *fresh(9), *parts[3]]
+    d = [*parts[2], *parts[3]]
+    e = [*parts[4], *fresh(10), *parts[5]]
+    f = [*parts[4], *fresh(10), *parts[5]]
+    g = [*parts[6], *(w for i in range(14) for w in [*fresh(3), f"z{i}", f"zz{i}", f"zzz{i}"])]
+    h = [*parts[6], *(w for i in range(14) for w in [*fresh(3), f"z{i}", f"zz{i}", f"zzz{i}"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((a, b, c, d, e, f, g, h))], "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(map(int, s.split(":"))) for s in r.spans.split(",")] for r in passage_chains.repeated(docs).collect()}
+    assert got[0] == got[1] == [(0, 340)] and got[2] == [(0, 369)] and got[3] == [(0, 360)]
+    assert got[4] == got[5] == [(0, 90)]
+    assert got[6] == got[7] and got[6][0][0] == 0 and 100 <= got[6][0][1] < 160
+
+
 def test_op9_finds_exact_passages(spark, sf):
     seen, shared = {}, set()
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():

@@ -5,7 +5,8 @@ out as one linked sequence of symbols. An inverted index holds, for each pair of
 neighbouring symbols that a merge can join, the positions where it stands. Merges
 are applied in rank order, each at all its positions at once; only the
 neighbours that a merge touches are entered anew. Words are remembered across
-batches (in two memories of about MEMO each), so each is replayed about once for each task.
+batches (in two memories of about MEMO each), so each is replayed about once for each task. The memories
+go with the task; a worker keeps only the tables of the vocabulary.
 
 A merge can create a pair of lower rank than its own, which then goes first. A
 word in which that happens beside another place of the same merge is encoded
@@ -13,18 +14,21 @@ alone instead, so each word sees the same merges in the same order either way. A
 vocabulary is one token without merges, as in the tiktoken library.
 
 Defined cases: null is the empty text, which has no tokens; ids without a token
-and null id lists decode to an error and to null. Rows are independent: no
+and null id lists decode to an error and to null; repeated rows each give a row, null
+ids are kept, an empty table gives an empty result, extra columns are left out. Rows are independent: no
 shuffle, memory bounded by a batch, a lost task is simply run again.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import heapq
 import re
-from itertools import chain
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import bounded_batches, text_of
 
-MEMO = 300_000
+MEMO = 120_000
 #: UTF-8 bytes of the texts that are replayed together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 3_000_000
 
 _loaded: dict = {}
 
@@ -190,10 +194,10 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Encoder:
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, replay: MergeReplay, pattern: str):
         import regex
 
-        self.replay = MergeReplay(read_ranks(rank_file))
+        self.replay = replay
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}  # a piece to the ids of ' ' + piece
         self.older: dict[str, bytes] = {}
@@ -227,11 +231,24 @@ class Encoder:
         return [np.frombuffer(first + b"".join(map(memo.__getitem__, pieces)), np.int32) for first, pieces in zip(found, rest, strict=False)]
 
 
-def _encoder(rank_file: bytes, pattern: str) -> Encoder:
-    key = (hash(rank_file), pattern)
+@contextmanager
+def _task(rank_file: bytes, pattern: str) -> Iterator[Encoder]:
+    """An encoder for one task. What it has learnt is given back to the system at the end: the worker goes on to other tasks."""
+    key = hash(rank_file)
     if key not in _loaded:
-        _loaded[key] = Encoder(rank_file, pattern)
-    return _loaded[key]
+        _loaded.clear()
+        _loaded[key] = MergeReplay(read_ranks(rank_file))
+    encoder = Encoder(_loaded[key], pattern)
+    gc.disable()  # millions of small tuples, none in a cycle
+    try:
+        yield encoder
+    finally:
+        encoder.memo.clear()
+        encoder.older.clear()
+        gc.enable()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def _slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -271,10 +288,9 @@ def encode_column(text: Column, rank_file: bytes, pattern: str) -> Column:
     """Column of arrays of token ids of a text column."""
 
     def run(batches):
-        gc.disable()  # millions of small tuples, none in a cycle
-        encoder = _encoder(rank_file, pattern)
-        for texts in batches:
-            yield _encode_batch(encoder, texts)
+        with _task(rank_file, pattern) as encoder:
+            for texts in batches:
+                yield _encode_batch(encoder, texts)
 
     return _over_batches(run, "array<int>")(text)
 
@@ -294,17 +310,17 @@ def round_trip_column(text: Column, rank_file: bytes, pattern: str) -> Column:
     """Column of structs: ids as encode_column gives them, and decoded, what decode_column makes of these ids; both in one worker."""
 
     def run(batches):
-        gc.disable()
-        encoder = _encoder(rank_file, pattern)
-        vocab = {i: b for b, i in encoder.replay.ranks.items()}
-        for texts in batches:
-            ids = _encode_batch(encoder, texts)
-            yield pa.StructArray.from_arrays([ids, _decode_batch(vocab, ids)], ["ids", "decoded"])
+        with _task(rank_file, pattern) as encoder:
+            vocab = {i: b for b, i in encoder.replay.ranks.items()}
+            for texts in batches:
+                ids = _encode_batch(encoder, texts)
+                yield pa.StructArray.from_arrays([ids, _decode_batch(vocab, ids)], ["ids", "decoded"])
 
     return _over_batches(run, "struct<ids:array<int>,decoded:binary>")(text)
 
 
 def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, ids (array of token ids), decoded (the bytes that the ids decode to)."""
+    bounded_batches(docs.sparkSession)
     both = docs.select(docs[id_col].alias("doc_id"), round_trip_column(text_of(docs, text_col), rank_file, pattern).alias("both"))
     return both.select("doc_id", "both.ids", "both.decoded")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import drop, durable
 
 
 def _to_least(directed: DataFrame) -> DataFrame:
@@ -34,9 +34,12 @@ def components(links: DataFrame) -> DataFrame:
     current = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = tuple(current.agg(*mark).first())
     while before[0]:
-        current = durable(_round(current), "links")
+        older, current = current, durable(_round(current), "links")
+        drop(older)
         now = tuple(current.agg(*mark).first())
         if now == before:
             break
         before = now
-    return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out = current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out.folio_path = current.folio_path
+    return out

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .shared import durable, text_of
+from .shared import bounded_batches, drop, durable, text_of
 
 WORDS, THRESHOLD = 5, 80
 #: Bits of the bitmap of a set of up to PER_BASE tokens; twice as many for each doubling of the size.
@@ -362,7 +362,9 @@ def _with_sets(wanted: DataFrame, signed: DataFrame, texts: DataFrame, k: int, s
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     made = lambda df: df.select("text").mapInArrow(lambda b: _sets(b, k, short), "rid bigint, n bigint, shingles binary")
     named = made(texts.where("doc_id is not null").join(ids, "doc_id", "left_semi"))
-    return durable(named.unionByName(made(texts.where("doc_id is null")).dropDuplicates(["rid"])), "sets")
+    out = durable(named.unionByName(made(texts.where("doc_id is null")).dropDuplicates(["rid"])), "sets")
+    drop(sources)
+    return out
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -373,26 +375,34 @@ def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, thr
         sets = _with_sets(wanted, signed, texts, k, short)
         side = lambda c, x, n: sets.select(F.col("rid").alias(c), F.col("shingles").alias(x), F.col("n").alias(n))
         both = pairs.join(side("a", "x", "n_x"), "a").join(side("b", "y", "n_y"), "b")
-        return durable(both.select("a", "b", _do_link(threshold)(F.col("x"), F.col("y"), F.col("n_x"), F.col("n_y")).alias("link")), "judged")
+        out = durable(both.select("a", "b", _do_link(threshold)(F.col("x"), F.col("y"), F.col("n_x"), F.col("n_y")).alias("link")), "judged")
+        drop(sets)
+        return out
 
     first = judged(pairs, True)
     found, open_ = first.where("link = 1").select("a", "b"), first.where("link is null").select("a", "b").distinct()
     if open_.limit(1).count():
         found = found.unionByName(judged(open_, False).where("link = 1").select("a", "b"))
-    return durable(found.distinct(), "verified")
+    out = durable(found.distinct(), "verified")
+    drop(first)
+    return out
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: int = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, n_shingles, rid (its set's id) and component_id for each row of docs;
     links has pairs of set ids (a, b) that span the components, each a true link."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(texts, k))
-    signed = durable(texts.mapInArrow(lambda b: _signatures(b, k, threshold, frequent.value), "doc_id bigint, rid bigint, n bigint, bits binary, tokens array<bigint>"), "signatures")
+    whole = durable(texts.mapInArrow(lambda b: _signatures(b, k, threshold, frequent.value), "doc_id bigint, rid bigint, n bigint, bits binary, tokens array<bigint>"), "prefixes")
+    signed = durable(whole.drop("tokens"), "signatures")
 
-    entered = signed.where("rid is not null").select("rid", "n", F.explode("tokens").alias("token"))
-    stats = entered.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("token")
-    members = durable(entered.join(stats, "token").groupBy("token", "rid").agg(F.first("n").alias("n")), "members")
+    # One shuffle by token serves the count and the join: both read the same columns of it.
+    entered = whole.where("rid is not null").select("rid", "n", F.explode("tokens").alias("token")).repartition("token")
+    stats = entered.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("n").alias("most")).where("lo <> hi and most > 0").select("token")
+    members = durable(entered.join(stats.hint("merge"), "token").groupBy("token", "rid").agg(F.first("n").alias("n")), "members")
+    drop(whole)
 
     # Pivots
     by_order = F.xxhash64("rid", F.pmod("token", F.lit(PIVOTS)))
@@ -404,11 +414,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = near.join(bits.select(F.col("rid").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("rid").alias("b"), F.col("bits").alias("bits_b")), "b")
     likely = durable(both.where(_may_link(threshold)(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"), "likely")
     first = _verified(likely, signed, texts, k, threshold)
+    drop(likely)
     contracted = components(first)
 
     # Signature trees, over blocks that hold several components
     labelled = members.select("token", "rid", "n").join(contracted.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("c"))
     labelled = durable(labelled, "labelled")
+    drop(members, contracted)
     blocks = labelled.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor("rid").alias("x"), F.bit_xor(F.xxhash64("rid")).alias("y"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     blocks = blocks.where("c0 <> c1").groupBy("m", "x", "y").agg(F.min("token").alias("token"))
     tiles = F.ceil(F.col("m") / tile).cast("int")
@@ -421,21 +433,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = F.greatest(F.lit(0), F.length(F.bin(F.min("n") - 1)) - (PER_BASE.bit_length() - 1))
     mixed = units.groupBy("unit").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), size.alias("cls")).where("c0 <> c1").select("unit", "cls")
     units = durable(units.join(mixed, "unit"), "units")
+    drop(labelled)
     placed = lambda df: df.repartition("unit").sortWithinPartitions("unit")
     candidates = placed(units.join(bits, "rid").select("unit", "cls", "side", "rid", "n", "c", "bits")).mapInArrow(lambda b: _traverse(b, threshold, False), "unit bigint, a bigint, b bigint")
     candidates = durable(candidates, "candidates")
+    drop(bits)
     pairs = candidates.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _verified(durable(pairs, "pairs"), signed, texts, k, threshold)
+    pairs = durable(pairs, "pairs")
+    second = _verified(pairs, signed, texts, k, threshold)
+    drop(pairs)
     flagged = candidates.where("b is null").select("unit", F.col("a").alias("rid")).distinct()
     if flagged.limit(1).count():
-        more = _with_sets(flagged.select("rid").distinct(), signed, texts, k, False).select("rid", "shingles").dropDuplicates(["rid"])
-        whole = units.join(flagged, ["unit", "rid"], "left_semi").join(more, "rid").select("unit", "cls", "side", "rid", "n", "c", "shingles")
+        more = _with_sets(flagged.select("rid").distinct(), signed, texts, k, False)
+        whole = units.join(flagged, ["unit", "rid"], "left_semi").join(more.select("rid", "shingles").dropDuplicates(["rid"]), "rid").select("unit", "cls", "side", "rid", "n", "c", "shingles")
         second = second.unionByName(durable(placed(whole).mapInArrow(lambda b: _traverse(b, threshold, True), "a bigint, b bigint"), "forest"))
+        drop(more)
+    drop(units, candidates)
 
     spanning = first.unionByName(second)
     final = components(spanning)
     named = signed.select("doc_id", "rid", "n").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("component", "rid"))
     named = durable(named.select("doc_id", F.col("n").alias("n_shingles"), "rid", "class"), "named")
+    drop(signed, final)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     members_out = named.join(least, "class", "left").select("doc_id", "n_shingles", "rid", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
     return members_out, spanning

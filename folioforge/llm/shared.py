@@ -1,37 +1,79 @@
-"""What the operators of this subpackage share: table reading and durable intermediates."""
+"""What the operators of this subpackage share: table reading, durable intermediates and their release."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
+from tempfile import mkdtemp
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist results)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch handed to a Python worker, about: long texts make batches of few rows.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader only (any Hadoop file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most in this session from now on, so that workers' memory follows neither
+    the rows' number nor their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def durable_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a local one where unset (tests)."""
+    """The folder shared by driver and executors: spark.checkpoint.dir. Where it is unset, a local one if all runs on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = getattr(durable_dir, "made", None)
     if made is None:
-        made = durable_dir.made = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        made = durable_dir.made = Path(mkdtemp(prefix="folioforge-")).as_uri()
     return made
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside drop their shuffle files when they end: their results are at rest."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and losing executors loses nothing."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{durable_dir(spark)}/folioforge/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_released(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folio_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete durable tables whose successors are at rest; others (not made by `durable`) are left alone."""
+    for df in tables:
+        if path := getattr(df, "folio_path", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:

@@ -149,7 +149,7 @@ def test_bpe_equals_tiktoken(odd, none):
     rng = random.Random(3)
     pool = [*" \n\t  abAB1'.é\x1c日ǅ²!s<|>", "'s", "  ", "aaaa", "\n\n", " the", "<|endoftext|>"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 50))) for _ in range(3000)] + ["a" * 5000, " " * 999, "abab" * 500, ""]
-    encoder = byte_bpe.Encoder(raw, pattern)
+    encoder = byte_bpe.Encoder(byte_bpe.MergeReplay(byte_bpe.read_ranks(raw)), pattern)
     assert [e.tolist() for e in encoder.encode(texts)] == [ref.encode_ordinary(t) for t in texts]
     got = byte_bpe.bpe_encode(odd, raw, pattern).collect()
     assert [(r.ids, bytes(r.decoded).decode()) for r in got] == [(ref.encode_ordinary(t or ""), t or "") for _, t, *_ in ROWS]

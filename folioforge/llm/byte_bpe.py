@@ -22,7 +22,6 @@ shuffle, memory bounded by a batch, a lost task is simply run again.
 from __future__ import annotations
 
 import base64
-import ctypes
 import gc
 import heapq
 import re
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, text_of
+from .shared import bounded_batches, lean, text_of, trim
 
 MEMO = 120_000
 #: UTF-8 bytes of the texts that are replayed together.
@@ -234,6 +233,7 @@ class Encoder:
 @contextmanager
 def _task(rank_file: bytes, pattern: str) -> Iterator[Encoder]:
     """An encoder for one task. What it has learnt is given back to the system at the end: the worker goes on to other tasks."""
+    lean()
     key = hash(rank_file)
     if key not in _loaded:
         _loaded.clear()
@@ -246,9 +246,7 @@ def _task(rank_file: bytes, pattern: str) -> Iterator[Encoder]:
         encoder.memo.clear()
         encoder.older.clear()
         gc.enable()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        trim()
 
 
 def _slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,7 @@ Defined cases: a null text is the empty text; the empty text is one block of
 counted in `bad_pages` and skipped, the reader looks for the next capture
 pattern, and a packet with a missing part is dropped; `lost_packets` counts these and gaps in page numbers.
 A null media value is an empty file. A file without a sample stream has an
-empty payload.
+empty payload. Repeated rows each give a row, null ids are kept, an empty table gives an empty result, extra columns are left out.
 
 Each row is independent of the others: no shuffle, memory bounded by one batch
 of rows, and a lost task is simply run again.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import bounded_batches, lean, text_of
 
 RATE = 8000
 PACKET = 1024
@@ -184,6 +184,7 @@ _READ_SQL = "struct<payload:binary,n_bytes:bigint,streams:int,pages:int,packets:
 
 
 def _encode(texts: pa.Array) -> pa.Array:
+    lean()
     out = []
     for t in texts:
         data = (t.as_py() or "").encode()
@@ -192,6 +193,7 @@ def _encode(texts: pa.Array) -> pa.Array:
 
 
 def _decode(media: pa.Array) -> pa.Array:
+    lean()
     return pa.array([_read(m.as_py()) for m in media], _READ_TYPE)
 
 
@@ -207,5 +209,6 @@ def decode_column(media):
 
 def ogg_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, media (the file) and got (what was read back from it); other columns are left out."""
+    bounded_batches(docs.sparkSession)
     stored = docs.select(docs[id_col].alias("doc_id"), encode_column(text_of(docs, text_col)).alias("media"))
     return stored.select("doc_id", "media", decode_column(F.col("media")).alias("got"))

@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
-A document's set holds its distinct k-word shingles (as 64-bit hashes). Two
-documents link when 100 * intersection >= THRESHOLD * union. The result is exact: every
-filter below only drops pairs that cannot link.
+A document's set holds its distinct k-word shingles, as 64-bit hashes; sets are told apart by a 64-bit hash too. Two
+documents link when 100 * intersection >= THRESHOLD * union. But for collisions of these hashes (about n ** 2 / 2 ** 65 sets of n)
+the result is exact: every filter below only drops pairs that cannot link.
 
 1. Blocks. Tokens are ordered by (frequent, hash), where `frequent` is a fixed set counted
    over all documents, one in FREQUENT_SHARE or more of them. Linked sets share a
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .shared import bounded_batches, drop, durable, text_of
+from .shared import bounded_batches, drop, durable, lean, text_of, trim
 
 WORDS, THRESHOLD = 5, 80
 #: Bits of the bitmap of a set of up to PER_BASE tokens; twice as many for each doubling of the size.
@@ -58,9 +58,11 @@ FAN = 8
 #: Pairs that a unit hands on for each of its sets; a unit with more of them keeps a spanning forest instead.
 PAIRS = 4
 #: UTF-8 bytes of the texts that are hashed together.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Shingles that are counted together in a worker before the counts go on.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
+#: Bytes of the units that are traversed together.
+TOGETHER = 8 << 20
 #: Rows of ids that are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
@@ -72,8 +74,12 @@ def _frequent_here(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
     """(token, n): tokens of three or more different sets among texts of about COUNTED shingles together."""
 
     def often(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(list(sets.values()) or [np.zeros(0, np.uint64)]), return_counts=True)
-        return pa.record_batch([pa.array(token[n >= 3].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["token", "n"])
+        every = np.concatenate(list(sets.values()) or [np.zeros(0, np.uint64)])
+        sets.clear()
+        every.sort()
+        begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        n = np.diff(np.append(begin, len(every)))
+        return pa.record_batch([pa.array(every[begin[n >= 3]].view(np.int64)), pa.array(n[n >= 3].astype(np.int64))], ["token", "n"])
 
     held: dict[int, np.ndarray] = {}
     size = 0
@@ -87,6 +93,7 @@ def _frequent_here(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
                 yield often(held)
                 held, size = {}, 0
     yield often(held)
+    trim()
 
 
 def size_class(n: int) -> int:
@@ -174,6 +181,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _may_link(threshold: int):
     def run(bits_a: pa.Array, bits_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+        lean()
         out = []
         for x, y, m, n in zip(bits_a, bits_b, n_a.to_pylist(), n_b.to_pylist(), strict=True):
             u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -190,6 +198,7 @@ def _do_link(threshold: int):
     """1 where two sets link, 0 where they don't, null where 4-byte hashes leave it open."""
 
     def run(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+        lean()
         out = []
         for x, y, m, n in zip(a, b, n_a.to_pylist(), n_b.to_pylist(), strict=True):
             u, v = (np.frombuffer(z.as_buffer(), np.uint64 if len(z.as_buffer()) == 8 * size else np.uint32) for z, size in ((x, m), (y, n)))
@@ -267,22 +276,24 @@ class Trees:
 
 def _traverse(batches: Iterator[pa.RecordBatch], threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """Rows (unit, cls, side, rid, n, c, bits or shingles) in order of unit: candidates (unit, a, b), or sets (unit, a) of units
-    with many of them; with exact, links (a, b)."""
+    with many of them; with exact, links (a, b). Units of about TOGETHER bytes are traversed at once."""
+    lean()
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         held.append(batch)
-        size += batch.num_rows
-        if size >= 4 * TILE and (batch.column(0)[0].as_py() != batch.column(0)[-1].as_py() or size >= 64 * TILE):
+        size += batch.nbytes
+        if size >= TOGETHER and held[0].column(0)[0].as_py() != batch.column(0)[-1].as_py():
             whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             unit = whole["unit"].to_numpy()
             cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
-            if cut:
-                yield from _by_class(whole.slice(0, cut), threshold, exact)
-                held = whole.slice(cut).combine_chunks().to_batches()
-                size = len(whole) - cut
+            yield from _by_class(whole.slice(0, cut), threshold, exact)
+            held = whole.slice(cut).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
     if size:
         yield from _by_class(pa.Table.from_batches(held).combine_chunks(), threshold, exact)
+    trim()
 
 
 def _by_class(rows: pa.Table, threshold: int, exact: bool) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ labelled texts, preference pairs (a good one over a poor one) are drawn; weights
 minimise the logistic loss on the pairs' feature differences, so w.x is the
 Bradley-Terry strength of a text. A monotone logistic map, fitted on the same
 labelled texts, turns strengths into scores from 0 to 1. Documents are kept by a
-threshold that is a low quantile of the preferred training texts' scores, CEILING at most.
+threshold that is a quantile of the training texts' scores: by default at the share of poor ones
+among them, midway between the scores next to it.
 
 The model is fitted on the driver over at most SAMPLE labelled rows (those with the
 smallest hash of their id), 30 numbers each; scoring covers every row, is
@@ -14,7 +15,8 @@ independent for each row and needs no shuffle.
 
 Defined cases: a null text is the empty text, which gets a score from its (zero)
 features; label rows with null or other values than 0 and 1 are left out;
-repeated label rows count once; with labels of one kind only, all scores are 0.5.
+repeated label rows count once; with labels of one kind only, all scores are 0.5 and the threshold is 0; repeated rows each
+give a row, null ids are kept (and never trained on), an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import bounded_batches, lean, text_of
 
 SAMPLE = 20_000
 PAIRS = 60_000
-#: A text at least as likely good as poor is kept, wherever the quantile lies.
-CEILING = 0.5
 
 _CLASSES = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\r", b".,;:?'\"-", b"!", b"|", b"#$%&*+/<=>@\\^_`~", b"()[]{}", bytes(range(128, 256)),
@@ -108,7 +108,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 30) -> np.nd
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3, quantile: float = 0.002, seed: int = 7) -> Ranker:
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3, quantile: float | None = None, seed: int = 7) -> Ranker:
     """Bradley-Terry weights from feature rows and their 0/1 labels."""
     width = x.shape[1]
     good, poor = x[y == 1], x[y == 0]
@@ -121,10 +121,12 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3, quan
     strength = ((x - centre) / scale) @ w
     b, a = _logistic(np.column_stack((np.ones(len(y)), strength)), y.astype(float), 1e-6)
     model = Ranker(centre, scale, w, float(a), float(b), 0.0)
-    return Ranker(centre, scale, w, float(a), float(b), min(CEILING, float(np.quantile(model.scores(good), quantile))))
+    share = len(poor) / len(y) if quantile is None else quantile
+    return Ranker(centre, scale, w, float(a), float(b), float(np.quantile(model.scores(x), share, method="midpoint")))
 
 
 def _feature_arrays(texts: pa.Array) -> pa.Array:
+    lean()
     return pa.array([features(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
 
 
@@ -132,8 +134,9 @@ def feature_column(text: Column) -> Column:
     return F.arrow_udf(_feature_arrays, "array<double>")(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, quantile: float = 0.002) -> Ranker:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, quantile: float | None = None) -> Ranker:
     """A model from the labelled rows of docs; labels: id and a 0/1 label. At most `sample` rows reach the driver."""
+    bounded_batches(docs.sparkSession)
     marks = labels.select(labels[id_col].alias("mark_id"), labels[label_col].alias("mark")).where("mark in (0, 1) and mark_id is not null").groupBy("mark_id").agg(F.max("mark").alias("mark"))
     chosen = marks.orderBy(F.xxhash64("mark_id"), "mark_id").limit(sample)
     texts = docs.select(docs[id_col].alias("mark_id"), text_of(docs, text_col).alias("text"))
@@ -148,6 +151,7 @@ def score_column(text: Column, model: Ranker) -> Column:
     """Column of scores from 0 to 1 of a text column."""
 
     def run(texts: pa.Array) -> pa.Array:
+        lean()
         if not len(texts):
             return pa.array([], pa.float64())
         return pa.array(model.scores(np.array([features(t.as_py() or "") for t in texts])))
@@ -158,6 +162,7 @@ def score_column(text: Column, model: Ranker) -> Column:
 
 def quality_scores(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, score, keep (the score reaches the model's quantile threshold)."""
+    bounded_batches(docs.sparkSession)
     scored = docs.select(docs[id_col].alias("doc_id"), score_column(text_of(docs, text_col), model).alias("score"))
     return scored.withColumn("keep", F.col("score") >= model.threshold)
 

@@ -70,7 +70,7 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mix_counts(table(spark, sf_dir, "documents"), max_repeats=4.0)
+    return source_mixing.mix_counts(table(spark, sf_dir, "documents"), max_repeats=4.0).withColumn("weight", F.round("weight", 9))
 
 
 def op5_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def op9_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{durable_dir(spark)}/folioforge/token-counts-{uuid.uuid4().hex}"  # a cold cache: the query must not depend on earlier runs
-    counts = token_cache.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cache)
+    counts = token_cache.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cache, normal=token_cache.folded)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
@@ -114,4 +114,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_cache": op10_token_cache,
 }
 
-ORACLES: dict[str, str] = {}
+#: Op6 in SQL: with a limit on repeats alone the exponent has a closed form, where the operator bisects.
+OP6 = """
+with words as (
+  select doc_id, source, coalesce('=' || source, 'null') as source_key, coalesce('=' || cast(doc_id as varchar), md5(coalesce(text, ''))) as key,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) as bigint) as n_tokens
+  from documents),
+totals as (select source_key, cast(sum(n_tokens) as double) as t, count(*) as n from words group by 1),
+ends as (select max(t) as most, min(t) as least from totals where t > 0),
+exponent as (select case when most / least <= 4 then 0.0 else 1 - ln(4.0) / ln(most / least) end as a from ends),
+raised as (select source_key, t, n, case when t > 0 then pow(t / most, a) else 0.0 end as x from totals, ends, exponent),
+weighed as (select source_key, t, n, x / (select sum(x) from raised) as weight from raised),
+used as (select *, case when t > 0 then (weight / t) / (select min(weight / t) from weighed where t > 0) else 1.0 end as r from weighed),
+plan as (select source_key, weight, cast(floor(r + 1e-9) as bigint) as whole, greatest(0.0, r - floor(r + 1e-9)) as part, greatest(1, cast(ceil((t + n) / 1000000.0) as bigint)) as blocks from used),
+placed as (
+  select w.*, p.weight, p.whole, p.part, cast(cast('0x' || substr(md5(key || ':0:block'), 1, 15) as bigint) % p.blocks as int) as block,
+    cast('0x' || substr(md5(key || ':0'), 1, 15) as bigint) as place
+  from words w join plan p using (source_key)),
+ids as (select source_key, block, place, key, part, sum(n_tokens) as n from placed where part > 0 group by all),
+summed as (select *, sum(n) over (partition by source_key, block order by place, key rows unbounded preceding) as so_far, sum(n) over (partition by source_key, block) as total from ids),
+cutoffs as (select source_key, block, max(place) as cutoff from summed where so_far - n / 2.0 <= part * total group by 1, 2),
+copied as (select p.*, p.whole + case when p.place <= c.cutoff then 1 else 0 end as copies from placed p left join cutoffs c using (source_key, block))
+select doc_id, source, n_tokens, cast(e as int) as epoch, block, cast('0x' || substr(md5(key || ':0:' || e), 1, 15) as bigint) as order_key, round(weight, 9) as weight
+from (select *, unnest(range(1, copies + 1)) as e from copied)
+"""
+
+ORACLES: dict[str, str] = {"op6_source_mixing": OP6}

@@ -1,20 +1,30 @@
 """Secret scans: rules, and character Markov models for what the rules miss.
 
 Rules (kinds assign, access, hex) find leftmost non-overlapping matches by regular
-expressions. The method then judges every other run of RUN_MIN or more characters of
+expressions. The method then judges every run of RUN_MIN or more characters of
 ALPHABET: two first-order character models, of random strings and of ordinary
 identifiers, both trained from labelled samples, are compared by their
-log-likelihood ratio; runs above THRESHOLD are spans of kind markov.
+log-likelihood ratio. A stretch of a run whose ratio reaches THRESHOLD is a span of
+kind markov: the sum runs along the run, begins anew where it falls to 0, and a stretch
+ends where it has fallen by DROP below its best. So a secret behind a long ordinary path is
+found; a stretch that leaves fewer than EDGE characters of the run at an end takes them too.
 
-Only DataFrame operations: a match's place is the running length of the pieces
-between matches (split) and the matches (regexp_extract_all); the models are one
-constant array of log-ratios (66 x 66, whatever the input). Rows are independent:
-scanning needs no shuffle, and no text is cut.
+The ordinary model counts the words of all documents (a word's steps, weighted by how often it stands
+there, alone and joined with itself by '_' and by a capital).
+
+Only DataFrame operations, in time linear in the text's length and its matches: a match's place
+is a running sum of the lengths of the pieces between matches (split) and the matches
+(regexp_extract_all), summed in blocks; places in bytes are kept beside those in code points, so
+that pieces are cut without counting from the start. The models are one constant array of
+log-ratios (WIDTH x WIDTH, whatever the input). Rows are independent: scanning needs no
+shuffle, and no text is cut. Training shuffles distinct words with their counts.
 
 Defined cases: a null text is the empty text and has no spans; places count code
-points from 0, ends are exclusive; equal starts are ordered by kind as listed; a run
-that overlaps a rule's span isn't judged again. Samples with a null text or label are
-left out; with no samples of a kind its model is uniform. Rare contexts lean on the frequencies of single characters.
+points from 0, ends are exclusive; equal starts are ordered by kind as listed; a stretch
+that overlaps a rule's span is left out. Samples with a null text or label are
+left out; with no samples of a kind its model is uniform. Rare contexts lean on the frequencies of single
+characters; characters outside ALPHABET count as one by their bytes. Repeated rows each give a row, null ids are kept, an empty
+table gives an empty result, extra columns are left out unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -42,46 +52,90 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN_MIN = 20
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN_MIN},}}"
 WIDTH = len(ALPHABET) + 1
-#: Nats by which a run must be likelier random than ordinary.
-THRESHOLD = 15.0
-#: Documents (those of smallest hash) whose words serve as samples of ordinary identifiers, and made random strings.
-SAMPLE_DOCS, SAMPLE_RANDOM = 400, 6_000
+#: Nats by which a stretch must be likelier random than ordinary, and by which a sum may fall within a stretch.
+THRESHOLD, DROP = 15.0, 15.0
+#: Characters left over at an end of a run that a stretch takes along.
+EDGE = 8
+#: Made random strings that serve as samples of label 1.
+SAMPLE_RANDOM = 6_000
+#: Values that a running operation copies at once.
+BLOCK = 256
+
+_SPAN = "struct<start:int,kind:int,end:int,from:int,to:int>"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join, zero: Column, kind: str) -> Column:
+    """The running results of an associative operation over an array: in blocks, as appending copies."""
+
+    def plain(xs: Column) -> Column:
+        start = F.struct(zero.alias("v"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            v = join(acc["v"], x)
+            return F.struct(v.alias("v"), F.concat(acc["out"], F.array(v)).alias("out"))
+
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        before = plain(F.concat(F.array(zero), F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda w: F.element_at(w, -1))))
+        return F.flatten(F.zip_with(blocks, before, lambda w, o: F.transform(w, lambda x: join(o, x))))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: plain(F.slice(values, k * BLOCK + 1, F.lit(BLOCK))))
+    return F.when(F.size(values) <= BLOCK, plain(values)).otherwise(let(cut, joined))
+
+
+def _ends(pieces: Column, matches: Column) -> Column:
+    """Where each piece and each match ends, in code points (c) and bytes (b), in turn."""
+    size = lambda x: F.struct(F.char_length(x).alias("c"), F.octet_length(x).alias("b"))
+    lengths = F.flatten(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.array(size(p), size(m))))
+    add = lambda x, y: F.struct((x["c"] + y["c"]).alias("c"), (x["b"] + y["b"]).alias("b"))
+    return let(lengths, lambda n: running(n, add, F.struct(F.lit(0).alias("c"), F.lit(0).alias("b")), "struct<c:int,b:int>"))
+
+
+def _placed(matches: Column, ends: Column, kind: int) -> Column:
+    """array<start, kind, end, from, to, match>"""
+
+    def one(m: Column, i: Column) -> Column:
+        a, z = F.get(ends, 2 * i), F.get(ends, 2 * i + 1)
+        return F.struct(a["c"].alias("start"), F.lit(kind).alias("kind"), z["c"].alias("end"), a["b"].alias("from"), z["b"].alias("to"), m.alias("match"))
+
+    return F.transform(matches, one)
 
-_SPAN = "struct<start:int,kind:int,end:int>"
 
+def _bare(spans: Column) -> Column:
+    return F.coalesce(F.transform(spans, lambda s: F.struct(*(s[n].alias(n) for n in ("start", "kind", "end", "from", "to")))), F.array().cast(f"array<{_SPAN}>"))
 
-def _located(text: Column, pattern: str, matches: Column, kind: int, keep=None) -> Column:
-    """array<start, kind, end> of the matches that `keep` holds for; the work is done only where there are matches."""
-    pieces = F.split(text, pattern, -1)
-    none = F.lit(None).cast(f"array<{_SPAN}>")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, both: Column) -> Column:
-        start = acc["at"] + F.char_length(both["piece"])
-        end = start + F.char_length(both["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        kept = F.array(span) if keep is None else F.when(keep(both["match"]), F.array(span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
+def _constant(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
-    both = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.coalesce(F.when(F.size(matches) > 0, F.aggregate(both, zero, step, lambda acc: acc["out"])).otherwise(none), F.array().cast(f"array<{_SPAN}>"))
 
+def _codes(text: Column) -> Column:
+    """For each byte of a text 1 and on if it is a character of ALPHABET, else 0."""
+    table = _constant([ALPHABET.find(chr(k)) + 1 if k else 0 for k in range(128)], "int")
+    one = lambda data, i: F.coalesce(F.get(table, F.ascii(data.substr(i, F.lit(1)).cast("string"))), F.lit(0))
+    return F.when(F.octet_length(text) > 0, let(text.cast("binary"), lambda data: F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: one(data, i))))
 
-def _code(c: Column) -> Column:
-    """1 and on for characters of ALPHABET, 0 for others."""
-    return F.instr(F.lit(ALPHABET), c)
+
+def _steps(codes: Column) -> Column:
+    """For each character WIDTH times the code before it (0 at the start), and its own."""
+    return F.transform(codes, lambda c, i: F.when(i == 0, F.lit(0)).otherwise(F.get(codes, i - 1)) * WIDTH + c)
 
 
 def train(samples: DataFrame, smoothing: float = 10.0) -> list[float]:
     """Log-ratios log P(b | a, random) - log P(b | a, ordinary), row by row of a (0: the start).
 
-    samples: text and label (1 random, 0 ordinary). At most 2 * WIDTH ** 2 counts reach the driver.
+    samples: text, label (1 random, 0 ordinary) and, if there, n (how often it counts). At most 2 * WIDTH ** 2 counts reach the driver.
     """
-    clean = samples.select(samples["text"].cast("string").alias("t"), samples["label"].cast("int").alias("label")).where("t is not null and label in (0, 1) and t <> ''")
-    steps = clean.select("label", "t", F.explode(F.sequence(F.lit(1), F.char_length("t"))).alias("i"))
-    b = _code(F.col("t").substr(F.col("i"), F.lit(1)))
-    a = F.when(F.col("i") == 1, 0).otherwise(_code(F.col("t").substr(F.col("i") - 1, F.lit(1))))
-    counts = {(r.label, r.a, r.b): r.n for r in steps.select("label", a.alias("a"), b.alias("b")).groupBy("label", "a", "b").agg(F.count("*").alias("n")).collect()}
+    n = samples["n"].cast("bigint") if "n" in samples.columns else F.lit(1)
+    clean = samples.select(samples["text"].cast("string").alias("t"), samples["label"].cast("int").alias("label"), n.alias("n")).where("t is not null and label in (0, 1) and t <> ''")
+    steps = clean.select("label", "n", F.explode(let(_codes(F.col("t")), _steps)).alias("step"))
+    counts = {(r.label, *divmod(r.step, WIDTH)): r.n for r in steps.groupBy("label", "step").agg(F.sum("n").alias("n")).collect()}
     logs = []
     for label in (1, 0):
         rows = [[counts.get((label, x, y), 0) for y in range(WIDTH)] for x in range(WIDTH)]
@@ -91,44 +145,90 @@ def train(samples: DataFrame, smoothing: float = 10.0) -> list[float]:
     return [r - o for x in range(WIDTH) for r, o in zip(logs[x], logs[WIDTH + x], strict=True)]
 
 
-def samples_of(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Labelled samples: made random strings (label 1), and words, joined words and numbers of a bounded sample of documents (label 0)."""
+def samples_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled samples with their numbers: made random strings (label 1), and the words and numbers of all documents, alone and joined (label 0)."""
     spark: SparkSession = docs.sparkSession
     number = spark.range(0, SAMPLE_RANDOM, 1, 1).select(F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256).alias("h"), "id")
-    random = number.select(F.when(F.col("id") % 3 == 0, F.substring("h", 1, 40)).otherwise(F.substring(F.translate(F.base64(F.unhex("h")), "\r\n", ""), 1, 40)).alias("text"), F.lit(1).alias("label"))
-    chosen = docs.select(docs[id_col].alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    some = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")
-    words = some.select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}|[0-9]{4,}"), F.lit(0)).alias("w")).where("size(w) > 1")
-    joined = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda x, y: F.concat(x, F.lit("_"), y))
-    single = words.select(F.explode("w").alias("text"))
-    paired = words.select(F.explode(F.concat(joined, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda x, y: F.concat(x, F.initcap(y))))).alias("text"))
-    return random.unionByName(single.unionByName(paired).select("text", F.lit(0).alias("label")))
+    code = F.when(F.col("id") % 3 == 0, F.substring("h", 1, 40)).otherwise(F.substring(F.translate(F.base64(F.unhex("h")), "\r\n", ""), 1, 40))
+    random = number.select(code.alias("text"), F.lit(1).alias("label"), F.lit(1).cast("bigint").alias("n"))
+    words = docs.select(F.explode(F.regexp_extract_all(text_of(docs, text_col), F.lit(r"[A-Za-z]{3,}|[0-9]{4,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    forms = words.select("n", F.explode(F.array("w", F.concat("w", F.lit("_"), "w"), F.concat("w", F.initcap("w")))).alias("text"))
+    return random.unionByName(forms.select("text", F.lit(0).alias("label"), "n"))
+
+
+def log_ratios(run: Column, model: list[float]) -> Column:
+    """How much likelier each character of a run is after the one before it under the random model, in nats."""
+    table = _constant([round(x, 6) for x in model], "double")
+    return let(_codes(run), lambda codes: F.transform(_steps(codes), lambda k: F.get(table, k)))
 
 
 def log_ratio(run: Column, model: list[float]) -> Column:
-    """How much likelier a run is under the random model, in nats."""
-    table = F.from_json(F.lit(json.dumps([round(x, 6) for x in model])), "array<double>")
+    """The sum of log_ratios; 0 for the empty run."""
+    return F.coalesce(F.aggregate(log_ratios(run, model), F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0))
+
+
+def stretches(ratios: Column) -> Column:
+    """array<begin, end> of the stretches that reach THRESHOLD and RUN_MIN, in order."""
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("since"), F.lit(0.0).alias("best"), F.lit(0).alias("begin"), F.lit(0).alias("end"), none.alias("out"))
+
+    def kept(acc: Column) -> Column:
+        return F.when((acc["best"] >= THRESHOLD) & (acc["end"] - acc["begin"] >= RUN_MIN), F.concat(acc["out"], F.array(F.struct(acc["begin"].alias("begin"), acc["end"].alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        # `sum` belongs to the characters before; a sum that isn't above 0, or has fallen too far, is over.
+        over = (acc["sum"] <= 0) | (acc["sum"] < acc["best"] - DROP)
+        now = F.when(over, F.lit(0.0)).otherwise(acc["sum"]) + x
+        since = F.when(over, acc["i"]).otherwise(acc["since"])
+        best = F.when(over, F.lit(0.0)).otherwise(acc["best"])
+        better = now > best
+        return F.struct(
+            (acc["i"] + 1).alias("i"), now.alias("sum"), since.alias("since"), F.greatest(now, best).alias("best"), F.when(better, since).otherwise(acc["begin"]).alias("begin"),
+            F.when(better, acc["i"] + 1).otherwise(acc["end"]).alias("end"), F.when(over, kept(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(ratios, zero, step, kept)
 
-    def step(acc: Column, i: Column) -> Column:
-        a = F.when(i == 1, 0).otherwise(_code(run.substr(i - 1, F.lit(1))))
-        return acc + F.element_at(table, a * WIDTH + _code(run.substr(i, F.lit(1))) + 1)
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(run)), F.lit(0.0), step)
+def _judged(run: Column, model: list[float]) -> Column:
+    """The spans of kind markov in a placed run."""
+    n = F.octet_length(run["match"])
+
+    def span(s: Column) -> Column:
+        a, z = F.when(s["begin"] < EDGE, F.lit(0)).otherwise(s["begin"]), F.when(n - s["end"] < EDGE, n).otherwise(s["end"])
+        return F.struct((run["start"] + a).alias("start"), F.lit(3).alias("kind"), (run["start"] + z).alias("end"), (run["from"] + a).alias("from"), (run["from"] + z).alias("to"))
+
+    return F.transform(stretches(log_ratios(run["match"], model)), span)
+
+
+def _apart(added: Column, base: Column) -> Column:
+    """The spans in added that overlap none in base (which are in order)."""
+
+    def chosen(all_: Column) -> Column:
+        rule = lambda s: s["kind"] < 3
+        reach = running(F.transform(all_, lambda s: F.when(rule(s), s["end"]).otherwise(F.lit(-1))), F.greatest, F.lit(-1), "int")
+        ahead = F.reverse(running(F.reverse(F.transform(all_, lambda s: F.when(rule(s), s["start"]).otherwise(F.lit(2**31 - 1)))), F.least, F.lit(2**31 - 1), "int"))
+        both = F.zip_with(F.zip_with(all_, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), ahead, lambda x, a: F.struct(x["s"].alias("s"), ((x["r"] <= x["s"]["start"]) & (a >= x["s"]["end"])).alias("free")))
+        return F.transform(F.filter(both, lambda x: (x["s"]["kind"] == 3) & x["free"]), lambda x: x["s"])
+
+    return F.when((F.size(added) == 0) | (F.size(base) == 0), added).otherwise(let(F.array_sort(F.concat(base, added)), chosen))
 
 
 def secret_spans(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row of docs: doc_id, scanned (the text), base and added (arrays of start, kind, end; kind an index of KINDS), and the columns in keep."""
+    """Per row of docs: doc_id, scanned (the text), base and added (arrays of start, kind, end, and from, to in bytes; kind an index of KINDS),
+    and the columns in keep."""
+    others = [F.col(f"kept_{n}") for n in range(len(keep or []))]
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("scanned"), *[docs[f"`{c}`"].alias(f"kept_{n}") for n, c in enumerate(keep or [])])
-    text = F.col("scanned")
-    found = rows.withColumns({f"m{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in enumerate((ASSIGN, _ACCESS_LONG, _HEX_LONG, RUN))})
-    spans = found.withColumns({
-        "s0": _located(text, ASSIGN, F.col("m0"), 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_MIN),
-        "s1": _located(text, _ACCESS_LONG, F.col("m1"), 1), "s2": _located(text, _HEX_LONG, F.col("m2"), 2),
-        "s3": _located(text, RUN, F.col("m3"), 3, lambda m: log_ratio(m, model) >= THRESHOLD),
-    })
-    based = spans.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
-    apart = F.filter("s3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return based.select("doc_id", "scanned", "base", apart.alias("added"), *[F.col(f"kept_{n}").alias(c) for n, c in enumerate(keep or [])])
+    patterns = (ASSIGN, _ACCESS_LONG, _HEX_LONG, RUN)
+    found = rows.withColumns({f"m{k}": F.regexp_extract_all("scanned", F.lit(p), F.lit(0)) for k, p in enumerate(patterns)})
+    placed = found.withColumns({f"e{k}": F.when(F.size(f"m{k}") > 0, _ends(F.split("scanned", p, -1), F.col(f"m{k}"))) for k, p in enumerate(patterns)})
+    placed = placed.withColumns({f"p{k}": F.when(F.size(f"m{k}") > 0, _placed(F.col(f"m{k}"), F.col(f"e{k}"), k)) for k in range(len(patterns))})
+    long_enough = F.filter("p0", lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_MIN)
+    spans = placed.select(
+        "doc_id", "scanned", *others, F.array_sort(F.concat(_bare(long_enough), _bare(F.col("p1")), _bare(F.col("p2")))).alias("base"),
+        F.coalesce(F.flatten(F.transform("p3", lambda run: _judged(run, model))), F.array().cast(f"array<{_SPAN}>")).alias("judged"),
+    )
+    return spans.select("doc_id", "scanned", "base", _apart(F.col("judged"), F.col("base")).alias("added"), *[c.alias(name) for c, name in zip(others, keep or [], strict=True)])
 
 
 def spans_text(spans: Column) -> Column:
@@ -139,11 +239,16 @@ def spans_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every stretch that spans cover replaced by mark; overlapping spans are one stretch."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def clean(data: Column, sorted_: Column, reach: Column) -> Column:
+        cut = lambda a, n: data.substr(a + 1, n).cast("string")
+
+        def before(s: Column, i: Column) -> Column:
+            done = F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+            return F.when(s["from"] >= done, F.concat(cut(done, s["from"] - done), F.lit(mark))).otherwise(F.lit(""))
+
+        return F.concat(F.array_join(F.transform(sorted_, before), ""), cut(F.element_at(reach, -1), F.octet_length(data)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text)))))
+    ends = lambda s: running(F.transform(s, lambda x: x["to"]), F.greatest, F.lit(0), "int")
+    whole = let(text.cast("binary"), lambda data: let(F.array_sort(spans), lambda s: let(ends(s), lambda reach: clean(data, s, reach))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 from tempfile import mkdtemp
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,23 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
+def lean() -> None:
+    """To be called in a Python worker: from now on large arrays go back to the system when they are freed, rather than stay with a
+    worker that is used again."""
+    if not getattr(lean, "done", False):
+        lean.done = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        if hasattr(libc := ctypes.CDLL(None), "mallopt"):  # the thresholds of mmap and trim, in glibc
+            libc.mallopt(-3, 1 << 20)
+            libc.mallopt(-1, 1 << 20)
+
+
+def trim() -> None:
+    """To be called in a Python worker at the end of a task: small freed memory goes back too."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader only (any Hadoop file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

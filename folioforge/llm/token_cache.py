@@ -1,34 +1,44 @@
 """Token counts through a digest cache.
 
 Texts are looked up by (digest of the normalised text, digest of the tokenizer's
-file). Only distinct texts that the cache lacks are encoded; their counts are
-appended to the cache, and all documents take their count from it by a join on
+file and of the normal form's name). Only distinct normalised texts that the cache lacks are encoded; their counts are
+appended to the cache, one row for each digest, and all documents take their count from it by a join on
 the digest.
 
+A normal form must keep the counts: `folded` (white space in a row is one space, none at the ends; A-Z in lower
+case) does so for tokenizers that drop white space and fold case themselves, and leaves texts with '<|' their case, as
+strings of special tokens are found before folding. `as_it_is` does for every tokenizer.
+
 The cache is a Parquet folder (digest binary, version string, n_tokens bigint).
 Appends never change existing rows, so a failed run leaves a valid cache. Two
 runs at once may both append a digest; readers take the larger of equal counts.
 
+Which row is encoded: of the rows of a missing digest those with the least id. Rows that share digest and id, or have no id,
+are told apart within a task only: each task encodes a digest once, and one of equal counts is appended.
+Rows that need no encoding (copies, and texts that the cache has) are kept out by an anti-join on (id, digest): by broadcast up
+to broadcast_rows of them, else by a shuffle, which moves the texts once.
+
 Inside a task, words between spaces and line feeds are counted once and remembered
 (at most MEMO of them): the tokenizer's pattern never matches across white space,
 so a text's count is the sum over them.
 
 Defined cases: a null text is the empty text (0 bytes, 0 tokens); repeated rows
 each give a row; rows with a null id are counted like others; an empty table
-gives an empty result and leaves the cache as it was.
+gives an empty result and leaves the cache as it was; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import durable, table, text_of  # noqa: F401
+from .shared import bounded_batches, drop, durable, lean, text_of, trim
 
-MEMO = 1_000_000
+MEMO = 300_000
 #: Most rows of id and digest that are broadcast (40 bytes each); beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
@@ -36,47 +46,58 @@ CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 _loaded: dict = {}
 
 
-def _counter(tokenizer_json: bytes, version: str):
-    """A function from a list of texts to their token counts; one tokenizer and memory of words for each worker."""
-    if version not in _loaded:
+def as_it_is(text: Column) -> Column:
+    return text
+
+
+def folded(text: Column) -> Column:
+    """One space for white space in a row (0x20, 0x09-0x0D), none at the ends, and A-Z in lower case where no '<|' stands."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    one = F.trim(F.regexp_replace(text, r"[ \t-\r]+", " "))
+    return F.when(F.contains(text, F.lit("<|")), one).otherwise(F.translate(one, upper, upper.lower()))
+
+
+def _counter(tokenizer_json: bytes, memo: dict[str, int]):
+    """A function from a text to its token count; words' counts are remembered in memo."""
+    key = hash(tokenizer_json)
+    if key not in _loaded:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json.decode())
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _loaded[version] = (tokenizer, {})
-    tokenizer, memo = _loaded[version]
-
-    def count(texts: list[str]) -> list[int]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            if new := [w for w in set(words) if w not in memo]:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(set(words))
-                memo.update(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out.append(sum(map(memo.__getitem__, words)))
-        return out
+        _loaded.clear()
+        _loaded[key] = tokenizer
+    tokenizer = _loaded[key]
+
+    def count(text: str) -> int:
+        words = text.replace("\n", " ").split(" ")
+        if new := [w for w in set(words) if w not in memo]:
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                new = list(set(words))
+            memo.update(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return sum(map(memo.__getitem__, words))
 
     return count
 
 
-def count_column(text, tokenizer_json: bytes, version: str):
-    """Column of token counts of a text column, as the tokenizers library gives them without added special tokens."""
-
-    def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = _counter(tokenizer_json, version)
-        for texts in batches:
-            yield pa.array([count([t.as_py()])[0] for t in texts], pa.int64())
-
-    from collections.abc import Iterator
+def _count_misses(batches: Iterator[pa.RecordBatch], tokenizer_json: bytes) -> Iterator[pa.RecordBatch]:
+    """(digest, n_tokens) of rows (digest, text), each digest once."""
+    import os
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "bigint")(text)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    lean()
+    memo: dict[str, int] = {}
+    count, done = _counter(tokenizer_json, memo), set()
+    try:
+        for batch in batches:
+            digests = batch.column(0).to_pylist()
+            new = [i for i, d in enumerate(digests) if d not in done and not done.add(d)]
+            yield pa.record_batch([pa.array([digests[i] for i in new], pa.binary()), pa.array([count(batch.column(1)[i].as_py()) for i in new], pa.int64())], ["digest", "n_tokens"])
+    finally:
+        memo.clear()
+        trim()
 
 
 def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
@@ -88,20 +109,26 @@ def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
 
-def token_counts(docs: DataFrame, tokenizer_json: bytes, cache_path: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, digest, n_tokens."""
-    spark, version = docs.sparkSession, hashlib.sha256(tokenizer_json).hexdigest()
-    texts = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
-    keyed = durable(texts.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
-    known = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+def token_counts(docs: DataFrame, tokenizer_json: bytes, cache_path: str, id_col: str = "doc_id", text_col: str = "text", normal: Callable[[Column], Column] = as_it_is, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, digest (of the normalised text), n_tokens."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    version = hashlib.sha256(tokenizer_json).hexdigest() + ":" + normal.__name__
+    raw = text_of(docs, text_col)
+    texts = docs.select(docs[id_col].alias("doc_id"), F.octet_length(raw).cast("bigint").alias("n_bytes"), normal(raw).alias("text"))
+    digested = texts.select("doc_id", "n_bytes", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    keyed = durable(digested.drop("text"), "digests")
+    known = lambda: read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    missing = firsts.join(known, "digest", "left_anti")
-    # Rows that need no encoding: copies of another row, and texts that the cache has. They are fewer than the rest on a cold cache.
-    spare = durable(keyed.join(missing, "digest", "left").where("first_id is null or doc_id <> first_id").where("doc_id is not null").select("doc_id", "digest").distinct(), "spare")
-    n = spare.count()
-    spare = F.broadcast(spare) if n <= broadcast_rows else spare
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    new = texts.select("doc_id", "text", digest).join(spare, ["doc_id", "digest"], "left_anti").select("digest", count_column(F.col("text"), tokenizer_json, version).alias("n_tokens"))
+    missing = firsts.join(known(), "digest", "left_anti")
+    # Rows that need no encoding. A row without an id does only where no row of its digest has one.
+    spare = keyed.join(missing.withColumn("is_missing", F.lit(True)), "digest", "left").where("is_missing is null or not (doc_id <=> first_id)")
+    spare = durable(spare.select(F.col("doc_id").alias("spare_id"), F.col("digest").alias("spare_digest")).distinct(), "spare")
+    few = F.broadcast(spare) if spare.limit(broadcast_rows + 1).count() <= broadcast_rows else spare
+    on = digested["doc_id"].eqNullSafe(few["spare_id"]) & (digested["digest"] == few["spare_digest"])
+    misses = digested.join(few, on, "left_anti").select("digest", "text")
+    counted = durable(misses.mapInArrow(lambda b: _count_misses(b, tokenizer_json), "digest binary, n_tokens bigint"), "counted")
+    new = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "digest", "n_tokens")
+    drop(spare, counted)
+    return keyed.join(known(), "digest").select("doc_id", "n_bytes", "digest", "n_tokens")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import lean
+
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,6 +86,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts of about `most` bytes together, with the first one's place; null is the empty text."""
+    lean()
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     begin, total = 0, 0
     data = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts.cast(pa.large_binary())

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,125 @@ def test_templates_and_purity(spark):
     assert (got[1].verdict, got[2].verdict, got[3].verdict) == ("allow", "block", "allow")
 
 
+def brute_tree(urls):
+    """(host, path) to (template, branch, verdict); urls: (host, path) to [n, good, labelled]."""
+    t = url_templates
+    good, known = (sum(u[k] for u in urls.values()) for k in (1, 2))
+    prior = good / known if known else 1.0
+
+    def differs(a, b, pool_a, pool_b):
+        rate = (pool_a + t.WEIGHT * prior) / (pool_b + t.WEIGHT)
+        return b > 0 and abs(a / b - rate) > t.APART * math.sqrt(max(rate * (1 - rate), 1e-6) / b)
+
+    def add(into, key, u):
+        into.setdefault(key, [0, 0, 0])
+        into[key] = [x + y for x, y in zip(into[key], u, strict=True)]
+
+    parts, steps = {}, {}
+    for key in urls:
+        p = [s for s in key[1].split("/") if s]
+        parts[key], steps[key] = (p[: t.LEVELS - 1] + ["/".join(p[t.LEVELS - 1 :])] if len(p) > t.LEVELS else p), ()
+    for level in range(max(map(len, parts.values()), default=0)):
+        node, raw, form = {}, {}, {}
+        live = [k for k in urls if len(parts[k]) > level]
+        for k in live:
+            s = parts[k][level]
+            add(node, (k[0], steps[k]), urls[k])
+            add(raw, (k[0], steps[k], s), urls[k])
+            add(form, (k[0], steps[k], re.sub("[0-9]+", "#", s)), urls[k])
+
+        def stays(table, key):
+            n, a, b = table[key]
+            all_n, all_a, all_b = node[key[:2]]
+            return n >= t.MIN_COUNT and (n >= all_n * t.SHARE or b >= t.MIN_COUNT and differs(a, b, all_a, all_b))
+
+        for k in live:
+            s, at = parts[k][level], (k[0], steps[k])
+            f = re.sub("[0-9]+", "#", s)
+            steps[k] += (s if stays(raw, (*at, s)) else f if stays(form, (*at, f)) else "*",)
+    nodes, alone = {}, {}
+    for k, u in urls.items():
+        add(nodes, (k[0], steps[k]), u)
+    for depth in range(max(map(len, steps.values()), default=0), 0, -1):
+        pool = {}
+        for (host, st), u in nodes.items():
+            if len(st) in (depth, depth - 1):
+                add(pool, (host, st[: depth - 1]), u)
+        for (host, st), u in [x for x in nodes.items() if len(x[0][1]) == depth]:
+            if differs(u[1], u[2], *pool[host, st[:-1]][1:]):
+                alone[host, st] = u
+            else:
+                add(nodes, (host, st[:-1]), u)
+    alone |= {k: u for k, u in nodes.items() if not k[1]}
+    out = {}
+    for k in urls:
+        branch = max((st for host, st in alone if host == k[0] and steps[k][: len(st)] == st), key=len, default=())
+        _, a, b = alone.get((k[0], branch), (0, 0, 0))
+        text = lambda st: "".join("/" + s for s in st)
+        out[k] = (text(steps[k]), text(branch), "block" if (a + t.WEIGHT * prior) / (b + t.WEIGHT) < t.REJECT_BELOW else "allow")
+    return out
+
+
+def split_url(url):
+    rest = (url or "").partition("://")[2] if "://" in (url or "") else None
+    host = re.split("[/?#]", rest, maxsplit=1)[0] if rest is not None else ""
+    return host.translate(LOWER), re.split("[?#]", (rest or "")[len(host) :], maxsplit=1)[0]
+
+
+def urls_of(pages, labels):
+    urls = collections.defaultdict(lambda: [0, 0, 0])
+    for url in pages:
+        urls[split_url(url)][0] += 1
+    for url, label in labels:
+        urls[split_url(url)][1] += label == 1
+        urls[split_url(url)][2] += label in (0, 1)
+    return {k: [max(n, b), a, b] for k, (n, a, b) in urls.items()}
+
+
+def test_tree_brute(spark):
+    rng = random.Random(17)
+    pages, labels = [], []
+    for i in range(3000):
+        host = rng.choice(["a.org", "B.org:80", "c.net"])
+        section = rng.choice(["news", "shop", "blog/x/y", "forum/t", f"u{rng.randrange(400)}", "", f"deep/{'/'.join('abcdefgh')}"])
+        leaf = rng.choice(["good/1", "bad/2", f"p{i}.html", f"{i}", "index", f"{rng.randrange(3)}/{i}/x"])
+        url = f"http://{host}/{section}/{leaf}" + rng.choice(["", "?q=/x", "#f"])
+        pages.append(url)
+        if rng.random() < 0.5:
+            poor = "bad" in leaf or section == "shop" or (host == "c.net" and "deep" in section)
+            labels.append((url, int(rng.random() < (0.1 if poor else 0.9))))
+    pages += ["http://trap.org" + "/a" * 40 + f"/{i}" for i in range(12)] + ["nothing", None, "http://few.org/1/2/3", "http://few.org"]
+    labels += [("http://trap.org" + "/a" * 40 + "/3", 0), ("http://other.org/x", 0), (pages[0], None), (pages[1], 5)]
+    brute = brute_tree(urls_of(pages, labels))
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, url string")
+    got = url_templates.url_filter(frame, [], spark.createDataFrame(labels, "url string, label int")).collect()
+    assert {r.page_id: ((r.host, r.path), (r.template, r.branch, r.verdict)) for r in got} == {i: (split_url(u), brute[split_url(u)]) for i, u in enumerate(pages)}
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_deep_paths_are_told_apart(spark):
+    """Labels that only the fourth of five segments explains."""
+    rows = [(f"http://h.org/a/b/c/{kind}/{i}", int(kind == "good")) for i in range(200) for kind in ("good", "bad")]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_templates.url_filter(pages, [], spark.createDataFrame(rows, "url string, label int")).collect()}
+    assert all(got[i] == ("allow" if good else "block") for i, (_, good) in enumerate(rows))
+    assert got and url_templates.url_filter(pages.limit(0), [], None).count() == 0
+
+
+def test_op4(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    labels = [(r.url, marks.get(int(n[-1]) if (n := re.findall("[0-9]{1,18}", split_url(r.url)[1])) else None)) for r in pages]
+    brute = brute_tree(urls_of([r.url for r in pages], [x for x in labels if x[1] in (0, 1)]))
+    for r in queries.op4_url_templates(spark, sf).collect():
+        url = next(p.url for p in pages if p.page_id == r.page_id)
+        host, path = split_url(url)
+        fits = [(what, rule) for what, rule in queries.RULES if (host == (h := rule.partition("/")[0]) or host.endswith("." + h)) and path.startswith(rule[len(h) :])]
+        what, rule = max(fits, key=lambda x: len(x[1]), default=(None, None))
+        assert (r.host, r.path, r.rule, r.verdict, r.template) == (host, path, rule, what or brute[host, path][2], brute[host, path][0])
+
+
 # Mixing
 
 
@@ -156,6 +276,35 @@ def test_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mix_keeps_columns_and_spreads(spark):
+    """Columns named as internal or added ones; rows without ids and empty texts don't meet in one block."""
+    rows = [(None, f"text number {i}", "s", i, "e", "b", i, i) for i in range(300)] + [(i, "", "empty", i, "e", "b", i, i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_id int, epoch string, block string, key int, tokens int")
+    got = source_mixing.mix(docs, max_repeats=2.0, block_tokens=50).collect()
+    assert got[0].asDict().keys() == {*docs.columns, "epoch_mix", "block_mix", "order_key", "weight"}
+    assert {r.mix_id for r in got if r.source == "s"} == set(range(300)) == {r.mix_id for r in got if r.source == "empty"}
+    blocks = collections.Counter((r.source, r.block_mix) for r in got)
+    assert len({b for s, b in blocks if s == "s"}) > 15 and len({b for s, b in blocks if s == "empty"}) > 4
+    assert source_mixing.added_names(["weight", "weight_mix"])[-1] == "weight_mix_mix"
+
+
+def same_rows(df, sql, sf):
+    """Whether DuckDB gives df's rows."""
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    result = con.execute(sql)
+    names = sorted(d[0] for d in result.description)
+    told = lambda rows, at: sorted(str([f"{v:.6f}" if isinstance(v, float) else v for v in (r[at[c]] for c in names)]) for r in rows)
+    assert names == sorted(df.columns)
+    return told([tuple(r) for r in df.collect()], {c: df.columns.index(c) for c in names}) == told(result.fetchall(), {d[0]: i for i, d in enumerate(result.description)})
+
+
+def test_op6_sql(spark, sf):
+    for d in (sf, "/root/testdata/sf0.01"):
+        assert same_rows(queries.op6_source_mixing(spark, d), queries.ORACLES["op6_source_mixing"], d)
+
+
 # Neighbours
 
 
@@ -167,7 +316,7 @@ def test_nearest(spark):
     whole = np.vstack((x, x[:1])).astype(np.float64)
     for chunk, queries_at_once in ((16384, 4096), (7, 5)):
         got = collections.defaultdict(list)
-        found = ann_polytope.nearest(df, F.col("id") % 20 == 0, k=5, tables=4, probes=32, chunk=chunk, chunk_queries=queries_at_once)  # all axes: exact
+        found = ann_polytope.nearest(df, F.col("id") % 20 == 0, k=5, tables=3, probes=1.0, chunk=chunk, chunk_queries=queries_at_once)  # all axes: exact
         for r in found.orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
         assert set(got) == set(range(0, 401, 20))
@@ -178,13 +327,44 @@ def test_nearest(spark):
     assert ann_polytope.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_op8_recall(spark):
-    sf = "/root/testdata/sf0.01"
-    got = {(r.query_id, r.vec_id) for r in queries.op8_ann_polytope(spark, sf).collect()}
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    m, ids = np.array([r.embedding for r in rows], np.float64), [r.vec_id for r in rows]
-    true = {(ids[i], ids[j]) for i in range(len(ids)) if ids[i] % 20 == 0 for j in [j for j in np.argsort(-(m @ m[i])) if j != i][:20]}
-    assert len(true & got) / len(true) >= 0.9
+def brute_nearest(x, ids, k):
+    """(query, vector) pairs of the k nearest, ties to the smaller id."""
+    out = set()
+    for i in (i for i, v in enumerate(ids) if v % 20 == 0):
+        score = x @ x[i]
+        out |= {(ids[i], ids[j]) for j in sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-score[j], ids[j]))[:k]}
+    return out
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_op8_recall(spark, sf_dir):
+    rows = queries.op8_ann_polytope(spark, sf_dir).collect()
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    m, ids = np.array([r.embedding for r in table], np.float64), [r.vec_id for r in table]
+    true = brute_nearest(m, ids, 20)
+    at = {v: i for i, v in enumerate(ids)}
+    assert len(true & {(r.query_id, r.vec_id) for r in rows}) / len(true) >= 0.9
+    assert len(rows) == len(true) and all(r.score == pytest.approx(m[at[r.query_id]] @ m[at[r.vec_id]], abs=1e-12) for r in rows)
+    # Pairs scored, as a share of all: below brute force, and each once.
+    found = [ann_polytope.axes(m, t, n) for n in (1, int(np.ceil(ann_polytope.PROBES * 128))) for t in range(ann_polytope.TABLES)]
+    points, asked = np.concatenate(found[: ann_polytope.TABLES], 1), np.concatenate(found[ann_polytope.TABLES :], 1)[[i for i, v in enumerate(ids) if v % 20 == 0]]
+    met = [ann_polytope.probed(points, asked, t) for t in range(ann_polytope.TABLES)]
+    assert not (met[0] & met[1]).any() and np.mean(met[0] | met[1]) < 0.75
+
+
+def test_nearest_of_unequal_lengths_and_few(spark):
+    """Inner products favour long vectors; a query whose buckets hold too little is asked again over all."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 16)) * rng.lognormal(sigma=1.0, size=(600, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann_polytope.nearest(df, F.col("id") % 20 == 0).collect()}
+    true = brute_nearest(x, list(range(600)), 20)
+    assert len(got) == len(true) and len(true & got) / len(true) >= 0.9
+    # All but the queries stand in one direction, away from them.
+    y = np.tile([1.0] + [0.0] * 15, (60, 1)) + rng.normal(size=(60, 16)) * 0.01
+    y[::20] = [-1.0] + [0.0] * 15
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id bigint, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in ann_polytope.nearest(df, F.col("id") % 20 == 0, probes=0.1).collect()} == brute_nearest(y, list(range(60)), 20)
 
 
 # Passages

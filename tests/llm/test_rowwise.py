@@ -1,6 +1,7 @@
 """Operators that treat each row alone: media, secrets, quality, tokens, token counts."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -247,10 +248,14 @@ def test_replay_lower_rank():
 # Token counts
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def count_tokens(text):
     """As the library gives it."""
-    tokenizer = count_tokens.__dict__.setdefault("it", Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
-    return len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+    return len(tokenizer().encode(text or "", add_special_tokens=False).ids)
 
 
 def test_token_cache(spark, sf, odd, none, tmp_path):

@@ -1,6 +1,6 @@
 """Command line: ingest a folder into Parquet tables, show their state, retrieve and ask.
 
-    python -m folioforge.cli --home DIR status|ingest PATH|retrieve QUESTION|ask QUESTION [--session ID]
+    python -m folioforge.cli --home DIR init|status|ingest PATH|validate PATH|import PATH|retrieve QUESTION|ask QUESTION [--session ID]
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .errors import UnsupportedFileError
-from .operators import structure
+from .operators import concepts, structure
 from .plans.engine import Engine
 from .sources import readers
 
@@ -42,7 +42,7 @@ def main(argv: list[str]) -> int:
     args = argparse.ArgumentParser(description=__doc__)
     args.add_argument("--home", required=True)
     args.add_argument("--session", default="default")
-    args.add_argument("command", choices=("status", "ingest", "retrieve", "ask"))
+    args.add_argument("command", choices=("init", "status", "ingest", "validate", "import", "retrieve", "ask"))
     args.add_argument("what", nargs="?", default="")
     a = args.parse_args(argv)
     spark = SparkSession.builder.appName("folioforge").getOrCreate()
@@ -55,8 +55,11 @@ def main(argv: list[str]) -> int:
         following = str(int(version) + 1)
         engine = engine.ingest(files, lambda f: structure.plain_blocks(readers.plain_texts(f))).save(f"{a.home}/{following}")
         spark.createDataFrame([(int(following),)], "version bigint").coalesce(1).write.mode("append").json(f"{a.home}/versions")
+    if a.command == "import":
+        made, issues = concepts.import_bundle(readers.bundle(spark, a.what), spark.createDataFrame([], schemas.CONCEPTS), f"{a.home}/concepts/files")
+        made.write.mode("overwrite").parquet(f"{a.home}/concepts/table")
     questions = spark.createDataFrame([(1, a.what, a.session)], "query_id int, question string, session_id string")
-    out = {"status": engine.status, "ingest": engine.status, "retrieve": lambda: engine.retrieve_passages(questions), "ask": lambda: engine.ask(questions)}[a.command]()
+    out = {"init": engine.status, "status": engine.status, "ingest": engine.status, "validate": lambda: concepts.validate_bundle(concepts.bundle_files(readers.bundle(spark, a.what))), "import": lambda: issues, "retrieve": lambda: engine.retrieve_passages(questions), "ask": lambda: engine.ask(questions)}[a.command]()
     for row in out.toJSON().toLocalIterator():
         print(json.dumps(json.loads(row), ensure_ascii=False))
     return 0

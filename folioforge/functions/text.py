@@ -79,7 +79,7 @@ def document_slug(stem: Column, document_id: Column) -> Column:
 
 
 def fold(t: Column) -> Column:
-    """Lower case without Latin diacritics."""
+    """Lower case without Latin diacritics, as full-text search has it (letters with two diacritics stay)."""
     return F.translate(F.lower(t), C.FOLD_FROM, C.FOLD_TO)
 
 
@@ -133,13 +133,30 @@ def core_topic(q: Column) -> Column:
 
 def comparison_parts(q: Column) -> Column:
     """The two sides of a comparison, or the question alone."""
-    topic = r"(?i)(?:^|[^\p{L}\p{N}_])(?:compare|comparison|difference|between)(?=$|[^\p{L}\p{N}_])"
-    bare = lambda s: F.regexp_replace(F.regexp_replace(s, topic, " "), r"^[ ?.,:;]+|[ ?.,:;]+$", "")
-    pattern = r"(?i)^(?:\s*(?:compare|comparison|difference(?:\s+between)?))?\s*(.+?)\s+(?:vs\.?|versus|and|with|to)\s+(.+?)\s*\??$"
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, C.COMPARISON_WORD, " "), r"^[ ?.,:;]+|[ ?.,:;]+$", "")
+    pattern = C.COMPARISON
     left, right = bare(F.regexp_extract(q, pattern, 1)), bare(F.regexp_extract(q, pattern, 2))
     return F.when(q.rlike(pattern), F.array(left, right)).otherwise(F.array(q))
 
 
+def truncate_block(t: Column, n: int = 200) -> Column:
+    """The first n words, their space normalised, with an ellipsis where there are more."""
+    w = words(t)
+    return F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, F.lit("…")).otherwise(F.lit("")))
+
+
+def looks_like_heading(t: Column) -> Column:
+    """The predicate of outlines: an upper-case opening after an optional number, few words, no stop at the end."""
+    line = F.trim(t)
+    fits = line.rlike(C.OUTLINE_HEADING) & ~line.rlike(C.OUTLINE_END)
+    return fits & (F.length(line) <= C.OUTLINE_CHARS) & word_count(line).between(1, C.OUTLINE_WORDS)
+
+
+def is_topic(q: Column) -> Column:
+    """Whether a question names a topic in words, as debugging output tells it."""
+    return F.exists(F.array(*map(F.lit, C.TOPIC_WORDS)), lambda w: F.contains(F.lower(q), w))
+
+
 def numbering_depth(t: Column) -> Column:
     depth = None
     for pattern, d in C.HEADING_PATTERNS:

@@ -82,6 +82,38 @@ def citations(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("source_id", F.concat(F.lit("S"), F.row_number().over(w).cast("string"))).withColumn("excerpt", T.excerpt(F.col("text")))
 
 
+def selected_citation(evidence: DataFrame, answers: DataFrame) -> DataFrame:
+    """The citations of answers (query_id, node_id): the node that an answer was taken from, as S1; all of a question's where it names none."""
+    own = answers.where("node_id is not null").select("query_id", "node_id")
+    chosen = citations(evidence.join(own, ["query_id", "node_id"], "left_semi"))
+    rest = citations(evidence.join(own.select("query_id"), "query_id", "left_anti"))
+    return chosen.unionByName(rest)
+
+
+def used_citations(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """Those of cited (query_id, source_id, ...) that an answer marks."""
+    marks = answers.select("query_id", F.explode(T.source_marks(F.col("answer"))).alias("source_id")).distinct()
+    return cited.join(marks, ["query_id", "source_id"], "left_semi")
+
+
+def chunk_answers(questions: DataFrame, evidence: DataFrame, generate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, answer, way): the four tiers over chunks: a fact or definition, a sentence with the question's terms, a generator's answer,
+    the first sentence in 45 words; questions without evidence are left out."""
+    tiers = [facts(evidence).select("query_id", "answer", F.lit(0).alias("way")), definitions(evidence).select("query_id", "answer", F.lit(0).alias("way")), overlap_sentences(evidence).select("query_id", "answer", F.lit(1).alias("way"))]
+    if generate is not None:
+        made = questions.select("query_id", "question").join(evidence_block(evidence, 200), "query_id").select("query_id", generate(prompt(F.col("question"), F.col("block"))).alias("answer"))
+        valid = validate(made, citations(evidence)).where("valid").select("query_id")
+        tiers.append(made.join(valid, "query_id", "left_semi").withColumn("way", F.lit(2)))
+    first = Window.partitionBy("query_id").orderBy("rank", "node_id")
+    head = evidence.where("trim(text) <> ''").withColumn("no", F.row_number().over(first)).where("no = 1")
+    tiers.append(head.select("query_id", T.truncate_words(F.get(T.sentences(F.col("text")), F.lit(0)), 45).alias("answer"), F.lit(3).alias("way")))
+    every = tiers[0]
+    for tier in tiers[1:]:
+        every = every.unionByName(tier)
+    best = Window.partitionBy("query_id").orderBy("way", "answer")
+    return every.where("trim(answer) <> ''").withColumn("no", F.row_number().over(best)).where("no = 1").select("query_id", T.with_source_mark(F.col("answer")).alias("answer"), "way")
+
+
 def evidence_block(evidence: DataFrame, n_words: int = 90) -> DataFrame:
     """(query_id, block): numbered sources with pages, section and text. evidence has page_start, page_end and heading_path."""
     cited = citations(evidence)
@@ -107,7 +139,7 @@ def extractive(questions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def generated(questions: DataFrame, evidence: DataFrame, generate: Callable[[Column], Column], fallback: DataFrame) -> DataFrame:
     """Answers of a pluggable generator (a column of prompts to a column of texts), the fallback's where they fail the checks."""
-    made = questions.select("query_id", "question").join(evidence_block(evidence, 200), "query_id").withColumn("made", generate(prompt(F.col("question"), F.col("block"))))
+    made = questions.select("query_id", "question").join(evidence_block(evidence, 200), "query_id").withColumn("made", generate(prompt(F.col("question"), F.col("block")))).where("trim(made) <> ''")
     checked = validate(made.select("query_id", F.col("made").alias("answer")), citations(evidence)).where("valid").select("query_id")
     good = made.join(checked, "query_id").select("query_id", "question", F.col("made").alias("answer"), F.lit(True).alias("answerable"), F.lit("GENERATE").alias("strategy"), F.lit(None).cast("string").alias("node_id"))
     return good.unionByName(fallback.join(good.select("query_id"), "query_id", "left_anti"))

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..errors import ConflictError, DocumentNotFoundError, JobNotFoundError, SessionNotFoundError
 from ..functions import ids
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: list[str], version: str | None = None, keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """existing with new's rows in place of those of the same key; of several new ones the last by version. Columns in keep stay as they were."""
+    """existing with new's rows in place of those of the same key; of several new ones the last by version. Without a version new must
+    hold a key once: rows of a table have no order, so there is no last one (checked, ConflictError). Columns in keep stay as they were."""
     if version:
         last = Window.partitionBy(*key).orderBy(F.desc(version))
         new = new.withColumn("_no", F.row_number().over(last)).where("_no = 1").drop("_no")
-    else:
-        new = new.dropDuplicates(key)
+    elif new.groupBy(*key).count().where("count > 1").limit(1).count():
+        raise ConflictError(f"several new rows of one {', '.join(key)}; name the column of their version")
     held = [c for c in keep if c in existing.columns and c not in key]
     if held:
         old = existing.select(*key, *(F.col(c).alias(f"_old_{c}") for c in held))
@@ -88,8 +93,98 @@ def nodes_for_session(nodes: DataFrame, documents: DataFrame, session: str | Non
     return nodes.join(docs.where(F.col("session_id") == session) if session is not None else docs, "document_id")
 
 
-def job_event(job_id: Column, status: Column, message: Column, at: Column) -> list[Column]:
-    return [job_id.alias("job_id"), status.alias("status"), F.substring(message, 1, 500).alias("progress_message"), at.alias("updated_at")]
+# Scans
+
+
+def documents_of(documents: DataFrame, session: str | None = None, sha256: str | None = None) -> DataFrame:
+    """Documents, newest first; of one session, and with one content, where given."""
+    rows = documents if session is None else documents.where(F.col("session_id") == session)
+    rows = rows if sha256 is None else rows.where(F.col("sha256") == sha256)
+    return rows.orderBy(F.desc("created_at"), "document_id")
+
+
+def nodes_in_order(nodes: DataFrame, documents: list[str] | None = None) -> DataFrame:
+    """Nodes by document, depth and position."""
+    rows = nodes if documents is None else nodes.where(F.col("document_id").isin(documents))
+    return rows.orderBy("document_id", "depth", "position", "node_id")
+
+
+def chunks_of(chunks: DataFrame, document: str | None = None, session: str | None = None) -> DataFrame:
+    """Chunks in reading order, of a document or session where given."""
+    rows = chunks if document is None else chunks.where(F.col("document_id") == document)
+    rows = rows if session is None else rows.where(F.col("session_id") == session)
+    return rows.orderBy("document_id", "sequence")
+
+
+def concepts_of(concepts: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Concepts by title; of these ids where given."""
+    rows = concepts if wanted is None else concepts.where(F.col("concept_id").isin(wanted))
+    return rows.orderBy("title", "concept_id")
+
+
+def one(table: DataFrame, key: str, value: str, error: type[Exception]) -> DataFrame:
+    """The row of a key, for the edge of the engine: raises where there is none."""
+    row = table.where(F.col(key) == value)
+    if not row.limit(1).count():
+        raise error(f"no row with {key} {value!r}")
+    return row
+
+
+def document(documents: DataFrame, document_id: str) -> DataFrame:
+    return one(documents, "document_id", document_id, DocumentNotFoundError)
+
+
+def job(log: DataFrame, job_id: str) -> DataFrame:
+    """The state of a job: its newest event."""
+    return latest(one(log, "job_id", job_id, JobNotFoundError), ["job_id"], [F.desc("updated_at"), F.desc("stage")])
+
+
+def document_nodes(nodes: DataFrame) -> DataFrame:
+    """(document_id, node_ids): each document's nodes in order."""
+    place = F.struct("depth", "position", "node_id")
+    gathered = nodes.groupBy("document_id").agg(F.array_sort(F.collect_list(place)).alias("n"))
+    return gathered.select("document_id", F.transform("n", lambda x: x["node_id"]).alias("node_ids"))
+
+
+# Sessions
+
+
+def ensure_sessions(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sessions with those in wanted (session_id, title) made, or renamed where they are there; created_at stays."""
+    new = wanted.select("session_id", "title").withColumn("created_at", F.current_timestamp())
+    return upsert(sessions, new, ["session_id"])
+
+
+def new_session(sessions: DataFrame, title: str) -> tuple[DataFrame, str]:
+    """sessions with a new one of this title, and its id."""
+    if not title.strip():
+        raise ValueError("a session needs a title")
+    made = f"session_{uuid.uuid4().hex[:16]}"
+    row = sessions.sparkSession.createDataFrame([(made, title.strip())], "session_id string, title string")
+    return ensure_sessions(sessions, row), made
+
+
+def rename_session(sessions: DataFrame, session_id: str, title: str) -> DataFrame:
+    """sessions with another title for one that is there."""
+    one(sessions, "session_id", session_id, SessionNotFoundError)
+    return sessions.withColumn("title", F.when(F.col("session_id") == session_id, F.lit(title)).otherwise(F.col("title")))
+
+
+# Jobs: an append-only log of events, whose newest is a job's state
+
+
+def job_events(subjects: DataFrame, status: str, message: str, stage: int) -> DataFrame:
+    """Events of jobs (job_id, document_id, session_id) that enter a state; messages hold 500 characters."""
+    if status not in C.JOB_STATES:
+        raise ValueError(f"unknown state {status!r}")
+    now = F.current_timestamp()
+    return subjects.select("job_id", "document_id", "session_id", F.lit(status).alias("status"), F.substring(F.lit(message), 1, 500).alias("progress_message"), now.alias("created_at"), now.alias("updated_at"), F.lit(stage).alias("stage"))
+
+
+def transitions(log: DataFrame) -> DataFrame:
+    """log with previous (the state before) and is_terminal; messages cut to 500 characters."""
+    w = Window.partitionBy("job_id").orderBy("updated_at", "stage")
+    return log.withColumns({"previous": F.lag("status").over(w), "is_terminal": F.col("status").isin(*C.JOB_TERMINAL), "progress_message": F.substring("progress_message", 1, 500)})
 
 
 def latest_jobs(log: DataFrame) -> DataFrame:
@@ -97,10 +192,18 @@ def latest_jobs(log: DataFrame) -> DataFrame:
     return latest(log, ["document_id"], [F.desc("created_at"), F.desc("job_id")])
 
 
-def resolve_slugs(concepts: DataFrame) -> DataFrame:
-    """concepts with slugs made unique: later ones of a slug (by arrival, then id) get the last eight characters of their id."""
-    w = Window.partitionBy("slug").orderBy("arrival", "concept_id")
-    return concepts.withColumn("_no", F.row_number().over(w)).withColumn("slug", F.when(F.col("_no") > 1, F.concat_ws("-", "slug", F.substring("concept_id", -8, 8))).otherwise(F.col("slug"))).drop("_no")
+def resolve_slugs(concepts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """concepts with slugs made unique: later ones of a slug (by arrival, then id) get the last eight characters of their id, and so do
+    those whose slug is taken (slug); one whose suffixed slug is there too gets its whole id."""
+    own = Window.partitionBy("slug").orderBy("arrival", "concept_id")
+    rows = concepts.withColumns({"_no": F.row_number().over(own), "_first": F.col("slug")})
+    held = rows.where("_no = 1").select("slug").unionByName(taken.select("slug") if taken is not None else rows.select("slug").limit(0)).distinct().withColumn("_held", F.lit(True))
+    if taken is not None:
+        rows = rows.join(taken.select("slug").distinct().withColumn("_taken", F.lit(True)), "slug", "left")
+    late = (F.col("_no") > 1) | (F.coalesce("_taken", F.lit(False)) if taken is not None else F.lit(False))
+    rows = rows.withColumn("slug", F.when(late, F.concat_ws("-", "_first", F.substring("concept_id", -8, 8))).otherwise(F.col("_first"))).withColumn("_late", late)
+    rows = rows.join(held, "slug", "left").withColumn("slug", F.when(F.col("_late") & F.col("_held"), F.concat_ws("-", "_first", "concept_id")).otherwise(F.col("slug")))
+    return rows.select(concepts.columns)
 
 
 def status_counts(documents: DataFrame) -> DataFrame:

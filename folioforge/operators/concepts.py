@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..errors import BundleError
 from ..functions import text as T
+from ..plans.tables import at_rest
+from . import catalog
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
@@ -21,17 +24,27 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.transform(F.filter(runs, ok), lambda r: F.array_join(r, " "))
 
 
+def sentence_tokens(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_id, sentence, grams): each sentence's candidates of one to three words, with repeats."""
+    s = chunks.select("document_id", "chunk_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sentence", "s")).withColumn("t", T.tokens(F.col("s")))
+    return s.select("document_id", "chunk_id", "sentence", F.concat(*(_ngrams(F.col("t"), n) for n in (3, 2, 1))).alias("grams"))
+
+
 def phrases(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, sentence, phrase), one row for each occurrence of a candidate of one to three words."""
-    s = chunks.select("document_id", "chunk_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sentence", "s")).withColumn("t", T.tokens(F.col("s")))
-    return s.select("document_id", "chunk_id", "sentence", F.explode(F.concat(*(_ngrams(F.col("t"), n) for n in (3, 2, 1)))).alias("phrase"))
+    return sentence_tokens(chunks).select("document_id", "chunk_id", "sentence", F.explode("grams").alias("phrase"))
+
 
+def scores(chunks: DataFrame) -> DataFrame:
+    """(document_id, phrase, hits, n_sentences, score): distinct sentences, times 1 + 0.35 for each further token.
 
-def scores(found: DataFrame) -> DataFrame:
-    """(document_id, phrase, hits, n_sentences, score): distinct sentences, times 1 + 0.35 for each further token."""
+    A sentence's distinct phrases are told before the shuffle, so both numbers are sums that partial aggregation shrinks."""
+    one = lambda hit, first: lambda p: F.struct(p.alias("phrase"), F.lit(hit).alias("hits"), F.lit(first).alias("n_sentences"))
+    both = F.concat(F.transform("grams", one(1, 0)), F.transform(F.array_distinct("grams"), one(0, 1)))
+    rows = sentence_tokens(chunks).select("document_id", F.explode(both).alias("p")).select("document_id", "p.*")
     more = F.size(F.array_distinct(F.split("phrase", " "))) - 1
-    one = found.groupBy("document_id", "phrase").agg(F.count("*").alias("hits"), F.countDistinct("chunk_id", "sentence").alias("n_sentences"))
-    return one.withColumn("score", F.round(F.col("n_sentences") * (1 + 0.35 * more), 6))
+    summed = rows.groupBy("document_id", "phrase").agg(F.sum("hits").alias("hits"), F.sum("n_sentences").alias("n_sentences"))
+    return summed.withColumn("score", F.round(F.col("n_sentences") * (1 + 0.35 * more), 6))
 
 
 def _prune(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -54,11 +67,28 @@ def _prune(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         out = {c: [] for c in out}
 
 
-def top_concepts(scored: DataFrame, most: int = 12) -> DataFrame:
-    """(document_id, phrase, score, place): greedy choice by score; only the kept phrases of one document are in memory."""
+#: Phrases of each document that are looked at first; sixteen times as many where they don't suffice.
+FIRST = 256
+
+
+def top_concepts(scored: DataFrame, most: int = 12, first: int = FIRST) -> DataFrame:
+    """(document_id, phrase, score, place): greedy choice by score. Each document's best phrases only meet in one task; those of
+    documents that need more of them are looked at again with more."""
+    scored = at_rest(scored.select("document_id", "phrase", "score"), "scores")
     kind = dict(scored.dtypes)["document_id"]
-    ordered = scored.select("document_id", "phrase", "score").repartition("document_id").sortWithinPartitions("document_id", F.desc("score"), "phrase")
-    return ordered.mapInArrow(lambda b: _prune(b, most), f"document_id {kind}, phrase string, score double, place int")
+    order = Window.partitionBy("document_id").orderBy(F.desc("score"), "phrase")
+    sizes = scored.groupBy("document_id").agg(F.count("*").alias("size"))
+    open_, out, n = scored, None, first
+    while True:
+        best = open_.withColumn("no", F.row_number().over(order)).where(F.col("no") <= n).drop("no").repartition("document_id").sortWithinPartitions("document_id", F.desc("score"), "phrase")
+        kept = at_rest(best.mapInArrow(lambda b: _prune(b, most), f"document_id {kind}, phrase string, score double, place int"), "concepts")
+        counted = kept.groupBy("document_id").agg(F.count("*").alias("kept")).join(sizes, "document_id")
+        short = at_rest(counted.where((F.col("kept") < most) & (F.col("size") > n)).select("document_id"), "short")
+        full = kept.join(short, "document_id", "left_anti")
+        out = full if out is None else out.unionByName(full)
+        if not short.limit(1).count():
+            return out
+        open_, n = scored.join(short, "document_id", "left_semi"), 16 * n
 
 
 def related(found: DataFrame, chosen: DataFrame, most: int = 5) -> DataFrame:
@@ -139,7 +169,7 @@ def parse_yaml(block: str) -> dict:
         elif ":" in bare:
             key, _, rest = bare.partition(":")
             key = key.strip()
-            out[key] = _scalar(rest) if rest.strip() else ""
+            out[key] = _scalar(rest) if rest.strip() else []
     return out
 
 
@@ -224,7 +254,7 @@ def mine(chunks: DataFrame, most: int = 12) -> DataFrame:
     from ..functions import ids
 
     found = phrases(chunks)
-    chosen = top_concepts(scores(found), most)
+    chosen = top_concepts(scores(chunks), most)
     sources = top_chunks(found, chosen).groupBy("document_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("h"), "chunk_id"))), lambda x: x["chunk_id"]).alias("source_chunk_ids"))
     near = related(found, chosen).groupBy("document_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("related"))
     none = F.array().cast("array<string>")
@@ -234,3 +264,29 @@ def mine(chunks: DataFrame, most: int = 12) -> DataFrame:
         ids.concept_id(slug, F.col("source_chunk_ids")).alias("concept_id"), F.initcap("phrase").alias("title"), slug.alias("slug"), F.col("phrase").alias("text"), "source_chunk_ids", F.lit("unverified").alias("verification_status"),
         none.alias("aliases"), F.array_sort(F.split("phrase", " ")).alias("tags"), F.coalesce("related", none).alias("related"), none.alias("depends_on"), F.lit(None).cast("string").alias("path"),
     )
+
+
+def render_indexes(files: DataFrame) -> DataFrame:
+    """(path, value) of the bundle's two tables of contents, for concept files (path below concepts/). The list of concepts is one file's
+    text by its nature."""
+    front = lambda title: f"---\ntype: index\ntitle: {title}\n---\n\n# {title}\n\n"
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "")
+    entry = F.struct(stem.alias("stem"), F.concat(F.lit("- ["), F.initcap(F.replace(stem, F.lit("-"), F.lit(" "))), F.lit("]("), stem, F.lit(".md)")).alias("line"))
+    listed = files.agg(F.array_sort(F.collect_list(entry)).alias("e")).select(F.lit("concepts/index.md").alias("path"), F.concat(F.lit(front("Concepts")), F.array_join(F.transform("e", lambda x: x["line"]), "\n")).alias("value"))
+    root = files.sparkSession.createDataFrame([("index.md", front("Knowledge Index") + "- [Concepts](concepts/index.md)\n")], "path string, value string")
+    return root.unionByName(listed)
+
+
+def import_bundle(files: DataFrame, existing: DataFrame, target: str | None = None, fail_on_error: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(concepts, issues): existing with the concepts of a bundle's files (path, value) in it. The bundle is checked first; errors
+    raise BundleError, or leave out their files. With target, the concept files taken over are written below it."""
+    parsed = at_rest(bundle_files(files), "bundle")
+    issues = at_rest(validate_bundle(parsed), "issues")
+    wrong = issues.where("severity = 'error'")
+    if fail_on_error and (first := wrong.limit(5).collect()):
+        raise BundleError("; ".join(f"{r.path}: {r.message}" for r in first))
+    fine = parsed.join(wrong.select("path").distinct(), "path", "left_anti")
+    new = at_rest(concepts_of_bundle(fine), "imported")
+    if target is not None:
+        files.join(new.select("path"), "path", "left_semi").write.mode("append").parquet(target)
+    return catalog.upsert(existing, new.select(existing.columns), ["concept_id"], version="path"), issues

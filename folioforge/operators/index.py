@@ -18,15 +18,23 @@ def top_k(scored: DataFrame, k: int, places: int = 9) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def tokenised(nodes: DataFrame) -> DataFrame:
+    """(node_id, cols, dl): tokens of text and title, and their number; nodes without tokens included."""
+    cols = F.array(T.fold_tokens(F.coalesce("text", F.lit(""))), T.fold_tokens(F.coalesce("title", F.lit(""))))
+    kept = [c for c in ("document_id",) if c in nodes.columns]
+    return nodes.select("node_id", *kept, cols.alias("cols")).withColumn("dl", F.size(F.col("cols")[0]) + F.size(F.col("cols")[1]))
+
+
 def postings(nodes: DataFrame) -> DataFrame:
-    """(node_id, col, pos, term): every token of text (col 0) and title (col 1)."""
-    parts = F.posexplode(F.array(T.fold_tokens(F.coalesce("text", F.lit(""))), T.fold_tokens(F.coalesce("title", F.lit(""))))).alias("col", "terms")
-    return nodes.select("node_id", parts).select("node_id", "col", F.posexplode("terms").alias("pos", "term"))
+    """(node_id, dl, col, pos, term): every token of text (col 0) and title (col 1)."""
+    told = tokenised(nodes)
+    own = [c for c in told.columns if c != "cols"]
+    return told.select(*own, F.posexplode("cols").alias("col", "terms")).select(*own, "col", F.posexplode("terms").alias("pos", "term"))
 
 
-def doc_stats(nodes: DataFrame) -> DataFrame:
-    """(node_id, dl): tokens in text and title, nodes without tokens included."""
-    return nodes.select("node_id", (F.size(T.fold_tokens(F.coalesce("text", F.lit("")))) + F.size(T.fold_tokens(F.coalesce("title", F.lit(""))))).alias("dl"))
+def totals(lengths: DataFrame) -> DataFrame:
+    """(n, avgdl), one row, of nodes with their dl."""
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -35,6 +43,15 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return per_node.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+#: Distinct terms of questions that are broadcast at most.
+BROADCAST_TERMS = 500_000
+
+
+def few(terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """terms, marked for broadcast if they have been counted to be so few; else the same join is shuffled."""
+    return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
+
+
 def _phrases(queries: DataFrame) -> DataFrame:
     """(query_id, phrase, m, times): folded search terms, each a phrase of m tokens, with how often it stands in the question."""
     term = queries.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("w")).select("query_id", T.fold_tokens(F.col("w")).alias("t")).where("size(t) > 0")
@@ -42,12 +59,13 @@ def _phrases(queries: DataFrame) -> DataFrame:
 
 
 def phrase_frequencies(posted: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, node_id, f): occurrences of phrases (distinct phrase, m, t) in one column of a node."""
-    needed = phrases.select("phrase", "m", F.posexplode("t").alias("j", "term"))
-    one = posted.join(needed.where("m = 1").select("phrase", "term"), "term").groupBy("phrase", "node_id").agg(F.count("*").alias("f"))
-    placed = posted.join(needed.where("m > 1"), "term").select("phrase", "m", "node_id", "col", "j", (F.col("pos") - F.col("j")).alias("start")).distinct()
-    whole = placed.groupBy("phrase", "m", "node_id", "col", "start").agg(F.count("*").alias("n")).where("n = m")
-    return one.unionByName(whole.groupBy("phrase", "node_id").agg(F.count("*").alias("f")))
+    """(phrase, node_id, dl, f): occurrences of phrases (distinct phrase, m, t) in one column of a node. Only terms of phrases are shuffled."""
+    needed = few(phrases.select("phrase", "m", F.posexplode("t").alias("j", "term")))
+    placed = posted.join(needed, "term")
+    one = placed.where("m = 1").groupBy("phrase", "node_id", "dl").agg(F.count("*").alias("f"))
+    starts = placed.where("m > 1").select("phrase", "m", "node_id", "dl", "col", "j", (F.col("pos") - F.col("j")).alias("start")).distinct()
+    whole = starts.groupBy("phrase", "m", "node_id", "dl", "col", "start").agg(F.count("*").alias("n")).where("n = m")
+    return one.unionByName(whole.groupBy("phrase", "node_id", "dl").agg(F.count("*").alias("f")))
 
 
 def idf(n: Column, df: Column, kind: str = "fts") -> Column:
@@ -60,15 +78,18 @@ def idf(n: Column, df: Column, kind: str = "fts") -> Column:
 
 def bm25(nodes: DataFrame, queries: DataFrame, k: int, kind: str = "fts", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over text and title; a question's terms are alternatives, repeated ones score again."""
-    posted, stats = postings(nodes), doc_stats(nodes)
+    return bm25_hits(postings(nodes), totals(tokenised(nodes)), queries, k, kind, k1, b)
+
+
+def bm25_hits(posted: DataFrame, whole: DataFrame, queries: DataFrame, k: int, kind: str = "fts", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25 over postings and totals that are there already."""
     asked = _phrases(queries)
     f = phrase_frequencies(posted, asked.select("phrase", "m", "t").distinct())
-    df = f.groupBy("phrase").agg(F.count("*").alias("df"))
-    whole = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # The corpus totals are one row; the join with it is a broadcast of that row.
-    weighted = f.join(df, "phrase").join(stats, "node_id").join(F.broadcast(whole), F.lit(True))
+    # A phrase's number of nodes; the corpus totals are one row, whose join is a broadcast of that row.
+    df = f.groupBy("phrase").agg(F.count("*").alias("df")).join(F.broadcast(whole), F.lit(True))
+    weighted = f.join(few(df), "phrase")
     part = idf(F.col("n"), F.col("df"), kind) * (F.col("f") * (k1 + 1)) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.select("query_id", "phrase", "times").join(weighted.select("phrase", "node_id", part.alias("part")), "phrase")
+    scored = few(asked.select("query_id", "phrase", "times")).join(weighted.select("phrase", "node_id", part.alias("part")), "phrase")
     return top_k(scored.groupBy("query_id", "node_id").agg(F.sum(F.col("times") * F.col("part")).alias("score")), k)
 
 
@@ -76,7 +97,7 @@ def like_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Nodes whose text contains a term of two or more characters anywhere; score 1. The fallback without an index."""
     term = queries.select("query_id", F.explode(F.array_distinct(F.transform(T.query_terms(F.col("question")), F.lower))).alias("w")).where("length(w) > 1")
     per_term = term.groupBy("w").agg(F.collect_set("query_id").alias("ids"))
-    hits = nodes.select("node_id", F.lower("text").alias("t")).join(F.broadcast(per_term), F.col("t").contains(F.col("w")))
+    hits = nodes.select("node_id", F.lower("text").alias("t")).join(few(per_term), F.col("t").contains(F.col("w")))
     return top_k(hits.select(F.explode("ids").alias("query_id"), "node_id").distinct().withColumn("score", F.lit(1.0)), k)
 
 
@@ -108,8 +129,13 @@ def _heading_keys(text: Column, toks: Column, mine: str, theirs: str) -> Column:
 
 def heading_search(nodes: DataFrame, queries: DataFrame, k: int, least: float = 0.15) -> DataFrame:
     """Exact heading 1, prefix either way 0.8, else Jaccard of tokens from `least` on. Candidates come from an equi-join."""
+    return heading_hits(headings(nodes), queries, k, least)
+
+
+def heading_hits(heads: DataFrame, queries: DataFrame, k: int, least: float = 0.15) -> DataFrame:
+    """heading_search over headings that are there already."""
     asked = queries.select("query_id", heading_norm(F.col("question")).alias("q")).where("q <> ''").withColumn("q_toks", T.token_set(F.col("q")))
-    left = headings(nodes).withColumn("key", _heading_keys(F.col("norm"), F.col("toks"), "h:", "q:"))
+    left = heads.withColumn("key", _heading_keys(F.col("norm"), F.col("toks"), "h:", "q:"))
     pairs = left.join(asked.withColumn("key", _heading_keys(F.col("q"), F.col("q_toks"), "q:", "h:")), "key").dropDuplicates(["query_id", "node_id"])
     near = T.jaccard(F.col("toks"), F.col("q_toks"))
     score = F.when(F.col("norm") == F.col("q"), 1.0).when(F.col("norm").startswith(F.col("q")) | F.col("q").startswith(F.col("norm")), 0.8).otherwise(near)
@@ -126,9 +152,14 @@ def phrase_rows(nodes: DataFrame) -> DataFrame:
 
 def phrase_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact phrase 1; of three words or more also without the first or last word, 0.5."""
+    return phrase_hits(phrase_rows(nodes), queries, k)
+
+
+def phrase_hits(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """phrase_search over phrases (phrase, node_id) that are there already."""
     w = queries.select("query_id", F.regexp_extract_all(F.lower(T.phrase_query(F.col("question"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
     whole = F.struct(F.array_join("w", " ").alias("phrase"), F.lit(1.0).alias("score"))
     parts = [F.struct(F.array_join(F.slice("w", at, F.size("w") - 1), " ").alias("phrase"), F.lit(0.5).alias("score")) for at in (1, 2)]
     keys = w.where("size(w) > 1").select("query_id", F.explode(F.when(F.size("w") >= 3, F.array(whole, *parts)).otherwise(F.array(whole))).alias("p")).select("query_id", "p.*")
-    found = phrase_rows(nodes).join(keys, "phrase").groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+    found = rows.join(keys, "phrase").groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
     return top_k(found, k)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InsufficientEvidenceError
 from ..functions import text as T
 from ..functions.fuzzy import token_set_ratio_column
 from . import index
@@ -135,6 +136,26 @@ def gate(nodes: DataFrame, least: float = 0.15) -> DataFrame:
     return out.select("query_id", "score", "passed", F.when(F.col("passed"), "sufficient evidence").otherwise("insufficient evidence").alias("reason"))
 
 
+def check_or_raise(nodes: DataFrame, least: float = 0.15) -> DataFrame:
+    """gate, for callers that can't go on without evidence: raises where a question doesn't pass."""
+    judged = gate(nodes, least)
+    failed = [r.query_id for r in judged.where("not passed").select("query_id").limit(5).collect()]
+    if failed:
+        raise InsufficientEvidenceError(f"not enough evidence for questions {failed}")
+    return judged
+
+
+# What a node's score may be called; the best of them counts.
+SCORE_COLUMNS = ("score", "fused_score", "fast_fact_score", "topic_score", "keyword_coverage", "structural_score", "confidence")
+
+
+def best_scores(nodes: DataFrame) -> DataFrame:
+    """(query_id, best): the largest of a question's scores, whichever of SCORE_COLUMNS hold them; null scores count as 0."""
+    held = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in SCORE_COLUMNS if c in nodes.columns]
+    each = F.greatest(*held) if len(held) > 1 else held[0] if held else F.lit(0.0)
+    return nodes.groupBy("query_id").agg(F.max(each).alias("best"))
+
+
 def strategy(query_type: Column, best: Column, has_llm: bool, least: float = 0.15, extract_above: float = 0.65) -> Column:
     """EXTRACTIVE, GENERATE or INSUFFICIENT for a question's class and best score."""
     if not has_llm:

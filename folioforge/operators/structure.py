@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,11 @@ def span_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def needs_fallback(pages: DataFrame, least: float = 20) -> DataFrame:
+#: Characters that a page of a readable document has on average.
+ENOUGH_CHARS = 20
+
+
+def needs_fallback(pages: DataFrame, least: float = ENOUGH_CHARS) -> DataFrame:
     """Documents whose pages hold less than so many characters on average: (document_id, chars, sufficient)."""
     return pages.groupBy("document_id").agg(F.avg(F.length(F.trim("text"))).alias("chars")).withColumn("sufficient", F.col("chars") >= least)
 
@@ -273,3 +279,25 @@ def batches(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """df with batch: consecutive rows in groups of n, counted within each of order's first column."""
     w = Window.partitionBy(order[0]).orderBy(*order[1:])
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / n))
+
+
+def route(nodes: DataFrame, queries: DataFrame, choose: Callable[[DataFrame], DataFrame] | None = None, depth: int = 3, k: int = 12) -> DataFrame:
+    """(query_id, node_id, place) for queries and nodes with session_id: nodes that a walk down each document's tree ends at, level by level. choose takes the
+    candidates of a level (query_id, question, node_id, title, text, ...) and gives those to follow (query_id, node_id); without it all are
+    followed. A walk ends with the chosen nodes where none of them has children, or at the last level; nodes without children beside ones that have some
+    are left behind."""
+    place = ["document_id", "page_start", "depth", "position", "node_id"]
+    tops = nodes.where("parent_id is null").select(F.col("node_id").alias("parent_id"))
+    # A question walks the trees of its session; without sessions it would meet every document.
+    candidates = queries.select("query_id", "question", "session_id").join(nodes.join(tops, "parent_id"), "session_id")
+    out = None
+    for n in range(1, depth + 1):
+        chosen = candidates if choose is None else candidates.join(choose(candidates).select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_semi")
+        below = chosen.select("query_id", "question", F.col("node_id").alias("parent_id")).join(nodes, "parent_id")
+        going = below.select("query_id", "document_id").distinct()
+        ended = chosen if n == depth else chosen.join(going, ["query_id", "document_id"], "left_anti")
+        ended = ended.select("query_id", *place)
+        out = ended if out is None else out.unionByName(ended)
+        candidates = below
+    order = Window.partitionBy("query_id").orderBy(*place)
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "node_id", "place")

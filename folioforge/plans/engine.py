@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import os
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..errors import ConfigurationError
+from ..functions import ids
 from ..functions import text as T
 from ..operators import answer, catalog, concepts, retrieval, structure
 from .tables import at_rest
@@ -30,8 +35,30 @@ class Settings:
     concepts: int = 12
 
     def __post_init__(self):
-        if min(self.lexical_k, self.ranked_k, self.final_k) < 1 or not 0 <= self.gate_least <= 1:
-            raise ValueError("limits must be positive and thresholds from 0 to 1")
+        if min(self.lexical_k, self.ranked_k, self.final_k, self.expand_depth, self.concepts) < 1 or not 0 <= self.gate_least <= 1:
+            raise ConfigurationError("limits must be positive and thresholds from 0 to 1")
+        if self.scope not in ("pre", "post") or self.id_mode not in ("safe", "compat"):
+            raise ConfigurationError("scope is pre or post, id_mode safe or compat")
+
+    @staticmethod
+    def from_environment(environ: Mapping[str, str] = os.environ, env_file: str | None = None, prefix: str = "RAG_") -> Settings:
+        """Settings from variables named as the fields, in upper case behind the prefix; a file of lines NAME=value comes first, the environment
+        overrides it. Lists are comma-joined."""
+        values = {}
+        if env_file and os.path.exists(env_file):
+            with open(env_file, encoding="utf-8") as lines:
+                pairs = [line.strip().removeprefix("export ").partition("=") for line in lines if "=" in line and not line.strip().startswith("#")]
+            values = {k.strip(): v.strip().strip("\"'") for k, _, v in pairs}
+        values |= environ
+        found = {}
+        for f in fields(Settings):
+            if (text := values.get(prefix + f.name.upper())) is not None:
+                try:
+                    kind = type(f.default)
+                    found[f.name] = tuple(x.strip() for x in text.split(",")) if kind is tuple else kind(text)
+                except ValueError as e:
+                    raise ConfigurationError(f"{prefix}{f.name.upper()}: {text!r} is no {kind.__name__}") from e
+        return Settings(**found)
 
 
 @dataclass(frozen=True)
@@ -63,6 +90,20 @@ class Engine:
         documents = catalog.upsert(self.documents, rows.select(self.documents.columns), ["document_id"])
         return Engine(documents, catalog.replace_children(self.nodes, nodes, "document_id"), catalog.replace_children(self.chunks, chunks, "document_id"), self.concepts, self.settings)
 
+    def ingest_logged(self, files: DataFrame, blocks: Callable[[DataFrame], DataFrame], log: DataFrame, force: bool = False) -> tuple[Engine, DataFrame]:
+        """ingest, and log with a job for each new file: an event for each stage, the last one completed or failed."""
+        new = at_rest(files if force else catalog.unseen(files, self.documents), "files")
+        at = F.date_format(F.lit(datetime.now(timezone.utc)), "yyyyMMddHHmmssSSS")
+        jobs = at_rest(new.select(ids.stable_id("job", F.col("document_id"), at).alias("job_id"), "document_id", "session_id"), "jobs")
+        stages = C.JOB_STAGES[:-1]
+        log = reduce(DataFrame.unionByName, [catalog.job_events(jobs, state, told, n) for n, (state, told) in enumerate(stages)], log)
+        engine = self.ingest(new, blocks, force=True)
+        states = engine.documents.select("document_id", "status")
+        done = jobs.join(states.where("status = 'ready'").select("document_id"), "document_id", "left_semi")
+        failed = jobs.join(states.where("status = 'failed'").select("document_id"), "document_id", "left_semi")
+        log = log.unionByName(catalog.job_events(done, *C.JOB_STAGES[-1], len(stages))).unionByName(catalog.job_events(failed, "failed", "No text found", len(stages)))
+        return engine, at_rest(log, "log")
+
     def mine_concepts(self) -> Engine:
         return Engine(self.documents, self.nodes, self.chunks, concepts.mine(self.chunks, self.settings.concepts), self.settings)
 
@@ -137,7 +178,7 @@ class Engine:
         out = answer.extractive(queries, fit)
         if generate is not None:
             typed = queries.withColumn("query_type", T.classify(F.col("question")))
-            best = fit.groupBy("query_id").agg(F.max("score").alias("best"))
+            best = retrieval.best_scores(fit)
             chosen = typed.join(best, "query_id").where(retrieval.strategy(F.col("query_type"), F.col("best"), True, s.gate_least) == "GENERATE").select("query_id", "question")
             out = answer.generated(chosen, fit, generate, out)
         cited = out.join(self.nodes.select("node_id", "document_id", F.col("text").alias("node_text")), "node_id", "left")

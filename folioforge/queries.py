@@ -6,15 +6,20 @@ eight words of benchmark items for questions.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import constants as C
+from . import oracles
 from .functions import ids
 from .functions import text as T
 from .operators import answer, catalog, concepts, index, retrieval, structure
+from .operators.index_store import SearchIndex
+from .plans.tables import at_rest, shared_folder
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +29,26 @@ LINES = "lines AS (SELECT doc_id, source, pos, trim(line) AS line FROM (SELECT d
 NODES = LINES + ", nodes AS (SELECT doc_id || ':' || pos AS node_id, doc_id AS document_id, source AS session_id, pos, CASE WHEN pos = 0 THEN line END AS title, line AS text, pos // 50 + 1 AS page_start FROM lines WHERE line <> '')"
 WORDS = r"list_filter(string_split(trim(regexp_replace({}, '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
 ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(list_slice(" + WORDS.format("text") + ", 1, 8), ' ') AS question FROM benchmark)"
-FOLD = f"translate(lower({{}}), '{C.FOLD_FROM}', '{C.FOLD_TO}')"
+FOLD = "strip_accents(lower({}))"
+
+
+_DEPTH = r"CASE WHEN regexp_matches(line, '^\s*\d+\.\d+\.\d+[\s.]') THEN 3 WHEN regexp_matches(line, '^\s*\d+\.\d+[\s.]') THEN 2 WHEN regexp_matches(line, '^\s*\d+[\s.]') THEN 1 WHEN regexp_matches(line, '(?i)^\s*(chapter|section|part)\s+[\p{L}\p{N}_]+') THEN 1 ELSE 0 END"
+
+
+def _tok(c: str) -> str:
+    pattern = C.TOKEN.replace("'", "''")
+    return f"list_distinct(list_transform(regexp_extract_all({c}, '{pattern}'), lambda x: lower(x)))"
+
+
+_STOP = f"[{', '.join(repr(s) for s in C.QUERY_STOPWORDS)}]"
+
+
+def filled(sql: str) -> str:
+    """sql with @words(x) and @tokens(x), the stop words and heading depth of this module's SQL in place of their marks."""
+    sql = sql.replace("@parts", oracles.PARTS.strip()).replace("@stop", _STOP)
+    for mark, put in (("@words", WORDS.format), ("@tokens", _tok), ("@depth", lambda x: _DEPTH.replace("line", x))):
+        sql = re.sub(mark + r"\((\w+)\)", lambda m, put=put: put(m[1]), sql)
+    return sql
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -102,7 +126,6 @@ def q_first_sentence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
 
 
-_DEPTH = r"CASE WHEN regexp_matches(line, '^\s*\d+\.\d+\.\d+[\s.]') THEN 3 WHEN regexp_matches(line, '^\s*\d+\.\d+[\s.]') THEN 2 WHEN regexp_matches(line, '^\s*\d+[\s.]') THEN 1 WHEN regexp_matches(line, '(?i)^\s*(chapter|section|part)\s+[\p{L}\p{N}_]+') THEN 1 ELSE 0 END"
 
 
 @query(f"WITH {LINES}, d AS (SELECT doc_id, pos, line, {_DEPTH} AS depth0, len({WORDS.format('line')}) AS n FROM lines WHERE line <> ''), s AS (SELECT doc_id, pos, depth0, round(CASE WHEN depth0 > 0 THEN 0.9 ELSE 0.0 END + CASE WHEN upper(line) = line AND lower(line) <> line AND n <= 12 THEN 0.7 ELSE 0.0 END + CASE WHEN n <= 12 AND NOT regexp_matches(line, '[.!?]$') THEN 0.2 ELSE 0.0 END + CASE WHEN n > 20 THEN -0.4 ELSE 0.0 END, 6) AS score FROM d) SELECT doc_id, pos, CAST(score AS DOUBLE) AS score, score >= 0.5 AS is_heading, CASE WHEN score >= 0.5 THEN depth0 ELSE 0 END AS depth FROM s")
@@ -111,6 +134,17 @@ def q_heading_score(spark, sf):
     return structure.detect_headings(blocks).select(F.col("document_id").alias("doc_id"), F.col("block_pos").alias("pos"), "score", "is_heading", "depth")
 
 
+_LAYOUT = "CASE WHEN depth0 > 0 THEN 0.9 ELSE 0.0 END + CASE WHEN upper(line) = line AND lower(line) <> line AND n <= 12 THEN 0.7 ELSE 0.0 END + CASE WHEN size > 1.2 * base THEN 0.6 ELSE 0.0 END + CASE WHEN pos % 7 = 0 THEN 0.5 ELSE 0.0 END + CASE WHEN n <= 12 AND NOT regexp_matches(line, '[.!?]$') THEN 0.2 ELSE 0.0 END + CASE WHEN pos * 3 % 30 >= 18 THEN 0.25 ELSE 0.0 END + CASE WHEN n > 20 THEN -0.4 ELSE 0.0 END + CASE WHEN pos * 7 % 20 < 10 THEN 0.1 ELSE 0.0 END"
+
+
+@query(f"WITH {LINES}, d AS (SELECT doc_id, pos, line, 9.0 + pos * pos % 6 AS size, {_DEPTH} AS depth0, len({WORDS.format('line')}) AS n FROM lines WHERE line <> ''), b AS (SELECT doc_id, list_sort(list(size))[len(list(size)) // 2 + 1] AS base FROM d GROUP BY 1), s AS (SELECT doc_id, pos, depth0, round({_LAYOUT}, 6) AS score FROM d JOIN b USING (doc_id)) SELECT doc_id, pos, CAST(score AS DOUBLE) AS score, score >= 0.5 AS is_heading, CASE WHEN score >= 0.5 THEN depth0 ELSE 0 END AS depth FROM s")
+def q_heading_layout(spark, sf):
+    at = F.col("pos")
+    layout = {"font_size": (at * at % 6 + 9).cast("double"), "is_bold": at % 7 == 0, "line_spacing": (at * 3 % 30).cast("double"), "indent": (at * 7 % 20).cast("double")}
+    blocks = lines(spark, sf).where("line <> ''").withColumns(layout).select(F.col("doc_id").alias("document_id"), at.alias("block_pos"), F.col("line").alias("text"), *layout)
+    return structure.detect_headings(blocks).select(F.col("document_id").alias("doc_id"), F.col("block_pos").alias("pos"), "score", "is_heading", "depth")
+
+
 @query("SELECT o_custkey AS document_id, CAST(list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS DOUBLE) AS baseline FROM orders GROUP BY 1")
 def q_heading_baseline(spark, sf):
     return structure.baseline_size(table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_totalprice").cast("double").alias("font_size")))
@@ -137,9 +171,9 @@ _SIDE = "regexp_replace(regexp_replace(regexp_extract(q, '{p}', {n}), '(?i)(?:^|
 _COMPARE = r"(?i)^(?:\s*(?:compare|comparison|difference(?:\s+between)?))?\s*(.+?)\s+(?:vs\.?|versus|and|with|to)\s+(.+?)\s*\??$"
 
 
-@query(f"WITH c AS (SELECT item_id, 'compare ' || array_to_string(list_slice({WORDS.format('text')}, 1, 12), ' ') AS q FROM benchmark) SELECT item_id, CASE WHEN regexp_matches(q, '{_COMPARE}') THEN {_SIDE.format(p=_COMPARE, n=1)} ELSE q END AS first_part, CASE WHEN regexp_matches(q, '{_COMPARE}') THEN {_SIDE.format(p=_COMPARE, n=2)} END AS second_part FROM c")
+@query(f"WITH c AS (SELECT item_id, 'compare ' || array_to_string({WORDS.format('text')}, ' ') AS q FROM benchmark) SELECT item_id, CASE WHEN regexp_matches(q, '{_COMPARE}') THEN {_SIDE.format(p=_COMPARE, n=1)} ELSE q END AS first_part, CASE WHEN regexp_matches(q, '{_COMPARE}') THEN {_SIDE.format(p=_COMPARE, n=2)} END AS second_part FROM c")
 def q_comparison_split(spark, sf):
-    q = F.concat(F.lit("compare "), F.array_join(F.slice(T.words(F.col("text")), 1, 12), " "))
+    q = F.concat(F.lit("compare "), F.array_join(T.words(F.col("text")), " "))
     parts = table(spark, sf, "benchmark").select("item_id", T.comparison_parts(q).alias("p"))
     return parts.select("item_id", F.get("p", F.lit(0)).alias("first_part"), F.get("p", F.lit(1)).alias("second_part"))
 
@@ -169,13 +203,13 @@ def q_page_groups(spark, sf):
     return tree.select("document_id", (F.col("position") + 1).alias("group"), "page_start", "page_end")
 
 
-@query()
+@query(filled("WITH RECURSIVE src AS (SELECT doc_id AS k1, 0 AS k2, text FROM documents), @parts SELECT k1 AS doc_id, part, len(@words(body)) AS n_words, md5(body) AS digest FROM parts"))
 def q_para_split(spark, sf):
     parts = table(spark, sf, "documents").select("doc_id", F.posexplode(structure.split_long(F.col("text"))).alias("part", "body"))
     return parts.select("doc_id", "part", T.word_count(F.col("body")).alias("n_words"), F.md5("body").alias("digest"))
 
 
-@query()
+@query(filled(f"WITH RECURSIVE {LINES}, {oracles.TREE} SELECT n.node_id, n.doc_id AS document_id, p.node_id AS parent_id, n.node_type, n.depth, n.position, array_to_string(n.hp, ' > ') AS path FROM named n LEFT JOIN named p ON p.doc_id = n.doc_id AND p.key = n.parent_key"))
 def q_document_tree(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
     blocks = structure.detect_headings(structure.plain_blocks(docs, block_sep="\n"))
@@ -216,10 +250,10 @@ def q_tree_descendants(spark, sf):
     return structure.descendants(_places(spark, sf)).select("ancestor_id", "node_id", "level")
 
 
-@query("WITH h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations), x AS (SELECT h.conv_id, c.turn, h.rank, CASE WHEN c.turn = h.turn THEN 0 WHEN c.turn < h.turn THEN 2 ELSE 3 END AS kind FROM h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.turn % 3 = 0), f AS (SELECT conv_id, turn, min(rank * 10 + kind) AS first_at FROM x GROUP BY 1, 2) SELECT conv_id AS query_id, conv_id || ':' || turn AS node_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_at, conv_id || ':' || turn) AS place FROM f")
+@query("WITH h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations), x AS (SELECT h.conv_id, c.turn, h.rank, CASE WHEN c.turn = h.turn THEN 0 WHEN c.turn < h.turn THEN 2 ELSE 3 END AS kind FROM h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1), f AS (SELECT conv_id, turn, min(rank * 10 + kind) AS first_at FROM x GROUP BY 1, 2) SELECT conv_id AS query_id, conv_id || ':' || turn AS node_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_at, conv_id || ':' || turn) AS place FROM f")
 def q_tree_expand(spark, sf):
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    hits = table(spark, sf, "conversations").withColumn("rank", rank).where("turn % 3 = 0").select(F.col("conv_id").alias("query_id"), F.concat_ws(":", "conv_id", "turn").alias("node_id"), "rank")
+    hits = table(spark, sf, "conversations").withColumn("rank", rank).select(F.col("conv_id").alias("query_id"), F.concat_ws(":", "conv_id", "turn").alias("node_id"), "rank")
     return structure.expand(_turns(spark, sf), hits)
 
 
@@ -241,18 +275,18 @@ def q_ordered_lookup(spark, sf):
     return found.join(flat.select("list_id", "places"), "list_id").select("list_id", F.get("places", F.col("place")).alias("place"), "p_partkey", "p_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2 HAVING count(o_orderkey) = 0")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q_stale_docs(spark, sf):
-    child = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    child = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return catalog.childless(table(spark, sf, "customer"), child, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS n_documents, (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F') AS n_chunks")
+@query("SELECT o_orderkey AS document_id, count(l_orderkey) AS n_chunks FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1")
 def q_cascade_delete(spark, sf):
     docs = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "document_id")
     chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("chunk_id"))
     left, _ = catalog.delete_documents({"documents": docs, "chunks": chunks}, docs.where("o_orderstatus = 'F'"))
-    return left["documents"].agg(F.count("*").alias("n_documents")).join(left["chunks"].agg(F.count("*").alias("n_chunks")), F.lit(True))
+    return left["documents"].join(left["chunks"], "document_id", "left").groupBy("document_id").agg(F.count("chunk_id").alias("n_chunks"))
 
 
 @query("WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM n WHERE r = 1")
@@ -337,50 +371,58 @@ def q_heading_search(spark, sf):
 PHRASES = (
     r"pw AS (SELECT node_id, regexp_extract_all(lower(concat_ws(' ', title, trim(CASE WHEN regexp_extract(substr(text, 1, 400), '^[^.!?]*[.!?]') <> '' THEN regexp_extract(substr(text, 1, 400), '^[^.!?]*[.!?]') ELSE substr(text, 1, 200) END))), '[\p{L}\p{N}_]+') AS w FROM nodes), "
     "pn AS (SELECT node_id, w, n, unnest(generate_series(1, CAST(len(w) - n + 1 AS BIGINT))) AS i FROM pw, (SELECT unnest([2, 3, 4]) AS n) WHERE len(w) >= n), phrases AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, node_id FROM pn), "
-    r"qw AS (SELECT query_id, regexp_extract_all(lower(CASE WHEN regexp_extract(question, '\"([^\"]+)\"', 1) <> '' THEN regexp_extract(question, '\"([^\"]+)\"', 1) WHEN contains(trim(question), ' ') THEN trim(question) ELSE '' END), '[\p{L}\p{N}_]+') AS w FROM (SELECT query_id, array_to_string(list_slice(string_split(question, ' '), 1, 3), ' ') AS question FROM asked)), "
+    r"qw AS (SELECT query_id, regexp_extract_all(lower(CASE WHEN regexp_extract(question, '\"([^\"]+)\"', 1) <> '' THEN regexp_extract(question, '\"([^\"]+)\"', 1) WHEN contains(trim(question), ' ') THEN trim(question) ELSE '' END), '[\p{L}\p{N}_]+') AS w FROM (SELECT query_id * 100 + n * 10 + i AS query_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS question FROM (SELECT query_id, string_split(question, ' ') AS w, n, unnest(generate_series(1, CAST(len(string_split(question, ' ')) - n + 1 AS BIGINT))) AS i FROM asked, (SELECT unnest([2, 3, 4]) AS n)))), "
     "pq AS (SELECT query_id, array_to_string(w, ' ') AS phrase, 1.0 AS score FROM qw WHERE len(w) > 1 UNION ALL SELECT query_id, array_to_string(list_slice(w, 1, len(w) - 1), ' '), 0.5 FROM qw WHERE len(w) >= 3 UNION ALL SELECT query_id, array_to_string(list_slice(w, 2, len(w)), ' '), 0.5 FROM qw WHERE len(w) >= 3), "
     "phrased AS (SELECT query_id, node_id, CAST(max(score) AS DOUBLE) AS score FROM phrases JOIN pq USING (phrase) GROUP BY 1, 2)"
 )
 
 
-def _short(spark, sf) -> DataFrame:
-    return asked(spark, sf).withColumn("question", F.array_join(F.slice(F.split("question", " "), 1, 3), " "))
+def runs_asked(spark, sf) -> DataFrame:
+    """Every run of two to four words of a question as a question of its own (query_id * 100 + words * 10 + place)."""
+    w = asked(spark, sf).select("query_id", F.split("question", " ").alias("w"), F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("n"))
+    at = w.where("size(w) >= n").withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
+    return at.select((F.col("query_id") * 100 + F.col("n") * 10 + F.col("i")).alias("query_id"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("question"))
 
 
 @query(f"WITH {NODES}, {ASKED}, {PHRASES} {TOP.format('phrased', 20)}")
 def q_phrase_search(spark, sf):
-    return _rounded(index.phrase_search(nodes(spark, sf), _short(spark, sf), 20))
+    return _rounded(index.phrase_search(nodes(spark, sf), runs_asked(spark, sf), 20))
 
 
 def _ranked(source: str, k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-RRF = f"fused AS (SELECT query_id, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, node_id, rank FROM {_ranked('scored', 40)} UNION ALL SELECT query_id, node_id, rank FROM {_ranked('headed', 20)} UNION ALL SELECT query_id, node_id, rank FROM {_ranked('phrased', 20)}) GROUP BY 1, 2)"
+RRF = f"fused AS (SELECT query_id, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, node_id, rank FROM {_ranked('scored', 40)} UNION ALL SELECT query_id, node_id, rank FROM {_ranked('headed', 20)} UNION ALL SELECT query_id // 100, node_id, min(rank) FROM {_ranked('phrased', 20)} GROUP BY 1, 2) GROUP BY 1, 2)"
 
 
 @query(f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS}, {HEADS}, {PHRASES}, {RRF} {TOP.format('fused', 20)}")
 def q_rrf(spark, sf):
     n, q = nodes(spark, sf), asked(spark, sf)
-    return _rounded(retrieval.fuse(index.bm25(n, q, 40), index.heading_search(n, q, 20), index.phrase_search(n, _short(spark, sf), 20), k=20))
+    runs = index.phrase_search(n, runs_asked(spark, sf), 20).groupBy(F.floor(F.col("query_id") / 100).alias("query_id"), "node_id").agg(F.min("rank").alias("rank"))
+    return _rounded(retrieval.fuse(index.bm25(n, q, 40), index.heading_search(n, q, 20), runs, k=20))
 
 
 @query(f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS}, best AS ({TOP.format('scored', 8)}) SELECT query_id, node_id, rank, round(score, 6) AS score, 'S' || rank AS source_id, substr(text, 1, 300) AS excerpt, session_id FROM best JOIN nodes USING (node_id)")
 def q_lexical_retrieve(spark, sf):
     n = nodes(spark, sf)
-    hits = retrieval.fuse(index.bm25(n, asked(spark, sf), 8), k=8).select("query_id", "node_id", "rank")
-    scored = index.bm25(n, asked(spark, sf), 8).select("query_id", "node_id", F.round("score", 6).alias("score"))
-    found = hits.join(scored, ["query_id", "node_id"]).join(n.select("node_id", "text", "session_id"), "node_id")
+    hits = _rounded(index.bm25(n, asked(spark, sf), 8))
+    found = hits.join(n.select("node_id", "text", "session_id"), "node_id")
     return answer.citations(found).select("query_id", "node_id", "rank", "score", "source_id", "excerpt", "session_id")
 
 
-@query(f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS}, best AS ({TOP.format('scored', 8)}), hit AS (SELECT DISTINCT query_id FROM best JOIN nodes USING (node_id) JOIN documents d ON d.doc_id = document_id JOIN benchmark b ON b.item_id = query_id WHERE contains(d.text, b.text)), held AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT (SELECT count(*) FROM held) AS n_held, (SELECT count(*) FROM hit) AS n_found")
+@query(f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS}, best AS ({TOP.format('scored', 8)}), held AS (SELECT item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), hit AS (SELECT DISTINCT query_id AS item_id FROM best JOIN nodes USING (node_id) JOIN held h ON h.item_id = query_id AND h.doc_id = document_id) SELECT item_id, count(*) AS n_documents, item_id IN (SELECT item_id FROM hit) AS found FROM held GROUP BY 1")
 def q_retrieval_recall(spark, sf):
-    n, docs, bench = nodes(spark, sf), table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole")), table(spark, sf, "benchmark")
-    best = index.bm25(n, asked(spark, sf), 8).join(n.select("node_id", "document_id"), "node_id").join(docs, F.col("doc_id") == F.col("document_id"))
-    hit = best.join(bench, F.col("item_id") == F.col("query_id")).where(F.col("whole").contains(F.col("text"))).select("query_id").distinct().agg(F.count("*").alias("n_found"))
-    held = docs.join(F.broadcast(bench), F.col("whole").contains(F.col("text"))).select("item_id").distinct().agg(F.count("*").alias("n_held"))
-    return held.join(hit, F.lit(True))
+    n, bench = nodes(spark, sf), table(spark, sf, "benchmark")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"))
+    # A document that holds an item holds its first six words in a row, which an equi-join finds.
+    head = lambda c: F.array_join(F.slice(T.words(F.col(c)), 2, 6), " ")
+    w = docs.select("doc_id", T.words(F.col("whole")).alias("w"))
+    runs = w.where("size(w) >= 6").select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))).alias("head"))
+    maybe = runs.join(index.few(bench.select("item_id", head("text").alias("head"))), "head").select("doc_id", "item_id").distinct()
+    held = maybe.join(docs, "doc_id").join(bench, "item_id").where(F.col("whole").contains(F.col("text"))).select("item_id", "doc_id")
+    best = index.bm25(n, asked(spark, sf), 8).join(n.select("node_id", "document_id"), "node_id").select(F.col("query_id").alias("item_id"), F.col("document_id").alias("doc_id"), F.lit(True).alias("hit")).distinct()
+    return held.join(best, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count("*").alias("n_documents"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("found"))
 
 
 # Ranking
@@ -427,12 +469,6 @@ def q_rank_topic(spark, sf):
     return _ranks(retrieval.rank_topic(_candidates(spark, sf)))
 
 
-def _tok(c: str) -> str:
-    pattern = C.TOKEN.replace("'", "''")
-    return f"list_distinct(list_transform(regexp_extract_all({c}, '{pattern}'), lambda x: lower(x)))"
-
-
-
 @query(f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS}, {CANDIDATES}, t AS (SELECT query_id, node_id, {_tok('question')} AS q, {_tok('text')} AS c FROM cand), r AS (SELECT query_id, node_id, CASE WHEN len(q) = 0 OR len(c) = 0 THEN 0.0 ELSE round(CAST(len(list_intersect(q, c)) AS DOUBLE) / len(q) + CAST(len(list_intersect(q, c)) AS DOUBLE) / len(c), 4) END AS score FROM t) SELECT query_id, node_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, node_id) AS rank FROM r")
 def q_rerank(spark, sf):
     return _ranks(retrieval.rerank(_candidates(spark, sf)))
@@ -496,7 +532,7 @@ def _within(pattern: str, lower: bool) -> str:
     return f"len(list_filter({found('a')}, lambda x: NOT list_contains({found('e')}, x))) = 0"
 
 
-_DIR = " AND ".join(f"(NOT list_has_any({_cw('a')}, {g!r}) OR list_has_any({_cw('e')}, {g!r}))" for g in C.DIRECTIONS)
+_DIR = " AND ".join(f"(NOT list_has_any({_cw("a")}, {list(g)!r}) OR list_has_any({_cw("e")}, {list(g)!r}))" for g in C.DIRECTIONS)
 
 
 @query(f"WITH {LINES}, p AS (SELECT c.doc_id, c.pos, {ASCII.format('c.line')} AS a, {ASCII.format('e.line')} AS e FROM lines c JOIN lines e ON e.doc_id = c.doc_id AND e.pos = c.pos - 1) SELECT doc_id, pos, (len({_cw('a')}) = 0 OR CAST(len(list_intersect({_cw('a')}, {_cw('e')})) AS DOUBLE) / greatest(len({_cw('a')}), 1) >= 0.35) AND {_within(C.NUMBER, False)} AND {_within(C.DATE, True)} AND {_within(C.PROPER_NAME, True)} AND {_DIR} AS valid FROM p")
@@ -529,7 +565,6 @@ def q_extractive_answer(spark, sf):
 
 
 EVIDENCE = ORACLES["q_rerank"].replace(" SELECT query_id, node_id, CAST(score", ", ev0 AS (SELECT query_id, node_id, CAST(score", 1) + "), ev AS (SELECT e.query_id, e.rank, c.question, c.node_id, c.title, c.text, c.page_start, n.document_id FROM ev0 e JOIN cand c USING (query_id, node_id) JOIN nodes n USING (node_id) WHERE e.rank <= 8)"
-_STOP = f"[{', '.join(repr(s) for s in C.QUERY_STOPWORDS)}]"
 
 
 @query(f"{EVIDENCE}, b AS (SELECT query_id, rank, '[S' || rank || '] Pages: ' || page_start || ' | Section: doc ' || document_id || chr(10) || CASE WHEN len({WORDS.format('text')}) <= 90 THEN text ELSE array_to_string(list_slice({WORDS.format('text')}, 1, 90), ' ') || '...' END AS entry FROM ev) SELECT query_id, string_agg(entry, chr(10) || chr(10) ORDER BY rank) AS block FROM b GROUP BY 1")
@@ -537,7 +572,7 @@ def q_evidence_block(spark, sf):
     return answer.evidence_block(_evidence(spark, sf))
 
 
-@query()
+@query(filled(f"{EVIDENCE}, {oracles.OVERLAP}"))
 def q_overlap_sentence(spark, sf):
     return answer.overlap_sentences(_evidence(spark, sf))
 
@@ -567,12 +602,12 @@ def q_concept_ngrams(spark, sf):
 
 @query(f"WITH {GRAMS}, {SCORED} SELECT document_id, phrase, hits, n_sentences, score FROM sc")
 def q_concept_score(spark, sf):
-    return concepts.scores(concepts.phrases(_chunks(spark, sf)))
+    return concepts.scores(_chunks(spark, sf))
 
 
-@query()
+@query(f"WITH RECURSIVE {GRAMS}, {SCORED}, {oracles.TOP_CONCEPTS}")
 def q_concept_top12(spark, sf):
-    return concepts.top_concepts(concepts.scores(concepts.phrases(_chunks(spark, sf))))
+    return concepts.top_concepts(concepts.scores(_chunks(spark, sf)))
 
 
 CHOSEN = "ch AS (SELECT document_id, phrase FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, phrase) AS r FROM sc) WHERE r <= 12)"
@@ -582,14 +617,16 @@ CHOSEN = "ch AS (SELECT document_id, phrase FROM (SELECT *, row_number() OVER (P
 def q_concept_related(spark, sf):
     found = concepts.phrases(_chunks(spark, sf))
     best = Window.partitionBy("document_id").orderBy(F.desc("score"), "phrase")
-    chosen = concepts.scores(found).withColumn("r", F.row_number().over(best)).where("r <= 12")
+    chosen = concepts.scores(_chunks(spark, sf)).withColumn("r", F.row_number().over(best)).where("r <= 12")
     return concepts.related(found, chosen)
 
 
-@query(f"WITH {ASKED}, {LINES}, c AS (SELECT DISTINCT doc_id AS concept_id, unnest(list_filter({WORDS.format(chr(39) + chr(39) + ' || lower(replace(line, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '))')}, lambda x: length(x) > 2)) AS w FROM lines WHERE pos = 0), q AS (SELECT DISTINCT query_id, unnest(list_filter({WORDS.format('lower(replace(question, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '))')}, lambda x: length(x) > 2)) AS w FROM asked), s AS (SELECT query_id, concept_id, count(*) AS overlap FROM c JOIN q USING (w) GROUP BY 1, 2) SELECT query_id, concept_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, concept_id) AS r FROM s) WHERE r <= 5")
+_WORDY = f"list_filter({WORDS.format('lower(replace(@, chr(45), chr(32)))')}, lambda x: length(x) > 2)"
+
+
+@query(f"WITH {ASKED}, {LINES}, c AS (SELECT DISTINCT doc_id AS concept_id, unnest({_WORDY.replace('@', 'line')}) AS w FROM lines UNION SELECT doc_id, lower(lang) FROM documents WHERE length(lang) > 2 UNION SELECT doc_id, unnest({_WORDY.replace('@', 'source')}) FROM documents), q AS (SELECT DISTINCT query_id, unnest({_WORDY.replace('@', 'question')}) AS w FROM asked), s AS (SELECT query_id, concept_id, count(*) AS overlap FROM c JOIN q USING (w) GROUP BY 1, 2) SELECT query_id, concept_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, concept_id) AS r FROM s) WHERE r <= 5")
 def q_concept_match(spark, sf):
-    none = F.array().cast("array<string>")
-    rows = lines(spark, sf).where("pos = 0").select(F.col("doc_id").alias("concept_id"), F.col("line").alias("title"), F.lit("").alias("slug"), F.lit("").alias("text"), none.alias("aliases"), none.alias("tags"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("concept_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("slug"), "text", F.array("lang").alias("aliases"), F.array("source").alias("tags"))
     return concepts.match_concepts(rows, asked(spark, sf))
 
 
@@ -600,3 +637,218 @@ def q_concept_match(spark, sf):
 def q_events_windowed(spark, sf):
     rows = ingest.windowed(table(spark, sf, "events"), ["event_type"], {"n": F.count("*"), "total": F.round(F.sum("value"), 4)})
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# More of the operators: orders, merges, look-ups, catalog changes, index maintenance, checks
+
+
+@query(f"WITH {NODES} SELECT document_id, page_start AS page_number, md5(string_agg(text, chr(10) || chr(10) ORDER BY pos, node_id)) AS digest, any_value(session_id) AS section FROM nodes GROUP BY 1, 2")
+def q_page_texts(spark, sf):
+    tree = nodes(spark, sf).withColumns({"node_type": F.lit("paragraph"), "depth": F.lit(1), "position": F.col("pos"), "heading_path": F.array("session_id")})
+    pages = structure.page_texts(tree)
+    return pages.select("document_id", "page_number", F.md5("text").alias("digest"), F.get("section_path", F.lit(0)).alias("section"))
+
+
+@query("WITH p AS (SELECT r_regionkey AS r, -1 AS n, -1 AS c, 'r' || r_regionkey AS node_id FROM region UNION ALL SELECT n_regionkey, n_nationkey, -1, 'n' || n_nationkey FROM nation UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, 'k' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT r AS document_id, node_id, row_number() OVER (PARTITION BY r ORDER BY n, c) - 1 AS place FROM p")
+def q_preorder(spark, sf):
+    up = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("parent_id"), "n_regionkey")
+    places = _places(spark, sf).join(up, "parent_id", "left")
+    region = F.regexp_extract(F.coalesce("parent_id", "node_id"), "^r([0-9]+)$", 1)
+    return structure.preorder(places.withColumn("document_id", F.coalesce("n_regionkey", F.when(region != "", region.cast("int")))), depth=2)
+
+
+@query("WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), u AS (SELECT conv_id, turn, 0 AS side, place FROM a UNION ALL SELECT conv_id, turn, 1, place FROM b), f AS (SELECT conv_id, turn, min(side * 1000000 + place) AS first_at FROM u GROUP BY 1, 2) SELECT conv_id AS query_id, turn AS node_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) AS place FROM f")
+def q_merge_ordered(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("node_id"), "role")
+    by = lambda df, order: df.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(order)))
+    return structure.merge_ordered(by(rows.where("role = 'user'"), F.desc("node_id")), by(rows, F.col("node_id")))
+
+
+@query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 7 AS batch FROM events")
+def q_batches(spark, sf):
+    return structure.batches(table(spark, sf, "events").select("user_id", "event_id"), ["user_id", "event_id"], 7)
+
+
+@query(f"WITH {LINES}, m AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40) SELECT query_id, m.doc_id || ':' || pos AS chunk_id, length(line) AS n FROM m JOIN lines USING (doc_id) WHERE line <> '' AND pos < 3")
+def q_concept_chunks(spark, sf):
+    rows = lines(spark, sf).where("line <> ''").select("doc_id", "pos", F.concat_ws(":", "doc_id", "pos").alias("chunk_id"), F.length("line").alias("n"))
+    held = rows.where("pos < 3").groupBy(F.col("doc_id").alias("concept_id")).agg(F.collect_list("chunk_id").alias("source_chunk_ids"))
+    matched = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m")).join(held.select("concept_id", (F.col("concept_id") % 40).alias("m")), "m").drop("m")
+    twice = matched.unionByName(matched)  # a chunk comes once for a question
+    return concepts.concept_chunks(twice, held, rows.select("chunk_id", "n"))
+
+
+@query("SELECT conv_id, turn, coalesce(source, CAST(conv_id AS VARCHAR)) AS file_name FROM conversations LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) ON doc_id = conv_id")
+def q_enrich_citations(spark, sf):
+    names = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("filename"))
+    cited = table(spark, sf, "conversations").select("conv_id", "turn", F.col("conv_id").cast("string").alias("document_id"))
+    return catalog.enrich_citations(cited, names).select("conv_id", "turn", "file_name")
+
+
+def _bundle(spark, sf) -> DataFrame:
+    """A concept file for each document: some lack a title, an id or a body, some link to files that aren't there."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    front = F.concat(
+        F.lit("---\ntype: concept\n"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("title: Document "), "doc_id", F.lit("\n"))).otherwise(F.lit("")),
+        F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("id: d"), "doc_id", F.lit("\n"))).otherwise(F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.lit("tags: one\n")).otherwise(F.concat(F.lit("tags: ["), "lang", F.lit("]\n"))), F.lit("---\n"),
+    )
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("See [next](doc-"), F.col("doc_id") + 1, F.lit(".md).\n")))
+    return d.select(F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("path"), F.concat(front, body).alias("value"))
+
+
+_ISSUES = "SELECT 'doc-' || doc_id || '.md' AS path, '{s}' AS severity, '{k}' AS kind FROM documents WHERE {w}"
+
+
+@query(" UNION ALL ".join((
+    _ISSUES.format(s="error", k="title", w="doc_id % 3 = 0"), _ISSUES.format(s="error", k="id", w="doc_id % 4 = 0"), _ISSUES.format(s="error", k="tags", w="doc_id % 5 = 0"),
+    _ISSUES.format(s="warning", k="empty", w="doc_id % 7 = 0"), _ISSUES.format(s="warning", k="found", w="doc_id % 7 <> 0 AND doc_id + 1 NOT IN (SELECT doc_id FROM documents)"),
+)))
+def q_bundle_issues(spark, sf):
+    found = concepts.validate_bundle(concepts.bundle_files(_bundle(spark, sf)))
+    return found.select("path", "severity", F.regexp_extract(F.lower("message"), r"(title|\bid\b|tags|empty|found)", 1).alias("kind"))
+
+
+@query("SELECT CASE WHEN doc_id % 4 > 0 THEN 'd' || doc_id ELSE 'concept_' || substr(sha256('doc-' || doc_id || '.md'), 1, 16) END AS concept_id, CASE WHEN doc_id % 3 > 0 THEN 'Document ' ELSE 'Doc ' END || doc_id AS title, CASE WHEN doc_id % 3 > 0 THEN 'document-' ELSE 'doc-' END || doc_id AS slug, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS n_tags FROM documents")
+def q_bundle_concepts(spark, sf):
+    made = concepts.concepts_of_bundle(concepts.bundle_files(_bundle(spark, sf)))
+    return made.select("concept_id", "title", "slug", F.size("tags").alias("n_tags"))
+
+
+@query("WITH k AS (SELECT sha256(text) AS sha, source, min('known_' || doc_id) AS known FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2) SELECT d.doc_id, coalesce(known, 'doc_' || substr(sha256(text), 1, 16)) AS document_id FROM documents d LEFT JOIN k ON k.sha = sha256(d.text) AND k.source = d.source")
+def q_upsert_by_hash(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("source").alias("session_id"))
+    known = rows.where("doc_id % 2 = 0").withColumn("document_id", F.concat(F.lit("known_"), "doc_id"))
+    return catalog.upsert_by_hash(known, rows).select("doc_id", "document_id")
+
+
+@query("SELECT source AS session_id, count(*) AS n_documents, CAST(sum(n_lines) AS BIGINT) AS n_chunks FROM (SELECT source, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE length(source) % 2 = 0) GROUP BY 1")
+def q_delete_sessions(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("session_id"))
+    chunks = lines(spark, sf).select(F.col("doc_id").alias("document_id"), F.concat_ws(":", "doc_id", "pos").alias("chunk_id"))
+    sessions = docs.select("session_id").distinct()
+    left, tables = catalog.delete_sessions(sessions, {"documents": docs, "chunks": chunks}, sessions.where("length(session_id) % 2 = 1"))
+    n_chunks = tables["chunks"].groupBy("document_id").agg(F.count("*").alias("n"))
+    rows = tables["documents"].join(n_chunks, "document_id").groupBy("session_id").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_chunks"))
+    return left.join(rows, "session_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 0, -1 FROM orders WHERE o_orderstatus = 'F'")
+def q_replace_children(spark, sf):
+    old = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_partkey").cast("bigint").alias("l_partkey"))
+    new = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(-1).cast("bigint").alias("l_partkey"))
+    return catalog.replace_children(old, new, "l_orderkey")
+
+
+@query("SELECT c_mktsegment AS session_id, o_orderstatus AS status, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")
+def q_status_counts(spark, sf):
+    docs = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return catalog.status_counts(docs.select(F.col("c_mktsegment").alias("session_id"), F.col("o_orderstatus").alias("status")))
+
+
+@query("SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') THEN 'failed' WHEN o_orderstatus = 'P' THEN 'processing' ELSE o_orderstatus END AS status FROM orders")
+def q_fail_stale(spark, sf):
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "P", "processing").otherwise(F.col("o_orderstatus")).alias("status"))
+    return catalog.fail_stale(docs, table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("document_id")))
+
+
+@query("WITH e AS (SELECT user_id, event_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'parsing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, substr(repeat(props, 20), 1, 500) AS m FROM events) SELECT user_id AS job_id, event_id AS stage, status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, status IN ('completed', 'failed', 'cancelled') AS is_terminal, md5(m) AS message FROM e")
+def q_job_transitions(spark, sf):
+    kinds = F.element_at(F.array(*map(F.lit, ("queued", "parsing", "completed", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    log = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("stage"), kinds.alias("status"), F.repeat("props", 20).alias("progress_message"), F.col("ts").alias("updated_at"))
+    return catalog.transitions(log).select("job_id", "stage", "status", "previous", "is_terminal", F.md5("progress_message").alias("message"))
+
+
+@query("WITH s AS (SELECT DISTINCT c_mktsegment AS session_id, 'old ' || c_mktsegment AS title FROM customer), w AS (SELECT DISTINCT c_mktsegment AS session_id, 'new ' || c_mktsegment AS title FROM customer WHERE length(c_mktsegment) > 8 UNION ALL SELECT r_name, r_name FROM region) SELECT coalesce(w.session_id, s.session_id) AS session_id, coalesce(w.title, s.title) AS title, s.session_id IS NOT NULL AS kept FROM s FULL JOIN w USING (session_id)")
+def q_ensure_sessions(spark, sf):
+    segments = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("session_id")).distinct()
+    long_ago = F.lit("2001-01-01").cast("timestamp")
+    old = segments.select("session_id", F.concat(F.lit("old "), "session_id").alias("title"), long_ago.alias("created_at"))
+    wanted = segments.where("length(session_id) > 8").select("session_id", F.concat(F.lit("new "), "session_id").alias("title")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("session_id"), F.col("r_name").alias("title")))
+    return catalog.ensure_sessions(old, wanted).select("session_id", "title", (F.col("created_at") == long_ago).alias("kept"))
+
+
+@query("SELECT o_custkey AS document_id, o_orderkey AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) - 1 AS place FROM orders")
+def q_document_nodes(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("depth"), F.col("o_orderkey").alias("position"), F.col("o_orderkey").alias("node_id"))
+    return catalog.document_nodes(rows).select("document_id", F.posexplode("node_ids").alias("place", "node_id"))
+
+
+_REACHED = f"WITH {NODES}, n AS (SELECT * FROM nodes WHERE document_id % 3 <> 0), {ASKED}, {TERMS}, {POSTED.replace('FROM nodes', 'FROM n')}, {FTS.replace('FROM nodes n', 'FROM n')} {TOP.format('scored', 10)}"
+
+
+@query(_REACHED)
+def q_index_maintenance(spark, sf):
+    """A stored index after additions, a replacement and a removal finds what a fresh one over the remaining nodes does."""
+    found = at_rest(nodes(spark, sf), "nodes")
+    root = f"{shared_folder(spark)}/folioforge/index-{uuid.uuid4().hex}"
+    store = SearchIndex.open(spark, root).add(found.where("document_id % 2 = 0").withColumn("text", F.upper("text"))).add(found.where("document_id % 2 = 1"))
+    store = store.add(found.where("document_id % 2 = 0")).remove(found.where("document_id % 3 = 0").select("document_id"))
+    return _rounded(SearchIndex.open(spark, root).bm25(asked(spark, sf), 10))
+
+
+@query()
+def q_lexical(spark, sf):
+    found = retrieval.lexical(nodes(spark, sf).drop("session_id"), asked(spark, sf), 20)
+    return found.select("query_id", "node_id", "rank", *(F.round(c, 6).alias(c) for c in ("score", "fts", "heading", "phrase", "structural")))
+
+
+# The three signals of q_lexical; a question of eight words is one phrase, with its two parts of seven.
+_WHOLE = PHRASES[: PHRASES.index("qw AS (")] + r"qw AS (SELECT query_id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS w FROM asked), " + PHRASES[PHRASES.index("pq AS (") :]
+ORACLES["q_lexical"] = (
+    f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS}, {HEADS}, {_WHOLE}, l0 AS (SELECT * FROM {_ranked('scored', 40)}), l1 AS (SELECT query_id, node_id, 1 - 0.05::DOUBLE * (rank - 1) AS score, rank FROM {_ranked('headed', 20)}), l2 AS (SELECT * FROM {_ranked('phrased', 20)}), "
+    "fu AS (SELECT query_id, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, node_id, rank FROM l0 UNION ALL SELECT query_id, node_id, rank FROM l1 UNION ALL SELECT query_id, node_id, rank FROM l2) GROUP BY 1, 2) "
+    f"SELECT f.query_id, f.node_id, f.rank, round(f.score, 6) AS score, round(coalesce(l0.score, 0), 6) AS fts, round(coalesce(l1.score, 0), 6) AS heading, round(coalesce(l2.score, 0), 6) AS phrase, CASE WHEN coalesce(n.title, '') <> '' THEN 1.0 ELSE 0.2 END::DOUBLE AS structural FROM (SELECT * FROM {_ranked('fu', 20)}) f LEFT JOIN l0 USING (query_id, node_id) LEFT JOIN l1 USING (query_id, node_id) LEFT JOIN l2 USING (query_id, node_id) JOIN nodes n ON n.node_id = f.node_id"
+)
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, regexp_matches(trim(line), '{C.OUTLINE_HEADING.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(trim(line), '{C.OUTLINE_END}') AND length(trim(line)) <= {C.OUTLINE_CHARS} AND len({WORDS.format('line')}) BETWEEN 1 AND {C.OUTLINE_WORDS} AS heading FROM lines")
+def q_outline_heading(spark, sf):
+    return lines(spark, sf).select("doc_id", "pos", T.looks_like_heading(F.col("line")).alias("heading"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_slice({WORDS.format('text')}, 1, 200), ' ') || CASE WHEN len({WORDS.format('text')}) > 200 THEN '…' ELSE '' END AS block FROM documents")
+def q_truncate_block(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.truncate_block(F.col("text")).alias("block"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), 'everything about') OR contains(lower(text), 'tell me') OR contains(lower(text), 'explain') AS topic FROM conversations")
+def q_topic_flag(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.is_topic(F.col("text")).alias("topic"))
+
+
+@query(f"WITH {LINES}, s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(regexp_replace(regexp_replace(lower(md5(line)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 8) AS own FROM lines WHERE pos = 0) SELECT doc_id, CASE WHEN slug = '' THEN 'concept' ELSE slug END || '-' || own AS slug FROM s")
+def q_document_slug(spark, sf):
+    return lines(spark, sf).where("pos = 0").select("doc_id", T.document_slug(F.col("line"), F.concat(F.lit("doc_"), F.md5("line"))).alias("slug"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\[S\\d+\\]') THEN text ELSE rtrim(text) || ' [S1]' END AS marked, regexp_replace(text || ' [S7]', '\\[S\\d+\\]', '[S1]', 'g') AS renumbered FROM (SELECT doc_id, substr(text, 1, 40) || CASE WHEN doc_id % 2 = 0 THEN ' [S2]' ELSE '' END AS text FROM documents)")
+def q_source_marks(spark, sf):
+    t = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 2 == 0, F.lit(" [S2]")).otherwise(F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", T.with_source_mark(t).alias("marked"), T.renumbered(F.concat(t, F.lit(" [S7]"))).alias("renumbered"))
+
+
+@query(f"WITH {LINES}, a AS (SELECT doc_id AS query_id, {ASCII.format('line')} || CASE doc_id % 3 WHEN 0 THEN ' [S1]' WHEN 1 THEN ' [S2]' ELSE '' END AS answer, doc_id FROM lines WHERE pos = 0), c AS (SELECT doc_id AS query_id, 'S' || (pos + 1) AS source_id, substr({ASCII.format('line')}, 1, 300) AS excerpt FROM lines WHERE pos < 2 AND line <> ''), u AS (SELECT a.query_id, regexp_replace(answer, '\\[S\\d+\\]', '', 'g') AS a, answer, coalesce(excerpt, '') AS e, excerpt IS NOT NULL AS has FROM a LEFT JOIN c ON c.query_id = a.query_id AND contains(answer, '[' || source_id || ']')) SELECT query_id, trim(answer) <> '' AND has AND (len({_cw('a')}) = 0 OR CAST(len(list_intersect({_cw('a')}, {_cw('e')})) AS DOUBLE) / greatest(len({_cw('a')}), 1) >= 0.35) AND {_within(C.NUMBER, False).replace('regexp_extract_all(a,', 'regexp_extract_all(answer,')} AND {_within(C.DATE, True).replace('regexp_extract_all(a,', 'regexp_extract_all(answer,')} AND {_within(C.PROPER_NAME, True)} AND {_DIR} AS valid FROM u")
+def q_validate_answers(spark, sf):
+    plain = F.regexp_replace("line", r"[^\x00-\x7F]", "_")
+    mark = F.when(F.col("doc_id") % 3 == 0, " [S1]").when(F.col("doc_id") % 3 == 1, " [S2]").otherwise("")
+    answers = lines(spark, sf).where("pos = 0").select(F.col("doc_id").alias("query_id"), F.concat(plain, mark).alias("answer"))
+    cited = lines(spark, sf).where("pos < 2 and line <> ''").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("S"), F.col("pos") + 1).alias("source_id"), T.excerpt(plain).alias("excerpt"))
+    return answer.validate(answers, cited)
+
+
+@query("SELECT o_custkey AS query_id, max(greatest(o_totalprice, o_orderkey * 10.0, 0)) AS best FROM orders GROUP BY 1")
+def q_best_scores(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_totalprice").alias("score"), (F.col("o_orderkey") * 10.0).alias("keyword_coverage"), F.lit(None).cast("double").alias("confidence"))
+    return retrieval.best_scores(rows)
+
+
+@query("WITH s AS (SELECT q.r_regionkey AS query_id, n_nationkey FROM region q JOIN nation ON n_regionkey = q.r_regionkey), c AS (SELECT query_id, c_custkey FROM s JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0), e AS (SELECT query_id, 'k' || c_custkey AS node_id, n_nationkey AS doc, c_custkey AS pos FROM c JOIN customer USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc, pos, node_id) AS place FROM e) SELECT query_id, node_id, place FROM o WHERE place <= 12")
+def q_tree_route(spark, sf):
+    """Nations are documents with a root, whose sections are customers; a chooser follows every second one."""
+    region = F.col("n_regionkey").cast("string").alias("session_id")
+    nation = table(spark, sf, "nation").select("n_nationkey", region)
+    roots = nation.select("session_id", F.col("n_nationkey").alias("document_id"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("bigint").alias("position"))
+    leaves = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("session_id", F.col("n_nationkey").alias("document_id"), F.concat(F.lit("k"), "c_custkey").alias("node_id"), F.concat(F.lit("n"), "n_nationkey").alias("parent_id"), F.col("c_custkey").alias("position"))
+    tree = roots.unionByName(leaves).withColumns({"page_start": F.lit(1), "depth": F.lit(1)})
+    queries = table(spark, sf, "region").select(F.col("r_regionkey").alias("query_id"), F.lit("which").alias("question"), F.col("r_regionkey").cast("string").alias("session_id"))
+    return structure.route(tree, queries, lambda level: level.where("position % 2 = 0"))

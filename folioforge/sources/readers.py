@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,35 @@ def pdf_blocks(found: DataFrame, extract: Callable[[bytes], list[dict]]) -> Data
     return found.where(F.col("suffix").isin(*PDF)).select("document_id", "content").mapInArrow(run, schema)
 
 
+def pdf_pages(found: DataFrame, text_layer: Callable[[bytes], list[str]], recognise: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(document_id, page_number, text, section_path) of PDF files: a row for each page of the text layer that isn't blank, or, with a recogniser
+    and less than 20 characters a page on average, one row of what it reads. A backend that fails gives no rows. section_path is the file's stem."""
+
+    def rows(content: bytes) -> list[tuple[int, str]]:
+        try:
+            pages = text_layer(content)
+        except Exception:  # whatever a backend raises on a damaged file
+            pages = []
+        enough = pages and sum(len(p.strip()) for p in pages) / len(pages) >= structure.ENOUGH_CHARS
+        if not enough and recognise is not None:
+            try:
+                read = recognise(content)
+            except Exception:
+                read = ""
+            if read.strip():
+                return [(1, read)]
+        return [(i, p) for i, p in enumerate(pages, 1) if p.strip()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, stem, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = rows(content)
+                yield pa.record_batch([pa.array([doc] * len(got), pa.string()), pa.array([n for n, _ in got], pa.int32()), pa.array([t for _, t in got], pa.string()), pa.array([[stem]] * len(got), pa.list_(pa.string()))], ["document_id", "page_number", "text", "section_path"])
+
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    return found.where(F.col("suffix").isin(*PDF)).select("document_id", stem.alias("stem"), "content").mapInArrow(run, "document_id string, page_number int, text string, section_path array<string>")
+
+
 def with_fallback(first: DataFrame, documents: DataFrame, fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """first's blocks, and the fallback reader's for documents without any or with too little text."""
     poor = structure.needs_fallback(first).where("not sufficient").select("document_id")
@@ -62,4 +93,11 @@ def save_index(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "doc_stats")) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    """Index tables that were saved; one that is missing or unreadable is told in a warning and left out."""
+    out = {}
+    for n in names:
+        try:
+            out[n] = spark.read.parquet(f"{path}/{n}")
+        except AnalysisException as e:
+            warnings.warn(f"index table {n} can't be read: {e}", stacklevel=2)
+    return out

@@ -10,19 +10,49 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
 from ..operators import catalog
+from ..operators.index_store import SearchIndex
+from ..plans.tables import at_rest
 
 
 def file_stream(spark: SparkSession, path: str, session_id: str = "default") -> DataFrame:
-    """A stream of files with sha256 and document_id, each content once for a session."""
+    """A stream of files with sha256 and document_id. It holds no state; ingest_stream keeps out what was there before."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
     named = raw.select("path", "content", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.lit(session_id).alias("session_id"))
-    return catalog.register(named).dropDuplicates(["session_id", "sha256"])
+    return catalog.register(named)
 
 
 def ingest_stream(files: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs ingest(batch, batch_id) for every batch of files that is there; the checkpoint makes a restart go on after the last one."""
-    return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs ingest(batch, batch_id) for every batch of files that is there, each content once for a session; the checkpoint makes a
+    restart go on after the last one. What has been seen is a table of hashes beside the checkpoint, a folder for each batch (so
+    a batch that is run again finds the same), not state of the stream."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, f"{checkpoint}/seen"
+        new = catalog.latest(batch, ["session_id", "sha256"], [F.col("document_id")])
+        if _exists(spark, at):
+            before = spark.read.parquet(at).where(F.col("batch") != number)
+            new = new.join(before, ["session_id", "sha256"], "left_anti")
+        new = at_rest(new.select(batch.columns), "batch")
+        new.select("session_id", "sha256").write.mode("overwrite").parquet(f"{at}/batch={number}")
+        ingest(new, number)
+
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def index_stream(nodes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Adds every batch of a stream of nodes to the search index in a folder. A batch that is run again replaces its documents by themselves."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if batch.limit(1).count():
+            SearchIndex.open(batch.sparkSession, root).add(at_rest(batch, "nodes"))
+
+    return nodes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_states(events: DataFrame) -> DataFrame:

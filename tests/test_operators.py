@@ -147,7 +147,7 @@ def test_extractive(spark):
 def test_concepts(spark):
     c = spark.createDataFrame([("d", "c1", 1, "Neural network training. Neural network depth."), ("d", "c2", 1, "Neural network training again.")], "document_id string, chunk_id string, page_number int, text string")
     found = concepts.phrases(c)
-    top = [r.phrase for r in concepts.top_concepts(concepts.scores(found), 3).orderBy("place").collect()]
+    top = [r.phrase for r in concepts.top_concepts(concepts.scores(c), 3, first=2).orderBy("place").collect()]
     assert top[0] == "neural network" and not any(set(a.split()) <= set(b.split()) for a in top for b in top if a != b)
     mined = concepts.mine(c, 3)
     assert mined.count() == len(top)

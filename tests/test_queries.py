@@ -7,6 +7,8 @@ import pytest
 
 from folioforge.queries import ORACLES, QUERIES
 
+#: What SQL can't express is compared with a Python version in test_engine.py.
+IN_PYTHON = {"q_best_sentence", "q_extractive_answer", "q_gate_full"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -32,7 +34,7 @@ def test_query(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     got = rows([tuple(r) for r in df.collect()], df.columns)
     if name not in ORACLES:
-        assert isinstance(got, list)
+        assert got and name in IN_PYTHON
         return
     result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]

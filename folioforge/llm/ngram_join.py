@@ -39,12 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
 from .shared import bounded_batches, drop, durable, lean, text_of, trim
+from .shared_keys import shared_keys
 
 WORDS, THRESHOLD = 5, 80
 #: Bits of the bitmap of a set of up to PER_BASE tokens; twice as many for each doubling of the size.
@@ -148,6 +150,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, threshold: int, frequ
             )
 
 
+def _prefix_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(token, rid, n) of rows (rid, n, tokens)."""
+    tokens = batch.column(2)
+    many = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    return tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64), *(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in (0, 1))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int, short: bool) -> Iterator[pa.RecordBatch]:
     """(rid, n, shingles) of each text that has any; with short, 4 bytes each where there are more than LONG."""
     for batch in batches:
@@ -409,10 +418,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = durable(texts.mapInArrow(lambda b: _signatures(b, k, threshold, frequent.value), "doc_id bigint, rid bigint, n bigint, bits binary, tokens array<bigint>"), "prefixes")
     signed = durable(whole.drop("tokens"), "signatures")
 
-    # One shuffle by token serves the count and the join: both read the same columns of it.
-    entered = whole.where("rid is not null").select("rid", "n", F.explode("tokens").alias("token")).repartition("token")
-    stats = entered.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("n").alias("most")).where("lo <> hi and most > 0").select("token")
-    members = durable(entered.join(stats.hint("merge"), "token").groupBy("token", "rid").agg(F.first("n").alias("n")), "members")
+    held = shared_keys(whole.where("rid is not null").select("rid", "n", "tokens"), _prefix_rows, ["token", "rid", "n"], whole.agg(F.sum(F.size("tokens"))).first()[0] or 0)
+    members = durable(held.groupBy("token", "rid").agg(F.first("n").alias("n")), "members")
     drop(whole)
 
     # Pivots

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import ann_polytope, components, ngram_join, passage_chains, queries, source_mixing, url_templates
+from folioforge.llm import ann_polytope, components, ngram_join, passage_chains, queries, shared_keys, source_mixing, url_templates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,6 +95,27 @@ def test_possible_overlap_is_a_bound():
         assert (ngram_join.folded(ngram_join.bitmap(a, 3), ngram_join.BITS // 64) == ngram_join.bitmap(a, 0)).all()
 
 
+def test_shared_keys_brute(spark, monkeypatch):
+    """Keys with several owners, whatever the tasks and buckets; hot keys go on beside their bucket."""
+    rng = random.Random(23)
+    edge = [0, 1, (1 << 64) - 1, (1 << 63), (1 << 63) - 1]
+    rows = [(rng.choice(edge) if rng.random() < 0.02 else rng.randrange(3000) * 6148914691236517 % (1 << 64), rng.randrange(400) - 200, i) for i in range(6000)]
+    rows += [(7, rng.randrange(5000), i) for i in range(3000)] + [(8, 1, i) for i in range(500)]
+    owners = collections.defaultdict(set)
+    for key, owner, _ in rows:
+        owners[key].add(owner)
+    signed = lambda k: k - (1 << 64) if k >= 1 << 63 else k
+    expected = sorted((signed(k), o, v) for k, o, v in rows if len(owners[k]) > 1)
+    df = spark.createDataFrame([(signed(k), o, v) for k, o, v in rows], "k bigint, o bigint, v bigint").repartition(6)
+    read = lambda b: (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), *(b.column(n).to_numpy(zero_copy_only=False) for n in (1, 2)))
+    got = shared_keys.shared_keys(df, read, ["key", "owner", "value"], len(rows))
+    assert sorted(map(tuple, got.collect())) == expected
+    assert shared_keys.shared_keys(df.limit(0), read, ["key", "owner", "value"], 0).count() == 0
+    key, owner = np.full(1000, 7, np.uint64), np.arange(1000)
+    packed = list(shared_keys._cut((key, owner), 16))
+    assert sum(len(b.column(2)[0].as_py()) // 8 for b in packed if not b.column(1)[0].as_py()) == 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]

@@ -20,10 +20,13 @@ the result is exact: every filter below only drops pairs that cannot link.
    verified once each; a unit with more than PAIRS of them for each set is traversed again with
    its shingles and keeps a spanning forest of exact links.
 4. Components of all links.
+5. On request, the number of each set's links: the sets of a component are compared in tiles, by the sizes of all intersections of two
+   tiles at once. Only the numbers leave a task. This is the one step whose work grows with the square of the different texts
+   in a component (not of their copies); it is spread over tasks, COUNT_SETS sets against COUNT_SETS.
 
 What is shuffled: prefix tokens with ids (a fifth of the shingles), bitmaps and
-shingles of sets with a possible partner, once each for a block or pivot. Nothing
-grows with the square of a group: pivot pairs, flags and forests are linear.
+shingles of sets with a possible partner, once each for a block or pivot, and for each pair of tiles. Pivot pairs, flags and
+forests are linear in the sets; a block of m sets enters ceil(m / TILE) units each.
 
 Defined cases: a null or blank text has no shingles and links with nothing; fewer words
 than k are one shingle; rows with equal sets are one set, so copies cost nothing; a null
@@ -65,6 +68,8 @@ SLICE = 500_000
 COUNTED = 2_000_000
 #: Bytes of the units that are traversed together.
 TOGETHER = 8 << 20
+#: Sets, and tokens, of a tile whose links are counted.
+COUNT_SETS, COUNT_TOKENS = 2048, 2_000_000
 #: Rows of ids that are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
@@ -364,6 +369,61 @@ def _traverse_units(rows: pa.Table, cls: int, threshold: int, exact: bool) -> It
         yield pa.record_batch([pa.array(np.concatenate((unit[x], unit[z])), pa.int64()), pa.array(np.concatenate((rid[x], rid[z])), pa.int64()), pa.concat_arrays([pa.array(rid[y], pa.int64()), pa.nulls(len(z), pa.int64())])], ["unit", "a", "b"])
 
 
+def _linked(a: list[np.ndarray], b: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which sets of a (rows) link with which of b (columns)."""
+    n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
+    every = np.concatenate(a + b)
+    own = np.repeat(np.arange(len(a) + len(b)), np.concatenate((n_a, n_b)))
+    _, token, many = np.unique(every, return_inverse=True, return_counts=True)
+    common_ = many[token] > 1  # others are in no intersection
+    place = np.cumsum(many > 1) - 1
+    row, column = own[common_], place[token[common_]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    width = max(256, 4_000_000 // (len(a) + len(b)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (low, low + width))
+        held = np.zeros((len(a) + len(b), width), np.float32)
+        held[row[i:j], column[i:j] - low] = 1
+        overlap += held[: len(a)] @ held[len(a) :].T
+    return links(overlap.astype(np.int64), n_a[:, None], n_b[None, :], threshold)
+
+
+def _degrees(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """(rid, n_texts, n_docs): rows (unit, side, rid, copies, shingles) in order of unit, two tiles of a class each (or one, with itself): how
+    many of the other tile's sets a set links with, and of how many documents these are."""
+    lean()
+    current, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        side = np.array([h[0] for h in held])
+        rid, copies = (np.array([h[n] for h in held], np.int64) for n in (1, 2))
+        sets = [np.frombuffer(h[3], np.uint64) for h in held]
+        held.clear()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(right)
+        right = left if alone else right
+        linked = _linked([sets[i] for i in left], [sets[i] for i in right], threshold)
+        if alone:
+            np.fill_diagonal(linked, False)
+        parts = [(rid[left], linked, copies[right])] + ([] if alone else [(rid[right], linked.T, copies[left])])
+        for ids, found, weight in parts:
+            yield pa.record_batch([pa.array(ids), pa.array(found.sum(1).astype(np.int64)), pa.array(found @ weight)], ["rid", "n_texts", "n_docs"])
+
+    for batch in batches:
+        units = batch.column(0).to_pylist()
+        for i, row in enumerate(zip(*(batch.column(n).to_pylist() for n in (1, 2, 3)), batch.column(4), strict=True)):
+            if units[i] != current:
+                yield from done()
+                current = units[i]
+            held.append((*row[:3], row[3].as_py()))
+    yield from done()
+    trim()
+
+
 # The plan
 
 
@@ -408,9 +468,27 @@ def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, k: int, thr
     return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: int = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def _link_counts(named: DataFrame, signed: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(rid, n_texts, n_docs) of the sets in named (rid, class, n_shingles) that share their class with another: every link of theirs."""
+    sets = durable(named.where("rid is not null").groupBy("class", "rid").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "distinct")
+    size = sets.groupBy("class").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
+    tiles = F.ceil(F.greatest(F.col("m") / COUNT_SETS, F.col("tokens") / COUNT_TOKENS)).cast("int")
+    placed = sets.join(size.select("class", tiles.alias("tiles")), "class").select("class", "rid", "copies", "tiles", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int").alias("tile"))
+    placed = durable(placed, "placed")
+    shingles = _with_sets(placed.select("rid"), signed, texts, k, False).select("rid", "shingles").dropDuplicates(["rid"])
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    pairs = placed.select("class", "rid", "copies", "tile", other).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other"), "side": F.when(F.col("tile") <= F.col("other"), 0).otherwise(1)})
+    units = pairs.select(F.xxhash64("class", "i", "j").alias("unit"), "side", "rid", "copies").join(shingles, "rid").select("unit", "side", "rid", "copies", "shingles")
+    counted = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda b: _degrees(b, threshold), "rid bigint, n_texts bigint, n_docs bigint")
+    out = durable(counted.groupBy("rid").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs")), "degrees")
+    drop(sets, placed)
+    return out
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: int = THRESHOLD, tile: int = TILE, count: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, n_shingles, rid (its set's id) and component_id for each row of docs;
-    links has pairs of set ids (a, b) that span the components, each a true link."""
+    links has pairs of set ids (a, b) that span the components, each a true link. With count, members also has n_links (the other
+    rows that a row links with, copies included) and n_texts (the other sets): all links are counted then, not only the spanning ones."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
@@ -472,10 +550,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = components(spanning)
     named = signed.select("doc_id", "rid", "n").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("component", "rid"))
     named = durable(named.select("doc_id", F.col("n").alias("n_shingles"), "rid", "class"), "named")
+    counts = _link_counts(named, signed, texts, k, threshold) if count else None
     drop(signed, final)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     members_out = named.join(least, "class", "left").select("doc_id", "n_shingles", "rid", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
-    return members_out, spanning
+    if counts is None:
+        return members_out, spanning
+    copies = named.where("rid is not null").groupBy("rid").agg(F.count("*").alias("copies"))
+    linked = F.coalesce("n_docs", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
+    told = members_out.join(copies, "rid", "left").join(counts, "rid", "left")
+    return told.select("doc_id", "n_shingles", "rid", "component_id", linked.alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts")), spanning
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -27,8 +27,8 @@ def pattern() -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
-    return members.select("doc_id", "n_shingles", "component_id")
+    members, _ = ngram_join.ngram_join(table(spark, sf_dir, "documents"), count=True)
+    return members.select("doc_id", "n_shingles", "component_id", "n_links", "n_texts")
 
 
 def op2_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

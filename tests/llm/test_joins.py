@@ -43,6 +43,14 @@ def brute_components(rows):
             if 100 * o >= 80 * (len(s) + len(sets[j]) - o):
                 parent[find(j)] = find(i)
     least = {}
+    brute_components.links = [0] * len(rows)  # of each row to others
+    brute_components.texts = [set() for _ in rows]
+    for i, s in enumerate(sets):
+        for j, o in collections.Counter(j for g in s for j in held[g] if j != i).items():
+            if 100 * o >= 80 * (len(s) + len(sets[j]) - o):
+                brute_components.links[i] += 1
+                if s != sets[j]:
+                    brute_components.texts[i].add(frozenset(sets[j]))
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             least[find(i)] = min(doc, least.get(find(i), doc))
@@ -56,7 +64,7 @@ def edited(rng, base, n):
     return " ".join(w)
 
 
-def test_ngram_join_brute(spark):
+def test_ngram_join_brute(spark, monkeypatch):
     rng = random.Random(2)
     base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (60, 200, 700, 1200)]
     passage = " ".join(f"p{i}" for i in range(60))
@@ -65,10 +73,12 @@ def test_ngram_join_brute(spark):
     texts += ["", None, " \n ", "one two", "One  two", "one two three four five", "ONE two three four five", "x " * 3000, "x " * 2500]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3]), (1000, texts[30])]
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id bigint, text string, rid int, n int")
-    for tile in (1024, 8):  # small tiles: several for each block
-        members, links = ngram_join.ngram_join(docs, tile=tile)
-        got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in members.collect())))
-        assert got == sorted(map(str, brute_components(rows)))
+    for tile in (1024, 8):  # small tiles: several for each block, and for each component
+        monkeypatch.setattr(ngram_join, "COUNT_SETS", tile)
+        members, links = ngram_join.ngram_join(docs, tile=tile, count=True)
+        got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.n_links, r.n_texts) for r in members.collect())))
+        brute = brute_components(rows)
+        assert got == sorted(map(str, ((*b, n, len(t)) for b, n, t in zip(brute, brute_components.links, brute_components.texts, strict=True))))
         assert links.where("a = b").count() == 0
 
 
@@ -81,8 +91,8 @@ def test_ngram_join_edges(spark, sf):
 
 def test_op1(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op1_ngram_join(spark, sf).collect())
-    assert got == sorted(brute_components(docs))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in queries.op1_ngram_join(spark, sf).collect())
+    assert got == sorted((*b, n) for b, n in zip(brute_components(docs), brute_components.links, strict=True))
 
 
 def test_possible_overlap_is_a_bound():

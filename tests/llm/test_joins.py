@@ -461,16 +461,3 @@ def test_op9_finds_exact_passages(spark, sf):
             if other != r.doc_id:
                 shared |= {other, r.doc_id}
     assert shared <= {r.doc_id for r in queries.op9_passage_chains(spark, sf).collect()}
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, sf)
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
-    rows = out.collect()
-    kept = {r.doc_id for r in rows}
-    assert kept <= set(docs) and len(kept & bad) <= 0.1 * len(bad) and all(r.n_tokens == len(r.ids) for r in rows)
-    components_left = collections.Counter(c for d, _, c in brute_components([(d, docs[d].text) for d in sorted(kept)]))
-    assert max(components_left.values()) == 1

@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct words of a chunk of the corpus (rows of an Arrow batch, of about CHUNK_BYTES) are laid
+The distinct words of a chunk of the corpus (rows of about CHUNK_BYTES together) are laid
 out as one linked sequence of symbols. An inverted index holds, for each pair of
 neighbouring symbols that a merge can join, the positions where it stands. Merges
 are applied in rank order, each at all its positions at once; only the
@@ -249,24 +249,29 @@ def _task(rank_file: bytes, pattern: str) -> Iterator[Encoder]:
         trim()
 
 
-def _slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of rows of about `most` units together, one row at least."""
-    begin, total = 0, 0
-    for k, n in enumerate(lengths.tolist()):
-        if total and total + n > most:
-            yield begin, k
-            begin, total = k, 0
-        total += n
-    if begin < len(lengths):
-        yield begin, len(lengths)
-
-
-def _encode_batch(encoder: Encoder, texts: pa.Array) -> pa.Array:
+def _chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The batches' rows anew, in chunks of about CHUNK_BYTES, one row at least."""
+    held: list[pa.Array] = []
+    size = 0
+    for texts in batches:
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        begin = 0
+        for k, n in enumerate(lengths):
+            if size and size + n > CHUNK_BYTES:
+                held.append(texts[begin:k])
+                yield pa.concat_arrays(held)
+                held, size, begin = [], 0, k
+            size += n
+        held.append(texts[begin:])
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _encode_chunk(encoder: Encoder, texts: pa.Array) -> pa.Array:
     parts, ends = [np.zeros(0, np.int32)], [0]
-    for a, b in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), CHUNK_BYTES):
-        for row in encoder.encode([t or "" for t in texts[a:b].to_pylist()]):
-            parts.append(row)
-            ends.append(ends[-1] + len(row))
+    for row in encoder.encode([t or "" for t in texts.to_pylist()]):
+        parts.append(row)
+        ends.append(ends[-1] + len(row))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
 
 
@@ -287,8 +292,8 @@ def encode_column(text: Column, rank_file: bytes, pattern: str) -> Column:
 
     def run(batches):
         with _task(rank_file, pattern) as encoder:
-            for texts in batches:
-                yield _encode_batch(encoder, texts)
+            for texts in _chunks(batches):
+                yield _encode_chunk(encoder, texts)
 
     return _over_batches(run, "array<int>")(text)
 
@@ -310,8 +315,8 @@ def round_trip_column(text: Column, rank_file: bytes, pattern: str) -> Column:
     def run(batches):
         with _task(rank_file, pattern) as encoder:
             vocab = {i: b for b, i in encoder.replay.ranks.items()}
-            for texts in batches:
-                ids = _encode_batch(encoder, texts)
+            for texts in _chunks(batches):
+                ids = _encode_chunk(encoder, texts)
                 yield pa.StructArray.from_arrays([ids, _decode_batch(vocab, ids)], ["ids", "decoded"])
 
     return _over_batches(run, "struct<ids:array<int>,decoded:binary>")(text)

@@ -494,11 +494,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(texts, k))
     whole = durable(texts.mapInArrow(lambda b: _signatures(b, k, threshold, frequent.value), "doc_id bigint, rid bigint, n bigint, bits binary, tokens array<bigint>"), "prefixes")
-    signed = durable(whole.drop("tokens"), "signatures")
+    signed = whole.drop("tokens")
 
     held = shared_keys(whole.where("rid is not null").select("rid", "n", "tokens"), _prefix_rows, ["token", "rid", "n"], whole.agg(F.sum(F.size("tokens"))).first()[0] or 0)
     members = durable(held.groupBy("token", "rid").agg(F.first("n").alias("n")), "members")
-    drop(whole)
 
     # Pivots
     by_order = F.xxhash64("rid", F.pmod("token", F.lit(PIVOTS)))
@@ -551,7 +550,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = signed.select("doc_id", "rid", "n").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("class", F.coalesce("component", "rid"))
     named = durable(named.select("doc_id", F.col("n").alias("n_shingles"), "rid", "class"), "named")
     counts = _link_counts(named, signed, texts, k, threshold) if count else None
-    drop(signed, final)
+    drop(whole, final)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     members_out = named.join(least, "class", "left").select("doc_id", "n_shingles", "rid", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
     if counts is None:

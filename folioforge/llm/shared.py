@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch handed to a Python worker, about: long texts make batches of few rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def lean() -> None:

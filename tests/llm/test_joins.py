@@ -452,7 +452,57 @@ def test_passages_behind_long_edits(spark):
     assert got[6] == got[7] and got[6][0][0] == 0 and 100 <= got[6][0][1] < 160
 
 
+def spans_of(row):
+    return [tuple(map(int, s.split(":"))) for s in row.spans.split(",")]
+
+
+def uncovered(rows, got):
+    """Runs of 50 words that two different texts share and a span doesn't cover: (doc, start)."""
+    held = collections.defaultdict(set)
+    texts = [tuple(words(t)) for _, t in rows]
+    for n, w in enumerate(texts):
+        for i in range(len(w) - 49):
+            held[w[i : i + 50]].add(w)
+    return [(d, i) for (d, _), w in zip(rows, texts, strict=True) if d is not None for i in range(len(w) - 49) if len(held[w[i : i + 50]]) > 1 and not any(a <= i and i + 50 <= z for a, z in got.get(d, []))]
+
+
+def test_passages_whose_parts_stand_elsewhere(spark):
+    """Many texts hold parts of a passage that two share whole: pieces of 16 words, and its halves of 30."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage, halves = fresh(60), (fresh(30), fresh(30))
+    texts = {1000: fresh(80) + passage + fresh(40), 1001: fresh(30) + passage + fresh(90), 1002: fresh(60) + halves[0] + halves[1] + fresh(60), 1003: fresh(50) + halves[0] + halves[1]}
+    for i in range(300):
+        at = rng.randrange(0, 45)
+        texts[i] = fresh(40) + passage[at : at + 16] + fresh(20)
+    for i in range(300, 600):
+        texts[i] = fresh(40) + halves[i % 2] + fresh(30)
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    rng.shuffle(rows)
+    got = {r.doc_id: spans_of(r) for r in passage_chains.repeated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert not uncovered(rows, got) and {1000, 1001, 1002, 1003} <= set(got)
+    assert got[1000] == [(80, 140)] and got[1001] == [(30, 90)] and got[1002] == [(60, 120)]
+
+
+def test_without_repeats(spark):
+    rng = random.Random(32)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    p, a, b, c, d = fresh(70), fresh(30), fresh(40), fresh(20), fresh(60)
+    first, second = " ".join(a + p) + "\n" + " ".join(b), " ".join(c + p) + " \n " + " ".join(d)
+    rows = [(5, first, 1), (7, second, 2), (7, second, 2), (9, first, 3), (None, first, 4), (11, " ".join(d[:30]), 5), (12, None, 6), (13, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans int")
+    got = sorted((str(r.doc_id), r.text, r.spans) for r in passage_chains.without_repeats(docs).collect())
+    kept = " ".join(c) + " " + " ".join(d)
+    assert got == sorted([("5", first, 1), ("7", kept, 2), ("7", kept, 2), ("9", "", 3), ("None", first, 4), ("11", " ".join(d[:30]), 5), ("12", None, 6), ("13", "", 7)])
+    assert passage_chains.without_repeats(docs.limit(0)).count() == 0
+
+
 def test_op9_finds_exact_passages(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert not uncovered(docs, {r.doc_id: spans_of(r) for r in queries.op9_passage_chains(spark, sf).collect()})
+
+
+def test_op9_finds_documents(spark, sf):
     seen, shared = {}, set()
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         w = words(r.text)

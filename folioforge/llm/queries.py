@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_polytope, byte_bpe, media_ogg, ngram_join, passage_chains, quality_rank, secret_scan, source_mixing, token_cache, url_templates
-from .shared import durable_dir, table
+from . import ann_polytope, byte_bpe, exact_dedup, importance, media_ogg, ngram_join, passage_chains, quality_rank, secret_scan, source_mixing, token_cache, url_templates
+from .shared import drop, durable_dir, table
 
 
 def vocabulary(name: str) -> bytes:
@@ -101,6 +101,20 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table comes as two loads, the lesser half of the ids first, so that the second meets a history.
+    rows = exact_dedup.digests(table(spark, sf_dir, "documents"))
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5).alias("m")).first().m
+    older = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+    found, index = exact_dedup.exact_groups([rows.where(older), rows.where(~older)], exact_dedup.DigestIndex(spark))
+    drop(rows, index.table)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_media_ogg": op2_media_ogg,
@@ -112,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_polytope": op8_ann_polytope,
     "op9_passage_chains": op9_passage_chains,
     "op10_token_cache": op10_token_cache,
+    "op11_importance": op11_importance,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 #: Op6 in SQL: with a limit on repeats alone the exponent has a closed form, where the operator bisects.
@@ -139,4 +155,38 @@ select doc_id, source, n_tokens, cast(e as int) as epoch, block, cast('0x' || su
 from (select *, unnest(range(1, copies + 1)) as e from copied)
 """
 
-ORACLES: dict[str, str] = {"op6_source_mixing": OP6}
+#: Op11 in SQL, with CRC-32 byte by byte over the distinct words. The numbers are the checksum's polynomial and its table's size.
+OP11 = r"""
+with crc as (
+  select list(list_reduce(list_prepend(i, range(1, 9)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from range(256) r(i)),
+texts as (
+  select 'd' as side, doc_id as id, row_number() over () as row, coalesce(text, '') as text from documents
+  union all select 'b', item_id, row_number() over (), coalesce(text, '') from benchmark),
+words as (
+  select side, id, row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+each_ as (select side, row, unnest(w) as w from words),
+distinct_ as (select distinct w, hex(encode(w)) as h from each_),
+hashed as (
+  select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(cast(len(h) / 2 as bigint)), lambda i: cast(('0x' || substr(h, 2 * i + 1, 2)) as bigint))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 as bucket
+  from distinct_, crc),
+counted as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from each_ join hashed using (w) group by 1),
+whole as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from counted),
+gains as (select bucket, cast(floor(1000 * ln(cast(t + 1 as double) * (s_all + 10000) / (cast(s + 1 as double) * (t_all + 10000)))) as bigint) as gain from counted, whole),
+weights as (select row, sum(gain) as weight from each_ join hashed using (w) join gains using (bucket) where side = 'd' group by 1),
+scored as (
+  select id as doc_id, cast(len(w) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(cast(id as varchar), 'null')), 1, 8) as bigint) + 0.5) / 4294967296))) as bigint) as score
+  from words left join weights using (row) where side = 'd'),
+placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) as place, count(*) filter (n_features >= 20) over () as n from scored)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= n * 10 // 100 then place end as rank from placed
+"""
+
+OP12 = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+  row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))
+"""
+
+ORACLES: dict[str, str] = {"op6_source_mixing": OP6, "op11_importance": OP11, "op12_exact_dedup": OP12}

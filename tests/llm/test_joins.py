@@ -322,7 +322,7 @@ def test_mix_keeps_columns_and_spreads(spark):
 def same_rows(df, sql, sf):
     """Whether DuckDB gives df's rows."""
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark", "sales", "client_changes"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     result = con.execute(sql)
     names = sorted(d[0] for d in result.description)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_polytope, byte_bpe, exact_dedup, importance, media_ogg, ngram_join, passage_chains, quality_rank, secret_scan, source_mixing, token_cache, url_templates
+from . import ann_polytope, byte_bpe, exact_dedup, importance, media_ogg, ngram_join, passage_chains, quality_rank, secret_scan, source_mixing, token_cache, url_templates, valid_time
 from .shared import drop, durable_dir, table
 
 
@@ -115,6 +115,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_time.enriched(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_media_ogg": op2_media_ogg,
@@ -128,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_cache": op10_token_cache,
     "op11_importance": op11_importance,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_valid_time": op13_valid_time,
 }
 
 #: Op6 in SQL: with a limit on repeats alone the exponent has a closed form, where the operator bisects.
@@ -189,4 +194,39 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
 from documents window same as (partition by coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op6_source_mixing": OP6, "op11_importance": OP11, "op12_exact_dedup": OP12}
+#: Op13 in SQL: instead of a state, versions that a batch holds are found from the batches in which they came and were pruned.
+OP13 = """
+with crc as (
+  select list(list_reduce(list_prepend(i, range(1, 9)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from range(256) r(i)),
+changes as (
+  select c.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(cast(change_id as varchar))), lambda i: cast(ascii(substr(cast(change_id as varchar), i + 1, 1)) as bigint))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 4 as delay
+  from (select distinct * from client_changes where valid_at is not null) c, crc),
+versions as (
+  select client_id, change_id, valid_at, op, cast(floor(100 * balance + 0.5) as bigint) as cents,
+    greatest(0, coalesce(least(11, cast(floor((date_diff('day', date '1970-01-01', cast(valid_at as date)) + delay - 19723) * 12 / 152) as bigint)), 11)) as b
+  from changes),
+sold as (
+  select row_number() over () as n, sale_id, client_id, sold_at,
+    greatest(0, coalesce(least(11, cast(floor((date_diff('day', date '1970-01-01', cast(arrived_at as date)) - 19723) * 12 / 152) as bigint)), 11)) as b
+  from sales),
+maxima as (select e, (select max(sold_at) from sold where b < e) as ws, (select max(valid_at) from versions where b < e) as wc from range(13) r(e)),
+marks as (select e, wc, case when ws is not null and wc is not null then least(ws, wc) end as h from maxima),
+late as (select v.* from versions v join marks m on m.e = v.b where v.valid_at < m.wc),
+taken as (
+  select v.*, row_number() over (partition by client_id order by valid_at, change_id nulls first, cents nulls first, op nulls first) as o
+  from versions v join marks m on m.e = v.b where v.client_id is not null and (m.wc is null or v.valid_at >= m.wc)),
+kept as (select m.e, v.client_id, max(o) as o from marks m join taken v on v.b <= m.e and v.valid_at <= m.h where m.e < 12 group by all),
+held as (
+  select m.e, v.* from marks m join taken v on v.b <= m.e left join kept k on k.e = m.e - 1 and k.client_id = v.client_id
+  where v.b = m.e or v.o >= coalesce(k.o, 0)),
+sizes as (select e, client_id, count(*) as n_held from held group by all),
+gone as (select s.*, coalesce((select min(m.e) from marks m where m.e >= s.b and m.e < 12 and (s.sold_at is null or s.sold_at < m.h)), 12) as e from sold s),
+chosen as (select g.n, max(h.o) as o from gone g join held h on h.client_id = g.client_id and h.e = g.e and h.valid_at <= g.sold_at group by all)
+select 'sale' as rec, g.sale_id as id, cast(g.e as bigint) as batch, cast(coalesce(n_held, 0) as bigint) as n_held, v.change_id, v.cents as balance_cents, v.op
+from gone g left join sizes z on z.e = g.e and z.client_id = g.client_id left join chosen c on c.n = g.n left join taken v on v.client_id = g.client_id and v.o = c.o
+union all select 'late', change_id, cast(b as bigint), null, null, null, null from late
+"""
+
+ORACLES: dict[str, str] = {"op6_source_mixing": OP6, "op11_importance": OP11, "op12_exact_dedup": OP12, "op13_valid_time": OP13}

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -303,6 +304,27 @@ def _watermarks(rows: DataFrame, folds: Folds) -> list[tuple[int, int, int]]:
 
 # The stream
 
+#: State in RocksDB; many small stores: no disk is set aside for each, and those of ended runs are closed soon.
+_STORE = "spark.sql.streaming.stateStore"
+STATE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.maintenanceInterval": "3s",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, and its own ones after that."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
 
 def _run_batch(spark: SparkSession, root: str, last_batch: int) -> None:
     """Start the query on what has been fed, and wait for its end."""
@@ -367,15 +389,10 @@ def enriched(sales: DataFrame, changes: DataFrame, folds: Folds = Folds()) -> Da
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(conf)
     fs.mkdirs(path(f"{root}/feed"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _settings(spark, STATE):
         for batch in range(folds.batches + 1):
             fs.rename(path(f"{root}/staged/batch={batch}"), path(f"{root}/feed/batch={batch}"))
             _run_batch(spark, root, folds.batches - 1)
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
     result = durable(_told_rows(_whole(spark.read.schema(OUT).parquet(f"{root}/out"))), "enriched")
     fs.delete(path(root), True)
     return result

@@ -304,12 +304,13 @@ def _watermarks(rows: DataFrame, folds: Folds) -> list[tuple[int, int, int]]:
 
 # The stream
 
-#: State in RocksDB; many small stores: no disk is set aside for each, and those of ended runs are closed soon.
+#: State in RocksDB; many small stores: no disk is set aside for each, those of ended runs are closed soon, and old versions go.
 _STORE = "spark.sql.streaming.stateStore"
 STATE = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.maintenanceInterval": "3s",
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 
@@ -393,6 +394,7 @@ def enriched(sales: DataFrame, changes: DataFrame, folds: Folds = Folds()) -> Da
         for batch in range(folds.batches + 1):
             fs.rename(path(f"{root}/staged/batch={batch}"), path(f"{root}/feed/batch={batch}"))
             _run_batch(spark, root, folds.batches - 1)
+            fs.delete(path(f"{root}/feed/batch={batch}"), True)  # its results and state are at rest
     result = durable(_told_rows(_whole(spark.read.schema(OUT).parquet(f"{root}/out"))), "enriched")
     fs.delete(path(root), True)
     return result

@@ -484,6 +484,27 @@ def test_passages_whose_parts_stand_elsewhere(spark):
     assert got[1000] == [(80, 140)] and got[1001] == [(30, 90)] and got[1002] == [(60, 120)]
 
 
+@pytest.mark.parametrize(("length", "every", "piece"), [(300, 25, 30), (120, 20, 30), (200, 15, 25), (80, 25, 20)])
+def test_edited_passages_whose_parts_stand_elsewhere(spark, length, every, piece):
+    """Pairs of texts share a passage with one word in `every` replaced in the second; 200 others for each pair hold pieces of it."""
+    rng = random.Random(length)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    texts, found = {}, 0
+    for no in range(10):
+        passage = fresh(length)
+        second = [f"e{rng.randrange(10**8)}" if rng.random() < 1 / every else w for w in passage]
+        texts[10000 + 2 * no], texts[10001 + 2 * no] = fresh(100) + passage + fresh(50), fresh(60) + second + fresh(80)
+        for i in range(200):
+            at = rng.randrange(0, length - piece + 1)
+            texts[no * 200 + i] = fresh(30) + passage[at : at + piece] + fresh(30)
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = {r.doc_id: spans_of(r) for r in passage_chains.repeated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    for no in range(10):
+        covered = sum(z - a for a, z in got.get(10000 + 2 * no, []) if 95 <= a and z <= 105 + length)
+        found += covered >= 0.8 * length
+    assert found >= 9 and set(got) <= {10000 + n for n in range(20)}
+
+
 def test_without_repeats(spark):
     rng = random.Random(32)
     fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]

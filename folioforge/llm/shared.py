@@ -74,11 +74,36 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Tables that `durable` has written and `drop` hasn't deleted.
+_made: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Durable tables that are made inside and not dropped there are deleted at the end, also after a failure; the session's size of Arrow batches
+    is as before. Results must have been written or collected by then."""
+    key, made = "spark.sql.execution.arrow.maxBytesPerBatch", len(_made)
+    before = spark.conf.get(key, None)
+    try:
+        yield
+    finally:
+        for path in _made[made:]:
+            _delete(spark, path)
+        del _made[made:]
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and losing executors loses nothing."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{durable_dir(spark)}/folioforge/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
     with shuffles_released(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -90,9 +115,9 @@ def drop(*tables: DataFrame) -> None:
     """Delete durable tables whose successors are at rest; others (not made by `durable`) are left alone."""
     for df in tables:
         if path := getattr(df, "folio_path", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+            if path in _made:
+                _made.remove(path)
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import byte_bpe, quality_rank, queries, secret_scan, source_mixing
+from folioforge.llm.shared import durable
 
 from .test_joins import brute_components
 from .test_rowwise import base_spans
@@ -117,6 +118,19 @@ def test_pipeline(spark, sf):
     assert told(corpus_pipeline.run(spark, sf).collect()) == brute(spark, docs, labels)
 
 
+def test_mixed_order_lasts(spark, sf):
+    """In order of shard and place, the result has the order of the mixing stage, however Spark deals its files to tasks."""
+    step = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        step = durable(stage(spark, step, sf), "step")
+    mixed_rows = source_mixing.mix(step.select(corpus_pipeline.COLUMNS), max_repeats=corpus_pipeline.MAX_REPEATS)
+    want = [r.doc_id for r in mixed_rows.orderBy("epoch", "order_key").select("doc_id").collect()]
+    got = corpus_pipeline.run(spark, sf).repartition(7).orderBy("shard", "place").select("doc_id").collect()
+    assert [r.doc_id for r in got] == want and len(want) > 50
+    frame = spark.createDataFrame([tuple(r) for r in step.limit(3).collect()], step.schema)  # not read from files
+    assert corpus_pipeline.encoding(spark, frame, sf).where("shard is null and place is null").count() == 3
+
+
 @pytest.fixture(scope="module")
 def odd(spark, sf, tmp_path_factory):
     """The sample with rows of nulls, empty and long texts, copies, repeated ids and columns named like internal ones."""

@@ -9,34 +9,14 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from . import schemas
 from .errors import UnsupportedFileError
 from .operators import concepts, structure
 from .plans.engine import Engine
+from .plans.tables import scratch
 from .sources import readers
 
-CHUNKS = "document_id string, page_number int, sequence int, text string, n_words bigint, chunk_id string"
-
-
-def load(spark: SparkSession, home: str, version: str) -> Engine:
-    """The engine on the tables of a version, empty ones for version 0."""
-    kinds = {"documents": schemas.DOCUMENTS, "nodes": schemas.NODES, "chunks": CHUNKS}
-    if version == "0":
-        return Engine(*(spark.createDataFrame([], k) for k in kinds.values()))
-    return Engine(*(spark.read.schema(k).parquet(f"{home}/{version}/{n}") for n, k in kinds.items()))
-
-
-def current(spark: SparkSession, home: str) -> str:
-    """The last version that was written whole."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{home}/versions")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return "0"
-    return str(spark.read.schema("version bigint").json(f"{home}/versions").agg(F.max("version")).first()[0] or 0)
-
 
 def main(argv: list[str]) -> int:
     args = argparse.ArgumentParser(description=__doc__)
@@ -46,23 +26,24 @@ def main(argv: list[str]) -> int:
     args.add_argument("what", nargs="?", default="")
     a = args.parse_args(argv)
     spark = SparkSession.builder.appName("folioforge").getOrCreate()
-    version = current(spark, a.home)
-    engine = load(spark, a.home, version)
+    with scratch(spark):
+        for row in _run(spark, a).toJSON().toLocalIterator():
+            print(json.dumps(json.loads(row), ensure_ascii=False))
+    return 0
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    engine = Engine.open(spark, a.home)
     if a.command == "ingest":
         files = readers.files(spark, a.what, a.session)
         if files.where("suffix = 'pdf'").limit(1).count():
             raise UnsupportedFileError("PDF files need a reader; see sources.readers.pdf_blocks")
-        following = str(int(version) + 1)
-        engine = engine.ingest(files, lambda f: structure.plain_blocks(readers.plain_texts(f))).save(f"{a.home}/{following}")
-        spark.createDataFrame([(int(following),)], "version bigint").coalesce(1).write.mode("append").json(f"{a.home}/versions")
+        engine = engine.ingest(files, lambda f: structure.plain_blocks(readers.plain_texts(f))).save(a.home)
     if a.command == "import":
-        made, issues = concepts.import_bundle(readers.bundle(spark, a.what), spark.createDataFrame([], schemas.CONCEPTS), f"{a.home}/concepts/files")
-        made.write.mode("overwrite").parquet(f"{a.home}/concepts/table")
+        engine, issues = engine.import_concepts(readers.bundle(spark, a.what))
+        engine.save(a.home)
     questions = spark.createDataFrame([(1, a.what, a.session)], "query_id int, question string, session_id string")
-    out = {"init": engine.status, "status": engine.status, "ingest": engine.status, "validate": lambda: concepts.validate_bundle(concepts.bundle_files(readers.bundle(spark, a.what))), "import": lambda: issues, "retrieve": lambda: engine.retrieve_passages(questions), "ask": lambda: engine.ask(questions)}[a.command]()
-    for row in out.toJSON().toLocalIterator():
-        print(json.dumps(json.loads(row), ensure_ascii=False))
-    return 0
+    return {"init": engine.status, "status": engine.status, "ingest": engine.status, "validate": lambda: concepts.validate_bundle(concepts.bundle_files(readers.bundle(spark, a.what))), "import": lambda: issues, "retrieve": lambda: engine.retrieve_passages(questions), "ask": lambda: engine.ask(questions)}[a.command]()
 
 
 if __name__ == "__main__":

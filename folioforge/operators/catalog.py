@@ -215,3 +215,16 @@ def enrich_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
     """citations with file_name; the document's id where there is no document."""
     names = documents.select("document_id", "filename")
     return citations.join(names, "document_id", "left").withColumn("file_name", F.coalesce("filename", "document_id")).drop("filename")
+
+
+# Answers
+
+
+def keep_answers(existing: DataFrame, given: DataFrame) -> DataFrame:
+    """existing answers with given ones (schema ANSWERS) in place of those of the same id; an answer and its citations are one row, so they are replaced together."""
+    return upsert(existing, given, ["answer_id"])
+
+
+def answer_citations(answers: DataFrame) -> DataFrame:
+    """(answer_id, position, source_id, node_id, document_id, page_start, page_end, excerpt): a row for each citation, in the answer's order."""
+    return answers.select("answer_id", F.posexplode("citations").alias("position", "c")).select("answer_id", "position", "c.*")

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import schemas
 from ..errors import ConfigurationError
 from ..functions import ids
 from ..functions import text as T
-from ..operators import answer, catalog, concepts, retrieval, structure
+from ..operators import answer, catalog, concepts, entities, retrieval, structure
 from .tables import at_rest
+from .versions import Versions, new_name
+
+#: Tables of a saved engine, as they are when empty.
+TABLES = {
+    "documents": schemas.DOCUMENTS, "nodes": schemas.NODES, "concepts": schemas.CONCEPTS, "answers": schemas.ANSWERS,
+    "chunks": "document_id string, page_number int, sequence int, text string, n_words bigint, chunk_id string",
+}
 
 
 @dataclass(frozen=True)
@@ -70,6 +78,9 @@ class Engine:
     chunks: DataFrame
     concepts: DataFrame | None = None
     settings: Settings = field(default_factory=Settings)
+    answers: DataFrame | None = None
+    #: Of the saved tables that these started from.
+    version: int = 0
 
     # Ingest
 
@@ -88,7 +99,7 @@ class Engine:
         done = chunks.select("document_id").distinct().withColumn("ok", F.lit(True))
         rows = new.join(done, "document_id", "left").withColumns({"status": F.when(F.col("ok"), "ready").otherwise("failed"), "created_at": F.current_timestamp()})
         documents = catalog.upsert(self.documents, rows.select(self.documents.columns), ["document_id"])
-        return Engine(documents, catalog.replace_children(self.nodes, nodes, "document_id"), catalog.replace_children(self.chunks, chunks, "document_id"), self.concepts, self.settings)
+        return replace(self, documents=documents, nodes=catalog.replace_children(self.nodes, nodes, "document_id"), chunks=catalog.replace_children(self.chunks, chunks, "document_id"))
 
     def ingest_logged(self, files: DataFrame, blocks: Callable[[DataFrame], DataFrame], log: DataFrame, force: bool = False) -> tuple[Engine, DataFrame]:
         """ingest, and log with a job for each new file: an event for each stage, the last one completed or failed."""
@@ -105,11 +116,17 @@ class Engine:
         return engine, at_rest(log, "log")
 
     def mine_concepts(self) -> Engine:
-        return Engine(self.documents, self.nodes, self.chunks, concepts.mine(self.chunks, self.settings.concepts), self.settings)
+        return replace(self, concepts=concepts.mine(self.chunks, self.settings.concepts))
+
+    def import_concepts(self, files: DataFrame, fail_on_error: bool = True) -> tuple[Engine, DataFrame]:
+        """The engine with a bundle's concepts (path, value) in place of those of the same ids, and the bundle's issues."""
+        held = self.nodes.sparkSession.createDataFrame([], schemas.CONCEPTS) if self.concepts is None else self.concepts
+        made, issues = concepts.import_bundle(files, held, fail_on_error=fail_on_error)
+        return replace(self, concepts=made), issues
 
     def delete(self, gone: DataFrame) -> Engine:
         left, _ = catalog.delete_documents({"documents": self.documents, "nodes": self.nodes, "chunks": self.chunks}, gone)
-        return Engine(left["documents"], left["nodes"], left["chunks"], self.concepts, self.settings)
+        return replace(self, documents=left["documents"], nodes=left["nodes"], chunks=left["chunks"])
 
     # Retrieve
 
@@ -169,13 +186,13 @@ class Engine:
 
     # Answer
 
-    def ask(self, queries: DataFrame, generate: Callable[[Column], Column] | None = None) -> DataFrame:
+    def ask(self, queries: DataFrame, generate: Callable[[Column], Column] | None = None, recognise: entities.Recogniser | None = None) -> DataFrame:
         """query_id, question, answer, answerable, strategy, node_id, file_name, excerpt of questions (query_id, question, session_id)."""
         s = self.settings
         evidence = at_rest(self.retrieve(queries).where((F.col("rank") <= s.final_k) & (F.trim("text") != "")), "evidence")
         passed = retrieval.gate(evidence, s.gate_least).where("passed").select("query_id")
         fit = evidence.join(passed, "query_id", "left_semi")
-        out = answer.extractive(queries, fit)
+        out = answer.extractive(queries, fit, recognise)
         if generate is not None:
             typed = queries.withColumn("query_type", T.classify(F.col("question")))
             best = retrieval.best_scores(fit)
@@ -184,16 +201,44 @@ class Engine:
         cited = out.join(self.nodes.select("node_id", "document_id", F.col("text").alias("node_text")), "node_id", "left")
         return catalog.enrich_citations(cited, self.documents).select("query_id", "question", "answer", "answerable", "strategy", "node_id", "file_name", T.excerpt(F.col("node_text")).alias("excerpt"))
 
+    def ask_and_keep(self, queries: DataFrame, **how) -> tuple[Engine, DataFrame]:
+        """ask, and the engine with the answers and their citations among its tables; a question that a session asks again replaces its answer."""
+        given = at_rest(self.ask(queries, **how), "answers")
+        place = given.join(self.nodes.select("node_id", "document_id", "page_start", "page_end"), "node_id", "left").join(queries.select("query_id", "session_id"), "query_id")
+        cited = F.struct(F.lit("S1").alias("source_id"), *(F.col(c) for c in ("node_id", "document_id", "page_start", "page_end", "excerpt")))
+        none = F.array().cast("array<struct<source_id:string,node_id:string,document_id:string,page_start:int,page_end:int,excerpt:string>>")
+        rows = place.select(
+            ids.stable_id("answer", F.coalesce("session_id", F.lit("")), F.col("question")).alias("answer_id"), "session_id", "question", "answer", "answerable", "strategy",
+            F.when(F.col("node_id").isNotNull(), F.array(cited)).otherwise(none).alias("citations"),
+        ).dropDuplicates(["answer_id"])
+        held = self.nodes.sparkSession.createDataFrame([], schemas.ANSWERS) if self.answers is None else self.answers
+        return replace(self, answers=at_rest(catalog.keep_answers(held, rows), "answers")), given
+
     # Tables at rest
 
+    @staticmethod
+    def open(spark: SparkSession, path: str, settings: Settings = Settings()) -> Engine:
+        """The last version that was saved below path; empty tables where there is none."""
+        version, state = Versions(spark, path).latest()
+        held = {} if state is None else state["tables"]
+        read = {n: spark.read.schema(held[n]["schema"]).parquet(f"{path}/{n}/{held[n]['folder']}") if n in held else spark.createDataFrame([], schema) for n, schema in TABLES.items()}
+        return Engine(read["documents"], read["nodes"], read["chunks"], read["concepts"] if "concepts" in held else None, settings, read["answers"], version)
+
+    def tables(self) -> dict[str, DataFrame]:
+        held = {"documents": self.documents, "nodes": self.nodes, "chunks": self.chunks, "concepts": self.concepts, "answers": self.answers}
+        return {n: df for n, df in held.items() if df is not None}
+
     def save(self, path: str) -> Engine:
-        """The engine on Parquet copies of its tables: plans after it start from files, not from how the tables came to be."""
-        spark = self.nodes.sparkSession
-        tables = {"documents": self.documents, "nodes": self.nodes, "chunks": self.chunks} | ({} if self.concepts is None else {"concepts": self.concepts})
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        read = {n: spark.read.schema(df.schema).parquet(f"{path}/{n}") for n, df in tables.items()}
-        return Engine(read["documents"], read["nodes"], read["chunks"], read.get("concepts"), self.settings)
+        """The engine on Parquet copies of its tables, all of one new version: plans after it start from files, not from how the tables came to be. Where
+        writing fails, the version before stays the last one; where another engine saved since this one was opened, ConflictError."""
+        spark, versions = self.nodes.sparkSession, Versions(self.nodes.sparkSession, path)
+        folder, told = new_name("v"), {}
+        for name, df in self.tables().items():
+            df.write.parquet(f"{path}/{name}/{folder}")
+            told[name] = {"folder": folder, "schema": df._jdf.schema().toDDL()}
+        versions.commit({"tables": told}, self.version)
+        versions.forget(tuple(TABLES), lambda s: [f"{n}/{t['folder']}" for n, t in s["tables"].items()])
+        return Engine.open(spark, path, self.settings)
 
     def status(self) -> DataFrame:
         return catalog.status_counts(self.documents)

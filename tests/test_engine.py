@@ -144,13 +144,15 @@ def test_index_store(spark, tmp_path):
         gone.check(nodes)
     back = SearchIndex.open(spark, root).add(nodes.where("document_id = 'd1'"))
     back.check(nodes)
-    # A call that fails before its manifest leaves the index as it was, and its leavings are passed over.
-    back._write(back.number + 1, nodes.limit(1))
+    # A call that fails before its version is written leaves the index as it was, and its leavings are passed over.
+    back._of_nodes(back.number + 1, nodes.limit(1))
     again = SearchIndex.open(spark, root)
     assert again.segments == back.segments
-    rebuilt = SearchIndex(spark, root, back.number + 1, back.segments, back.tombstones).rebuild(left)
+    rebuilt = again.rebuild(left)
     rebuilt.check(left)
-    assert rebuilt.segments == (back.number + 2,)
+    assert [s.number for s in rebuilt.segments] == [back.number + 1]
+    with pytest.raises(ConflictError):
+        again.remove(left.select("document_id"))
 
 
 def test_index_stream(spark, tmp_path):

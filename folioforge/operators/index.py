@@ -2,6 +2,8 @@
 
 Nodes have node_id, title and text; questions have query_id and question. All searches
 return (query_id, node_id, score) with at most k rows for each question; ties go to the smaller node_id.
+Where both nodes and questions have a session_id, a question meets nodes of its session only: the session is part of each
+index and of each join with it, so the k best are those of the session, whatever other sessions hold. Corpus statistics are of all nodes.
 """
 
 from __future__ import annotations
@@ -18,18 +20,35 @@ def top_k(scored: DataFrame, k: int, places: int = 9) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: What nodes may have besides, and indexes keep.
+OWN = ("document_id", "session_id")
+
+
+def own(df: DataFrame) -> list[str]:
+    return [c for c in OWN if c in df.columns]
+
+
+def shared_session(left: DataFrame, right: DataFrame) -> list[str]:
+    """session_id where both have it."""
+    return [c for c in ("session_id",) if c in left.columns and c in right.columns]
+
+
 def tokenised(nodes: DataFrame) -> DataFrame:
     """(node_id, cols, dl): tokens of text and title, and their number; nodes without tokens included."""
     cols = F.array(T.fold_tokens(F.coalesce("text", F.lit(""))), T.fold_tokens(F.coalesce("title", F.lit(""))))
-    kept = [c for c in ("document_id",) if c in nodes.columns]
+    kept = own(nodes)
     return nodes.select("node_id", *kept, cols.alias("cols")).withColumn("dl", F.size(F.col("cols")[0]) + F.size(F.col("cols")[1]))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
     """(node_id, dl, col, pos, term): every token of text (col 0) and title (col 1)."""
-    told = tokenised(nodes)
-    own = [c for c in told.columns if c != "cols"]
-    return told.select(*own, F.posexplode("cols").alias("col", "terms")).select(*own, "col", F.posexplode("terms").alias("pos", "term"))
+    return postings_of(tokenised(nodes))
+
+
+def postings_of(told: DataFrame) -> DataFrame:
+    """postings of nodes that are tokenised already."""
+    kept = [c for c in told.columns if c != "cols"]
+    return told.select(*kept, F.posexplode("cols").alias("col", "terms")).select(*kept, "col", F.posexplode("terms").alias("pos", "term"))
 
 
 def totals(lengths: DataFrame) -> DataFrame:
@@ -47,25 +66,49 @@ def term_stats(posted: DataFrame) -> DataFrame:
 BROADCAST_TERMS = 500_000
 
 
+def is_few(terms: DataFrame, most: int = BROADCAST_TERMS) -> bool:
+    return terms.limit(most + 1).count() <= most
+
+
 def few(terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """terms, marked for broadcast if they have been counted to be so few; else the same join is shuffled."""
-    return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
+    return F.broadcast(terms) if is_few(terms, most) else terms
 
 
 def _phrases(queries: DataFrame) -> DataFrame:
     """(query_id, phrase, m, times): folded search terms, each a phrase of m tokens, with how often it stands in the question."""
-    term = queries.select("query_id", F.explode(T.query_terms(F.col("question"))).alias("w")).select("query_id", T.fold_tokens(F.col("w")).alias("t")).where("size(t) > 0")
-    return term.groupBy("query_id", "t").agg(F.count("*").alias("times")).select("query_id", F.array_join("t", " ").alias("phrase"), F.size("t").alias("m"), "t", "times")
+    kept = ["query_id", *(c for c in ("session_id",) if c in queries.columns)]
+    term = queries.select(*kept, F.explode(T.query_terms(F.col("question"))).alias("w")).select(*kept, T.fold_tokens(F.col("w")).alias("t")).where("size(t) > 0")
+    return term.groupBy(*kept, "t").agg(F.count("*").alias("times")).select(*kept, F.array_join("t", " ").alias("phrase"), F.size("t").alias("m"), "t", "times")
 
 
 def phrase_frequencies(posted: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, node_id, dl, f): occurrences of phrases (distinct phrase, m, t) in one column of a node. Only terms of phrases are shuffled."""
+    kept = ["node_id", "dl", *(c for c in ("session_id",) if c in posted.columns)]
     needed = few(phrases.select("phrase", "m", F.posexplode("t").alias("j", "term")))
     placed = posted.join(needed, "term")
-    one = placed.where("m = 1").groupBy("phrase", "node_id", "dl").agg(F.count("*").alias("f"))
-    starts = placed.where("m > 1").select("phrase", "m", "node_id", "dl", "col", "j", (F.col("pos") - F.col("j")).alias("start")).distinct()
-    whole = starts.groupBy("phrase", "m", "node_id", "dl", "col", "start").agg(F.count("*").alias("n")).where("n = m")
-    return one.unionByName(whole.groupBy("phrase", "node_id", "dl").agg(F.count("*").alias("f")))
+    one = placed.where("m = 1").groupBy("phrase", *kept).agg(F.count("*").alias("f"))
+    starts = placed.where("m > 1").select("phrase", "m", *kept, "col", "j", (F.col("pos") - F.col("j")).alias("start")).distinct()
+    whole = starts.groupBy("phrase", "m", *kept, "col", "start").agg(F.count("*").alias("n")).where("n = m")
+    return one.unionByName(whole.groupBy("phrase", *kept).agg(F.count("*").alias("f")))
+
+
+def _runs(tokens: Column, m: int) -> Column:
+    """Runs of m tokens, joined by spaces."""
+    if m == 1:
+        return tokens
+    first = F.when(F.size(tokens) >= m, F.sequence(F.lit(1), F.size(tokens) - m + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(first, lambda i: F.array_join(F.slice(tokens, i, m), " "))
+
+
+def _phrases_of_nodes(nodes: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase_frequencies straight from nodes, in one pass; besides, each node has a row of the empty phrase, so that the corpus totals
+    come from the same rows."""
+    kept = ["node_id", "dl", *(c for c in ("session_id",) if c in nodes.columns)]
+    sizes = [r.m for r in phrases.select("m").distinct().collect()]  # lengths of terms, of questions alone
+    runs = F.flatten(F.array(F.array(F.lit("")), *(_runs(F.col("cols")[c], m) for m in sizes for c in (0, 1))))
+    wanted = few(phrases.select("phrase").unionByName(nodes.sparkSession.createDataFrame([("",)], "phrase string")))
+    return tokenised(nodes).select(*kept, F.explode(runs).alias("phrase")).join(wanted, "phrase").groupBy("phrase", *kept).agg(F.count("*").alias("f"))
 
 
 def idf(n: Column, df: Column, kind: str = "fts") -> Column:
@@ -77,19 +120,33 @@ def idf(n: Column, df: Column, kind: str = "fts") -> Column:
 
 
 def bm25(nodes: DataFrame, queries: DataFrame, k: int, kind: str = "fts", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over text and title; a question's terms are alternatives, repeated ones score again."""
-    return bm25_hits(postings(nodes), totals(tokenised(nodes)), queries, k, kind, k1, b)
+    """BM25 over text and title; a question's terms are alternatives, repeated ones score again. Nodes are tokenised once: frequencies, numbers of nodes
+    and totals are aggregates over the same shuffled rows."""
+    asked = _phrases(queries)
+    f = _phrases_of_nodes(nodes, asked.select("phrase", "m", "t").distinct())
+    # All three aggregates look at f, and none filters, so that they are planned over one and the same shuffle.
+    node = (F.col("phrase") == "") & (F.col("f") > 0)
+    whole = f.agg(F.count_if(node).alias("n"), F.avg(F.when(node, F.col("dl"))).alias("avgdl"))
+    return _weigh(f, whole, asked, k, kind, k1, b)
 
 
 def bm25_hits(posted: DataFrame, whole: DataFrame, queries: DataFrame, k: int, kind: str = "fts", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """bm25 over postings and totals that are there already."""
     asked = _phrases(queries)
-    f = phrase_frequencies(posted, asked.select("phrase", "m", "t").distinct())
-    # A phrase's number of nodes; the corpus totals are one row, whose join is a broadcast of that row.
-    df = f.groupBy("phrase").agg(F.count("*").alias("df")).join(F.broadcast(whole), F.lit(True))
-    weighted = f.join(few(df), "phrase")
+    return _weigh(phrase_frequencies(posted, asked.select("phrase", "m", "t").distinct()), whole, asked, k, kind, k1, b)
+
+
+def _weigh(f: DataFrame, whole: DataFrame, asked: DataFrame, k: int, kind: str, k1: float, b: float) -> DataFrame:
+    """The k best of frequencies, totals (one row, whose join is a broadcast of that row) and phrases asked for."""
+    asked = asked.select("query_id", "phrase", "times", *shared_session(asked, f))
+    small = is_few(asked)
+    df = f.groupBy("phrase").agg(F.count_if(F.col("f") > 0).alias("df")).join(F.broadcast(whole), F.lit(True))
+    # There are no more df than phrases were asked for.
+    asked, df = (F.broadcast(asked), F.broadcast(df)) if small else (asked, df)
     part = idf(F.col("n"), F.col("df"), kind) * (F.col("f") * (k1 + 1)) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = few(asked.select("query_id", "phrase", "times")).join(weighted.select("phrase", "node_id", part.alias("part")), "phrase")
+    session = shared_session(f, asked)
+    weighted = f.join(df, "phrase").select("phrase", "node_id", *session, part.alias("part"))
+    scored = asked.join(weighted, ["phrase", *session])
     return top_k(scored.groupBy("query_id", "node_id").agg(F.sum(F.col("times") * F.col("part")).alias("score")), k)
 
 
@@ -115,28 +172,62 @@ def heading_norm(t: Column) -> Column:
 
 def headings(nodes: DataFrame) -> DataFrame:
     """(node_id, norm, toks) of nodes with a title."""
-    return nodes.where("title is not null").select("node_id", heading_norm(F.col("title")).alias("norm")).where("norm <> ''").withColumn("toks", T.token_set(F.col("norm")))
+    return nodes.where("title is not null").select("node_id", *own(nodes), heading_norm(F.col("title")).alias("norm")).where("norm <> ''").withColumn("toks", T.token_set(F.col("norm")))
+
+
+#: The most frequent words of headings, at most so many, stand last in the order by which sets of words are compared.
+COMMON_WORDS = 256
+
+
+def common_words(heads: DataFrame) -> list[str]:
+    """The most frequent words of headings, the less frequent ones first."""
+    return [r.t for r in heads.select(F.explode("toks").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(COMMON_WORDS).collect()][::-1]
+
+
+def _in_order(toks: Column, common: list[str]) -> Column:
+    """(place, t) of a set's words: first those that aren't common, then these by frequency."""
+    places = F.create_map(*(F.lit(x) for pair in ((w, n + 1) for n, w in enumerate(common)) for x in pair)) if common else None
+    place = (lambda t: F.coalesce(places[t], F.lit(0))) if common else (lambda t: F.lit(0))
+    return F.array_sort(F.transform(toks, lambda t: F.struct(place(t).alias("place"), t.alias("t"))))
+
 
+def heading_candidates(heads: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """(query_id, node_id, norm, toks) of the pairs, each once, that may have a Jaccard of `least` or more, or of which one begins with the other.
 
-def _heading_keys(text: Column, toks: Column, mine: str, theirs: str) -> Column:
-    """Keys of which a heading and a question share one if they share a token or one is the other's prefix. Prefixes of one and
-    two characters are keys of their own, met only by texts as short, so long texts don't meet by a first letter."""
-    shared = F.transform(toks, lambda t: F.concat(F.lit("t:"), t))
-    first = F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.concat(F.lit(mine), text.substr(F.lit(1), n)))
-    short = F.when(F.length(text) <= 2, F.array(F.concat(F.lit(theirs), text))).otherwise(F.array(F.concat(F.lit("p:"), F.substring(text, 1, 3))))
-    return F.explode(F.array_distinct(F.concat(shared, first, short)))
+    Sets that share o words share one behind which, in one order of all words, either has at least o of its own, itself included; o follows from both sizes. A
+    rare word is a join key by itself. A common one is a key with the heading's size, for those sizes only that the question's words behind it leave
+    possible; so a word of all titles pairs those short titles that it alone makes similar enough, and no others.
+    """
+    session = shared_session(heads, asked)
+    common = common_words(heads)
+    words = lambda df, toks, n: df.select("*", F.posexplode(_in_order(F.col(toks), common)).alias("i", "w")).withColumns({"left": F.size(toks) - F.col("i"), n: F.size(toks), "t": F.col("w.t"), "frequent": F.col("w.place") > 0})
+    mine = words(heads, "toks", "a").withColumn("size", F.when(F.col("frequent"), F.col("a")).otherwise(0))
+    theirs = words(asked.select("query_id", *session, "q_toks"), "q_toks", "b").drop("q_toks")
+    low = F.ceil(F.lit(least) * F.col("b") - 1e-9).cast("int")
+    high = F.least(F.floor(F.col("b") / F.lit(least) + 1e-9), F.floor(F.col("left") * (1 + least) / least - F.col("b") + 1e-9)).cast("int")
+    sizes = F.when(~F.col("frequent"), F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    theirs = theirs.select("query_id", *session, "t", "b", F.col("left").alias("q_left"), F.explode(sizes).alias("size"))
+    overlap = F.ceil(least * (F.col("a") + F.col("b")) / (1 + least) - 1e-9)
+    similar = mine.join(theirs, ["t", "size", *session]).where((F.col("left") >= overlap) & (F.col("q_left") >= overlap))
+    # Headings that a question begins with, and headings that begin with a question, by the hash of the shorter one.
+    lengths = [r.n for r in asked.select(F.length("q").alias("n")).distinct().collect()]
+    begins = lambda c, ns: F.transform(F.filter(ns, lambda n: n <= F.length(c)), lambda n: F.xxhash64(F.substring(c, F.lit(1), n)))
+    whole = heads.withColumn("key", F.xxhash64("norm")).join(asked.select("query_id", *session, F.explode(begins(F.col("q"), F.sequence(F.lit(1), F.length("q")))).alias("key")), ["key", *session])
+    longer = heads.withColumn("key", F.explode(begins(F.col("norm"), F.array(*map(F.lit, lengths)).cast("array<int>")))).join(asked.select("query_id", *session, F.xxhash64("q").alias("key")), ["key", *session])
+    found = [df.select("query_id", "node_id", "norm", "toks") for df in (similar, whole, longer)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).dropDuplicates(["query_id", "node_id"])
 
 
 def heading_search(nodes: DataFrame, queries: DataFrame, k: int, least: float = 0.15) -> DataFrame:
-    """Exact heading 1, prefix either way 0.8, else Jaccard of tokens from `least` on. Candidates come from an equi-join."""
+    """Exact heading 1, prefix either way 0.8, else Jaccard of tokens from `least` on. Candidates come from equi-joins."""
     return heading_hits(headings(nodes), queries, k, least)
 
 
 def heading_hits(heads: DataFrame, queries: DataFrame, k: int, least: float = 0.15) -> DataFrame:
     """heading_search over headings that are there already."""
-    asked = queries.select("query_id", heading_norm(F.col("question")).alias("q")).where("q <> ''").withColumn("q_toks", T.token_set(F.col("q")))
-    left = heads.withColumn("key", _heading_keys(F.col("norm"), F.col("toks"), "h:", "q:"))
-    pairs = left.join(asked.withColumn("key", _heading_keys(F.col("q"), F.col("q_toks"), "q:", "h:")), "key").dropDuplicates(["query_id", "node_id"])
+    session = shared_session(heads, queries)
+    asked = queries.select("query_id", *session, heading_norm(F.col("question")).alias("q")).where("q <> ''").withColumn("q_toks", T.token_set(F.col("q")))
+    pairs = heading_candidates(heads, asked, least).join(few(asked.select("query_id", "q", "q_toks")), "query_id")
     near = T.jaccard(F.col("toks"), F.col("q_toks"))
     score = F.when(F.col("norm") == F.col("q"), 1.0).when(F.col("norm").startswith(F.col("q")) | F.col("q").startswith(F.col("norm")), 0.8).otherwise(near)
     return top_k(pairs.select("query_id", "node_id", score.alias("score")).where(F.col("score") >= least), k)
@@ -145,9 +236,9 @@ def heading_hits(heads: DataFrame, queries: DataFrame, k: int, least: float = 0.
 def phrase_rows(nodes: DataFrame) -> DataFrame:
     """(phrase, node_id): runs of two to four words of the title and first sentence."""
     head = F.concat_ws(" ", "title", F.trim(T.first_sentence(F.coalesce("text", F.lit("")))))
-    w = nodes.select("node_id", F.regexp_extract_all(F.lower(head), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
+    w = nodes.select("node_id", *own(nodes), F.regexp_extract_all(F.lower(head), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
     runs = F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    return w.select(F.explode(F.array_distinct(runs)).alias("phrase"), "node_id")
+    return w.select(F.explode(F.array_distinct(runs)).alias("phrase"), "node_id", *own(w))
 
 
 def phrase_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -157,9 +248,10 @@ def phrase_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def phrase_hits(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """phrase_search over phrases (phrase, node_id) that are there already."""
-    w = queries.select("query_id", F.regexp_extract_all(F.lower(T.phrase_query(F.col("question"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
+    session = shared_session(rows, queries)
+    w = queries.select("query_id", *session, F.regexp_extract_all(F.lower(T.phrase_query(F.col("question"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w"))
     whole = F.struct(F.array_join("w", " ").alias("phrase"), F.lit(1.0).alias("score"))
     parts = [F.struct(F.array_join(F.slice("w", at, F.size("w") - 1), " ").alias("phrase"), F.lit(0.5).alias("score")) for at in (1, 2)]
-    keys = w.where("size(w) > 1").select("query_id", F.explode(F.when(F.size("w") >= 3, F.array(whole, *parts)).otherwise(F.array(whole))).alias("p")).select("query_id", "p.*")
-    found = rows.join(keys, "phrase").groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+    keys = w.where("size(w) > 1").select("query_id", *session, F.explode(F.when(F.size("w") >= 3, F.array(whole, *parts)).otherwise(F.array(whole))).alias("p")).select("query_id", *session, "p.*")
+    found = rows.join(keys, ["phrase", *session]).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
     return top_k(found, k)

@@ -12,6 +12,7 @@ from ..errors import InsufficientEvidenceError
 from ..functions import text as T
 from ..functions.fuzzy import token_set_ratio_column
 from . import index
+from .entities import Recogniser
 
 RRF = 60
 
@@ -25,28 +26,27 @@ def fuse(*ranked: DataFrame, k: int) -> DataFrame:
 def lexical(nodes: DataFrame, queries: DataFrame, k: int = 40, signals: tuple[str, ...] = ("fts", "heading", "phrase"), scope: str = "pre") -> DataFrame:
     """Fused hits with the breakdown of signals: query_id, node_id, score, rank, fts, heading, phrase, keyword_coverage, structural.
 
-    nodes and queries may have session_id; then a question sees its session's nodes only. scope 'pre'
-    removes other sessions' hits from each signal, 'post' only from the fused list.
+    nodes and queries may have session_id; then a question sees its session's nodes only. scope 'pre': each signal's k best are
+    those of the session, so nothing that other sessions hold crowds a hit out; 'post': other sessions' hits leave the fused list only.
     """
+    session = index.shared_session(nodes, queries)
+    after = bool(session) and scope == "post"
+    searched = nodes.drop("session_id") if after else nodes
     lists = {}
     if "fts" in signals:
-        lists["fts"] = index.bm25(nodes, queries, 2 * k)
+        lists["fts"] = index.bm25(searched, queries, 2 * k)
     if "heading" in signals:
-        found = index.heading_search(nodes, queries, k)
+        found = index.heading_search(searched, queries, k)
         lists["heading"] = found.withColumn("score", 1 - 0.05 * (F.col("rank") - 1))
     if "phrase" in signals:
-        lists["phrase"] = index.phrase_search(nodes, queries, k)
-    scoped = "session_id" in nodes.columns and "session_id" in queries.columns
-    own = nodes.select("node_id", "session_id").join(queries.select("query_id", "session_id"), "session_id").select("query_id", "node_id") if scoped else None
-    if scoped and scope == "pre":
-        lists = {n: index.top_k(d.drop("rank").join(own, ["query_id", "node_id"], "left_semi"), k) for n, d in lists.items()}
+        lists["phrase"] = index.phrase_search(searched, queries, k)
     fused = fuse(*lists.values(), k=k)
-    if scoped and scope == "post":
-        fused = fused.join(own, ["query_id", "node_id"], "left_semi")
     for name, hits in lists.items():
         fused = fused.join(hits.select("query_id", "node_id", F.col("score").alias(name)), ["query_id", "node_id"], "left").fillna(0.0, [name])
-    text = nodes.select("node_id", "title", "text", *(c for c in ("node_type", "heading_path") if c in nodes.columns))
-    whole = fused.join(text, "node_id").join(queries.select("query_id", "question"), "query_id")
+    text = nodes.select("node_id", "title", "text", *(c for c in ("node_type", "heading_path") if c in nodes.columns), *([F.col("session_id").alias("_held_in")] if after else []))
+    whole = fused.join(text, "node_id").join(queries.select("query_id", "question", *([F.col("session_id").alias("_asked_in")] if after else [])), "query_id")
+    if after:
+        whole = whole.where("_held_in = _asked_in").drop("_held_in", "_asked_in")
     return whole.withColumns({"keyword_coverage": token_set_ratio_column(F.col("question"), F.col("text")), "structural": structural(whole)}).drop("title", "text", "question", "node_type", "heading_path")
 
 
@@ -74,16 +74,24 @@ def density_score(text: Column) -> Column:
     return F.when(n < 10, 0.0).when(n < 30, 0.5).otherwise(1.0)
 
 
-def person_score(question: Column, text: Column) -> Column:
-    """1 where the question asks for a name and a short text holds two capitalised words in a row (an approximation by pattern)."""
+def person_score(question: Column, text: Column, has_person: Column | None = None) -> Column:
+    """1 where the question asks for a name and a short text holds a person's: as has_person tells, else two capitalised words in a row (an
+    approximation by pattern)."""
     wants = F.lower(question).rlike(T.bounded("name"))
-    return F.when(wants & (F.length(text) <= 500) & text.rlike(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"), 1.0).otherwise(0.0)
+    held = text.rlike(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b") if has_person is None else F.coalesce(has_person, F.lit(False))
+    return F.when(wants & (F.length(text) <= 500) & held, 1.0).otherwise(0.0)
+
+
+def with_persons(candidates: DataFrame, recognise: Recogniser) -> DataFrame:
+    """candidates with has_person, for the rankings: whether a recogniser finds a full name in the text."""
+    held = recognise(candidates.select("node_id", "text").distinct()).where(F.col("kind") == "person").where(F.size(F.split(F.trim("name"), r"\s+")) > 1)
+    return candidates.join(held.select("node_id").distinct().withColumn("has_person", F.lit(True)), "node_id", "left")
 
 
 def signals(df: DataFrame) -> DataFrame:
-    """Adds overlap, heading, page, density and entity to rows with question, title, text and page_start."""
+    """Adds overlap, heading, page, density and entity to rows with question, title, text and page_start, and has_person where it is known."""
     q, t = F.col("question"), F.coalesce(F.col("text"), F.lit(""))
-    return df.withColumns({"overlap": T.jaccard(T.token_set(q), T.token_set(t)), "heading": heading_match(q, F.col("title")), "page": page_score(F.col("page_start")), "density": density_score(t), "entity": person_score(q, t)})
+    return df.withColumns({"overlap": T.jaccard(T.token_set(q), T.token_set(t)), "heading": heading_match(q, F.col("title")), "page": page_score(F.col("page_start")), "density": density_score(t), "entity": person_score(q, t, F.col("has_person") if "has_person" in df.columns else None)})
 
 
 def rank_nodes(candidates: DataFrame, k: int | None = None) -> DataFrame:

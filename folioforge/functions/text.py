@@ -220,13 +220,10 @@ def degree(t: Column) -> Column:
     return full.otherwise(raw)
 
 
-def phone(t: Column) -> Column:
-    """The first run that looks like a phone number of ten digits or more (an approximation by pattern)."""
-    return _found(t, r"(?:^|[^\d+])(\+?\d[\d\s().-]{8,}\d)(?:$|\D)")
-
-
 def institution(t: Column) -> Column:
-    return _found(t, r"((?:[A-Z][\p{L}]+\s+)+(?:University|College|Institute|School|Academy)(?:\s+of(?:\s+[A-Z][\p{L}]+)+)?)")
+    """The first run of capitalised words with a word for an institution, and what it is of or for (an approximation by pattern)."""
+    word = r"[A-Z][\p{L}'’.\-]*"
+    return _found(t, rf"((?:{word}\s+)+(?:University|College|Institute|School|Academy)\b(?:\s+(?:of|for)\s+{word}(?:\s*(?:&|,|\band\b)?\s*{word})*)?)")
 
 
 def person_name(t: Column) -> Column:

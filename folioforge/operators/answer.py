@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import phones
 from ..functions import text as T
 from ..functions.fuzzy import token_set_ratio_column
+from . import entities
 
 SENTENCE_LEAST, SENTENCE_WORDS = 0.4, 5
 
@@ -36,14 +38,24 @@ FACTS: list[tuple[str, str, Callable[[Column], Column]]] = [
     ("name", r"name", T.person_name),
     ("degree", r"degree|course|qualification", T.degree),
     ("email", r"e-?mail", T.email),
-    ("phone", r"phone|contact|mobile|number", T.phone),
+    ("phone", r"phone|contact|mobile|number", phones.phone),
 ]
 
 
-def facts(evidence: DataFrame) -> DataFrame:
-    """(query_id, node_id, kind, answer): the first node's fact of the first kind that the question asks for and any text has."""
+#: Kinds of facts that a recogniser finds, by its names for them.
+RECOGNISED = {"institution": "institution", "name": "person"}
+
+
+def facts(evidence: DataFrame, recognise: entities.Recogniser | None = None) -> DataFrame:
+    """(query_id, node_id, kind, answer): the first node's fact of the first kind that the question asks for and any text has. Names come from the recogniser
+    where there is one, else from patterns."""
     q, t = F.lower("question"), F.coalesce(F.col("text"), F.lit(""))
-    found = F.array(*(F.struct(F.lit(k).alias("order"), F.lit(kind).alias("kind"), F.when(q.rlike(T.bounded(words)), find(t)).alias("answer")) for k, (kind, words, find) in enumerate(FACTS)))
+    find_by = {kind: find(t) for kind, _, find in FACTS}
+    if recognise is not None:
+        named = entities.first_names(recognise(evidence.select("node_id", "text").distinct()))
+        evidence = evidence.join(named, "node_id", "left")
+        find_by |= {kind: F.col("names")[name] for kind, name in RECOGNISED.items()}
+    found = F.array(*(F.struct(F.lit(k).alias("order"), F.lit(kind).alias("kind"), F.when(q.rlike(T.bounded(words)), find_by[kind]).alias("answer")) for k, (kind, words, _) in enumerate(FACTS)))
     rows = evidence.where(T.is_fast_fact(F.col("question")) | q.rlike(T.bounded("|".join(w for _, w, _ in FACTS)))).select("query_id", "rank", "node_id", F.explode(found).alias("f"))
     w = Window.partitionBy("query_id").orderBy("f.order", "rank")
     return rows.where("f.answer is not null").withColumn("no", F.row_number().over(w)).where("no = 1").select("query_id", "node_id", "f.kind", "f.answer")
@@ -127,9 +139,9 @@ def prompt(question: Column, block: Column) -> Column:
     return F.concat(F.lit("Answer from the sources only, and mark each claim with its source like [S1].\n\nSources:\n"), block, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
 
 
-def extractive(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+def extractive(questions: DataFrame, evidence: DataFrame, recognise: entities.Recogniser | None = None) -> DataFrame:
     """(query_id, question, answer, answerable, strategy, node_id): fact, else definition, else best sentence, else no evidence."""
-    parts = [facts(evidence).select("query_id", "node_id", "answer", F.lit(0).alias("way")), definitions(evidence).withColumn("way", F.lit(1)), best_sentences(evidence).select("query_id", "node_id", "answer", F.lit(2).alias("way"))]
+    parts = [facts(evidence, recognise).select("query_id", "node_id", "answer", F.lit(0).alias("way")), definitions(evidence).withColumn("way", F.lit(1)), best_sentences(evidence).select("query_id", "node_id", "answer", F.lit(2).alias("way"))]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     first = every.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy("way"))).where("no = 1")
     out = questions.select("query_id", "question").join(first, "query_id", "left")

@@ -17,18 +17,28 @@ from . import catalog
 from .index import few
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    stop = F.array(*map(F.lit, C.CONCEPT_STOPWORDS))
-    runs = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
-    fine = lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)
-    ok = lambda r: fine(F.element_at(r, 1)) & fine(F.element_at(r, -1)) & (F.lit(True) if n < 2 else ~F.exists(r, lambda w: w.rlike("^[0-9]+$")))
-    return F.transform(F.filter(runs, ok), lambda r: F.array_join(r, " "))
+def _ngrams(marked: Column, n: int) -> Column:
+    """Runs of n of a sentence's words (w, edge, number) whose first and last word may stand at an edge, longer ones without numbers."""
+    last = F.size(marked) - n
+    fine = lambda i: F.get(marked, i)["edge"] if n == 1 else F.get(marked, i)["edge"] & F.get(marked, i + n - 1)["edge"] & ~_any_number(marked, i, n)
+    starts = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), fine)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(marked, i + j)["w"] for j in range(n))))
+
+
+def _any_number(marked: Column, i: Column, n: int) -> Column:
+    out = F.get(marked, i)["number"]
+    for j in range(1, n):
+        out = out | F.get(marked, i + j)["number"]
+    return out
 
 
 def sentence_tokens(chunks: DataFrame) -> DataFrame:
-    """(document_id, chunk_id, sentence, grams): each sentence's candidates of one to three words, with repeats."""
-    s = chunks.select("document_id", "chunk_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sentence", "s")).withColumn("t", T.tokens(F.col("s")))
-    return s.select("document_id", "chunk_id", "sentence", F.concat(*(_ngrams(F.col("t"), n) for n in (3, 2, 1))).alias("grams"))
+    """(document_id, chunk_id, sentence, grams): each sentence's candidates of one to three words, with repeats. Each word is looked at once: whether it
+    may begin or end a phrase, and whether it is a number."""
+    s = chunks.select("document_id", "chunk_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sentence", "s"))
+    mark = lambda w: F.struct(w.alias("w"), ((F.length(w) >= 3) & ~w.isin(*C.CONCEPT_STOPWORDS)).alias("edge"), w.rlike("^[0-9]+$").alias("number"))
+    marked = s.select("document_id", "chunk_id", "sentence", F.transform(T.tokens(F.col("s")), mark).alias("t"))
+    return marked.select("document_id", "chunk_id", "sentence", F.concat(*(_ngrams(F.col("t"), n) for n in (3, 2, 1))).alias("grams"))
 
 
 def phrases(chunks: DataFrame) -> DataFrame:
@@ -38,16 +48,18 @@ def phrases(chunks: DataFrame) -> DataFrame:
     return sentence_tokens(chunks).select("document_id", "chunk_id", "sentence", rows).select("document_id", "chunk_id", "sentence", "p.phrase")
 
 
-def scores(chunks: DataFrame) -> DataFrame:
-    """(document_id, phrase, hits, n_sentences, score): distinct sentences, times 1 + 0.35 for each further token.
+def scores(chunks: DataFrame, hits: bool = True) -> DataFrame:
+    """(document_id, phrase, hits, n_sentences, score): distinct sentences, times 1 + 0.35 for each further token. Without hits there is no such
+    column, and half the rows.
 
     A sentence's distinct phrases are told before the shuffle, so both numbers are sums that partial aggregation shrinks."""
     one = lambda hit, first: lambda p: F.struct(p.alias("phrase"), F.lit(hit).alias("hits"), F.lit(first).alias("n_sentences"))
-    both = F.concat(F.transform("grams", one(1, 0)), F.transform(F.array_distinct("grams"), one(0, 1)))
+    firsts = F.transform(F.array_distinct("grams"), one(0, 1))
+    both = F.concat(F.transform("grams", one(1, 0)), firsts) if hits else firsts
     rows = sentence_tokens(chunks).select("document_id", F.explode(both).alias("p")).select("document_id", "p.*")
     more = F.size(F.array_distinct(F.split("phrase", " "))) - 1
-    summed = rows.groupBy("document_id", "phrase").agg(F.sum("hits").alias("hits"), F.sum("n_sentences").alias("n_sentences"))
-    return summed.withColumn("score", F.round(F.col("n_sentences") * (1 + 0.35 * more), 6))
+    sums = [F.sum(c).alias(c) for c in (("hits", "n_sentences") if hits else ("n_sentences",))]
+    return rows.groupBy("document_id", "phrase").agg(*sums).withColumn("score", F.round(F.col("n_sentences") * (1 + 0.35 * more), 6))
 
 
 def _prune(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -224,7 +236,8 @@ def validate_bundle(parsed: DataFrame) -> DataFrame:
     links = parsed.select("path", F.explode("links").alias("link")).withColumns({"target": F.concat(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), "link"), "base": F.regexp_extract("link", r"([^/]+)$", 1)})
     known, names = parsed.select(F.col("path").alias("target")), parsed.select(F.col("name").alias("base")).distinct()
     lost = links.join(known, "target", "left_anti").join(known.withColumnRenamed("target", "link"), "link", "left_anti").join(names, "base", "left_anti")
-    return found.unionByName(lost.select("path", F.lit("warning").alias("severity"), F.concat(F.lit("Link target not found: "), "link", F.lit(".")).alias("message")))
+    none = parsed.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("").alias("path"), F.lit("error").alias("severity"), F.lit("The bundle has no concept files.").alias("message"))
+    return found.unionByName(none).unionByName(lost.select("path", F.lit("warning").alias("severity"), F.concat(F.lit("Link target not found: "), "link", F.lit(".")).alias("message")))
 
 
 def concepts_of_bundle(parsed: DataFrame) -> DataFrame:
@@ -258,7 +271,7 @@ def mine(chunks: DataFrame, most: int = 12) -> DataFrame:
     from ..functions import ids
 
     found = phrases(chunks)
-    chosen = top_concepts(scores(chunks), most)
+    chosen = top_concepts(scores(chunks, hits=False), most)
     sources = top_chunks(found, chosen).groupBy("document_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("h"), "chunk_id"))), lambda x: x["chunk_id"]).alias("source_chunk_ids"))
     near = related(found, chosen).groupBy("document_id", "phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("related"))
     none = F.array().cast("array<string>")

@@ -275,6 +275,23 @@ def summary(text: Column, n: int = 300) -> Column:
     return F.substring(F.array_join(F.slice(T.sentences(text), 1, 2), " "), 1, n)
 
 
+#: Characters of a section that a generator reads, and of a summary that it gives.
+READ_CHARS, SUMMARY_CHARS = 1200, 400
+
+
+def summaries(nodes: DataFrame, generate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(node_id, summary): what a generator (a column of prompts to a column of texts) makes of each node with text; the first two sentences without one,
+    and where it gives nothing."""
+    text = F.coalesce("text", F.lit(""))
+    rows = nodes.where(F.trim(text) != "")
+    own = summary(F.trim(text))
+    if generate is None:
+        return rows.select("node_id", own.alias("summary"))
+    asked = F.concat(F.lit("Summarise the section in 40 to 80 words, with facts from it only.\n\nTitle: "), F.coalesce("title", F.lit("")), F.lit("\nText:\n"), F.substring(text, 1, READ_CHARS), F.lit("\n\nSummary:"))
+    made = F.substring(F.trim(F.col("made")), 1, SUMMARY_CHARS)
+    return rows.withColumn("made", generate(asked)).select("node_id", F.when(F.coalesce(made, F.lit("")) != "", made).otherwise(own).alias("summary"))
+
+
 def batches(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """df with batch: consecutive rows in groups of n, counted within each of order's first column."""
     w = Window.partitionBy(order[0]).orderBy(*order[1:])

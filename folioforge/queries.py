@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from . import oracles
-from .functions import ids
+from .functions import ids, phones, registered
 from .functions import text as T
-from .operators import answer, catalog, concepts, index, retrieval, structure
+from .operators import answer, catalog, concepts, entities, index, retrieval, structure
 from .operators.index_store import SearchIndex
 from .plans.tables import at_rest, shared_folder
 from .streaming import ingest
@@ -607,7 +607,7 @@ def q_concept_score(spark, sf):
 
 @query(f"WITH RECURSIVE {GRAMS}, {SCORED}, {oracles.TOP_CONCEPTS}")
 def q_concept_top12(spark, sf):
-    return concepts.top_concepts(concepts.scores(_chunks(spark, sf)))
+    return concepts.top_concepts(concepts.scores(_chunks(spark, sf), hits=False))
 
 
 CHOSEN = "ch AS (SELECT document_id, phrase FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, phrase) AS r FROM sc) WHERE r <= 12)"
@@ -669,19 +669,20 @@ def q_batches(spark, sf):
     return structure.batches(table(spark, sf, "events").select("user_id", "event_id"), ["user_id", "event_id"], 7)
 
 
-@query(f"WITH {LINES}, m AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40) SELECT query_id, m.doc_id || ':' || pos AS chunk_id, length(line) AS n FROM m JOIN lines USING (doc_id) WHERE line <> '' AND pos < 3")
+@query(f"WITH {LINES}, m AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40) SELECT query_id, m.doc_id || ':' || pos AS chunk_id, length(line) AS n FROM m JOIN lines USING (doc_id) WHERE line <> ''")
 def q_concept_chunks(spark, sf):
     rows = lines(spark, sf).where("line <> ''").select("doc_id", "pos", F.concat_ws(":", "doc_id", "pos").alias("chunk_id"), F.length("line").alias("n"))
-    held = rows.where("pos < 3").groupBy(F.col("doc_id").alias("concept_id")).agg(F.collect_list("chunk_id").alias("source_chunk_ids"))
+    held = rows.groupBy(F.col("doc_id").alias("concept_id")).agg(F.collect_list("chunk_id").alias("source_chunk_ids"))
     matched = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m")).join(held.select("concept_id", (F.col("concept_id") % 40).alias("m")), "m").drop("m")
     twice = matched.unionByName(matched)  # a chunk comes once for a question
     return concepts.concept_chunks(twice, held, rows.select("chunk_id", "n"))
 
 
-@query("SELECT conv_id, turn, coalesce(source, CAST(conv_id AS VARCHAR)) AS file_name FROM conversations LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) ON doc_id = conv_id")
+@query("SELECT conv_id, turn, coalesce(source, CAST(conv_id * 20 + turn AS VARCHAR)) AS file_name FROM conversations LEFT JOIN documents ON doc_id = conv_id * 20 + turn")
 def q_enrich_citations(spark, sf):
-    names = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("filename"))
-    cited = table(spark, sf, "conversations").select("conv_id", "turn", F.col("conv_id").cast("string").alias("document_id"))
+    names = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("filename"))
+    # Some of the numbers are those of documents, others are of none.
+    cited = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") * 20 + F.col("turn")).cast("string").alias("document_id"))
     return catalog.enrich_citations(cited, names).select("conv_id", "turn", "file_name")
 
 
@@ -801,6 +802,88 @@ ORACLES["q_lexical"] = (
 )
 
 
+@query(filled("WITH RECURSIVE src AS (SELECT doc_id AS k1, 0 AS k2, text FROM documents), @parts SELECT k1 AS doc_id, part, len(@words(body)) AS n_words, md5(body) AS digest FROM parts"))
+def q_para_split_sql(spark, sf):
+    """q_para_split through the table function, in SQL."""
+    registered.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("folioforge_documents")
+    parts = spark.sql("SELECT doc_id, p.part, p.body FROM folioforge_documents, LATERAL split_paragraphs(text) p")
+    return parts.select("doc_id", "part", T.word_count(F.col("body")).alias("n_words"), F.md5("body").alias("digest"))
+
+
+@query(f"WITH {ASKED}, n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT term, count(DISTINCT item_id) AS df FROM (SELECT item_id, unnest(regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) GROUP BY 1) SELECT term, df, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END, 9) AS idf FROM d, n")
+def q_idf_sql(spark, sf):
+    """Terms of the questions' texts with their weights, by the SQL function."""
+    registered.register(spark)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("node_id"), F.lit(None).cast("string").alias("title"), "text")
+    index.term_stats(index.postings(items)).createOrReplaceTempView("folioforge_terms")
+    return spark.sql(f"SELECT term, df, round(bm25_idf({items.count()}, df), 9) AS idf FROM folioforge_terms")
+
+
+@query(RANKED.replace("@score", "0.5 * overlap + 0.2 * heading + CASE WHEN title IS NOT NULL THEN 0.15 ELSE 0.0 END + 0.1 * page + 0.05 * density"))
+def q_rank_outside_tree(spark, sf):
+    """Candidates of which some come from the tree and others from a full scan."""
+    return _ranks(retrieval.rank_nodes(_candidates(spark, sf).withColumn("in_tree", F.col("title").isNotNull())))
+
+
+@query(r"SELECT doc_id AS node_id, substr(array_to_string(list_slice(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> ''), 1, 2), ' '), 1, 300) AS summary FROM documents WHERE trim(text) <> ''")
+def q_summaries(spark, sf):
+    return structure.summaries(table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), F.lit(None).cast("string").alias("title"), "text"))
+
+
+_SPACED = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}]+(?:[''’.\-][\p{{L}}\p{{N}}]+)*|&')"
+
+
+@query(
+    f"WITH RECURSIVE w AS (SELECT doc_id, {_SPACED.format('text')} AS w FROM documents), b AS (SELECT item_id, {_SPACED.format('text')} AS w FROM benchmark), "
+    "names AS (SELECT m, lower(array_to_string(list_slice(w, 1, m), ' ')) AS key, min(array_to_string(list_slice(w, 1, m), ' ')) AS name FROM b, (SELECT unnest([2, 3, 5]) AS m) WHERE len(w) >= m GROUP BY 1, 2), "
+    "runs AS (SELECT doc_id, m, i - 1 AS spot, lower(array_to_string(list_slice(w, i, i + m - 1), ' ')) AS key FROM (SELECT doc_id, w, m, unnest(generate_series(1, CAST(len(w) - m + 1 AS BIGINT))) AS i FROM w, (SELECT unnest([2, 3, 5]) AS m) WHERE len(w) >= m)), "
+    "met AS (SELECT doc_id, spot, max(m) AS m, max_by(name, m) AS name FROM runs JOIN names USING (m, key) GROUP BY 1, 2), "
+    "walk AS (SELECT doc_id, min(spot) AS spot FROM met GROUP BY 1 UNION ALL SELECT doc_id, spot FROM (SELECT c.doc_id, n.spot, row_number() OVER (PARTITION BY c.doc_id ORDER BY n.spot) AS no FROM walk JOIN met c USING (doc_id, spot) JOIN met n ON n.doc_id = c.doc_id AND n.spot >= c.spot + c.m) WHERE no = 1) "
+    "SELECT doc_id, 'item' AS kind, name, CAST(spot AS INTEGER) AS \"at\" FROM walk JOIN met USING (doc_id, spot)"
+)
+def q_known_names(spark, sf):
+    """Names (the first two, three and five words of the benchmark's items) in all documents."""
+    w = entities._spaced(F.col("text"))
+    names = table(spark, sf, "benchmark").select(F.explode(F.transform(F.array(*map(F.lit, (2, 3, 5))), lambda m: F.when(F.size(w) >= m, F.array_join(F.slice(w, F.lit(1), m), " ")))).alias("name")).where("name is not null")
+    found = entities.find_names(table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), names.withColumn("kind", F.lit("item")))
+    return found.select(F.col("node_id").alias("doc_id"), "kind", "name", "at")
+
+
+@query()
+def q_phone_numbers(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(phones.numbers(F.col("text"))).alias("no", "number"))
+    return rows.select("doc_id", "no", "number")
+
+
+#: Each question in two sessions: the sources of its id's and the next one's place among all sources.
+_SESSIONS = "src AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))"
+
+
+@query()
+def q_lexical_sessions(spark, sf):
+    """Questions asked in two sessions each see the best nodes of these, whatever the others hold."""
+    n = nodes(spark, sf)
+    sources = sorted(r.source for r in table(spark, sf, "documents").select("source").where("source is not null").distinct().collect())
+    every = F.array(*map(F.lit, sources))
+    places = F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.element_at(every, ((F.col("query_id") + i) % len(sources) + 1).cast("int"))))
+    q = asked(spark, sf).select("question", "query_id", places.alias("session_id")).withColumn("query_id", F.concat_ws("@", "query_id", "session_id"))
+    found = retrieval.lexical(n, q, 10)
+    return found.select("query_id", "node_id", "rank", *(F.round(c, 6).alias(c) for c in ("score", "fts", "heading", "phrase")))
+
+
+ORACLES["q_lexical_sessions"] = (
+    ORACLES["q_lexical"]
+    .replace(ASKED, ASKED.replace("asked AS", "asked0 AS") + f", {_SESSIONS}, asked AS (SELECT a.query_id || '@' || s.source AS query_id, a.question, s.source AS session_id FROM asked0 a, src s WHERE s.no = a.query_id % s.n OR s.no = (a.query_id + 1) % s.n)")
+    .replace("l0 AS (", "own AS (SELECT query_id, node_id FROM asked JOIN nodes USING (session_id)), l0 AS (")
+    .replace(_ranked("scored", 40), _ranked("(SELECT * FROM scored SEMI JOIN own USING (query_id, node_id))", 20))
+    .replace(_ranked("headed", 20), _ranked("(SELECT * FROM headed SEMI JOIN own USING (query_id, node_id))", 10))
+    .replace(_ranked("phrased", 20), _ranked("(SELECT * FROM phrased SEMI JOIN own USING (query_id, node_id))", 10))
+    .replace(_ranked("fu", 20), _ranked("fu", 10))
+    .replace(", CASE WHEN coalesce(n.title, '') <> '' THEN 1.0 ELSE 0.2 END::DOUBLE AS structural", "")
+)
+
+
 @query(f"WITH {LINES} SELECT doc_id, pos, regexp_matches(trim(line), '{C.OUTLINE_HEADING.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(trim(line), '{C.OUTLINE_END}') AND length(trim(line)) <= {C.OUTLINE_CHARS} AND len({WORDS.format('line')}) BETWEEN 1 AND {C.OUTLINE_WORDS} AS heading FROM lines")
 def q_outline_heading(spark, sf):
     return lines(spark, sf).select("doc_id", "pos", T.looks_like_heading(F.col("line")).alias("heading"))
@@ -821,18 +904,18 @@ def q_document_slug(spark, sf):
     return lines(spark, sf).where("pos = 0").select("doc_id", T.document_slug(F.col("line"), F.concat(F.lit("doc_"), F.md5("line"))).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\[S\\d+\\]') THEN text ELSE rtrim(text) || ' [S1]' END AS marked, regexp_replace(text || ' [S7]', '\\[S\\d+\\]', '[S1]', 'g') AS renumbered FROM (SELECT doc_id, substr(text, 1, 40) || CASE WHEN doc_id % 2 = 0 THEN ' [S2]' ELSE '' END AS text FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\[S\\d+\\]') THEN text ELSE rtrim(text) || ' [S1]' END AS marked, regexp_replace(text || ' [S7]', '\\[S\\d+\\]', '[S1]', 'g') AS renumbered FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' [S2]' ELSE '' END AS text FROM documents)")
 def q_source_marks(spark, sf):
-    t = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 2 == 0, F.lit(" [S2]")).otherwise(F.lit("")))
+    t = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" [S2]")).otherwise(F.lit("")))
     return table(spark, sf, "documents").select("doc_id", T.with_source_mark(t).alias("marked"), T.renumbered(F.concat(t, F.lit(" [S7]"))).alias("renumbered"))
 
 
-@query(f"WITH {LINES}, a AS (SELECT doc_id AS query_id, {ASCII.format('line')} || CASE doc_id % 3 WHEN 0 THEN ' [S1]' WHEN 1 THEN ' [S2]' ELSE '' END AS answer, doc_id FROM lines WHERE pos = 0), c AS (SELECT doc_id AS query_id, 'S' || (pos + 1) AS source_id, substr({ASCII.format('line')}, 1, 300) AS excerpt FROM lines WHERE pos < 2 AND line <> ''), u AS (SELECT a.query_id, regexp_replace(answer, '\\[S\\d+\\]', '', 'g') AS a, answer, coalesce(excerpt, '') AS e, excerpt IS NOT NULL AS has FROM a LEFT JOIN c ON c.query_id = a.query_id AND contains(answer, '[' || source_id || ']')) SELECT query_id, trim(answer) <> '' AND has AND (len({_cw('a')}) = 0 OR CAST(len(list_intersect({_cw('a')}, {_cw('e')})) AS DOUBLE) / greatest(len({_cw('a')}), 1) >= 0.35) AND {_within(C.NUMBER, False).replace('regexp_extract_all(a,', 'regexp_extract_all(answer,')} AND {_within(C.DATE, True).replace('regexp_extract_all(a,', 'regexp_extract_all(answer,')} AND {_within(C.PROPER_NAME, True)} AND {_DIR} AS valid FROM u")
+@query(f"WITH {LINES}, a AS (SELECT doc_id AS query_id, {ASCII.format('line')} || CASE doc_id % 3 WHEN 0 THEN ' [S1]' WHEN 1 THEN ' [S2]' ELSE '' END AS answer, doc_id FROM lines WHERE pos = 0), c AS (SELECT doc_id AS query_id, 'S' || (pos + 1) AS source_id, substr({ASCII.format('line')}, 1, 300) AS excerpt FROM lines WHERE line <> ''), u AS (SELECT a.query_id, regexp_replace(answer, '\\[S\\d+\\]', '', 'g') AS a, answer, coalesce(excerpt, '') AS e, excerpt IS NOT NULL AS has FROM a LEFT JOIN c ON c.query_id = a.query_id AND contains(answer, '[' || source_id || ']')) SELECT query_id, trim(answer) <> '' AND has AND (len({_cw('a')}) = 0 OR CAST(len(list_intersect({_cw('a')}, {_cw('e')})) AS DOUBLE) / greatest(len({_cw('a')}), 1) >= 0.35) AND {_within(C.NUMBER, False).replace('regexp_extract_all(a,', 'regexp_extract_all(answer,')} AND {_within(C.DATE, True).replace('regexp_extract_all(a,', 'regexp_extract_all(answer,')} AND {_within(C.PROPER_NAME, True)} AND {_DIR} AS valid FROM u")
 def q_validate_answers(spark, sf):
     plain = F.regexp_replace("line", r"[^\x00-\x7F]", "_")
     mark = F.when(F.col("doc_id") % 3 == 0, " [S1]").when(F.col("doc_id") % 3 == 1, " [S2]").otherwise("")
     answers = lines(spark, sf).where("pos = 0").select(F.col("doc_id").alias("query_id"), F.concat(plain, mark).alias("answer"))
-    cited = lines(spark, sf).where("pos < 2 and line <> ''").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("S"), F.col("pos") + 1).alias("source_id"), T.excerpt(plain).alias("excerpt"))
+    cited = lines(spark, sf).where("line <> ''").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("S"), F.col("pos") + 1).alias("source_id"), T.excerpt(plain).alias("excerpt"))
     return answer.validate(answers, cited)
 
 

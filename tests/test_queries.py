@@ -8,7 +8,7 @@ import pytest
 from folioforge.queries import ORACLES, QUERIES
 
 #: What SQL can't express is compared with a Python version in test_engine.py.
-IN_PYTHON = {"q_best_sentence", "q_extractive_answer", "q_gate_full"}
+IN_PYTHON = {"q_best_sentence", "q_extractive_answer", "q_gate_full", "q_phone_numbers"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

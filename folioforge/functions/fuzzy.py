@@ -78,8 +78,14 @@ def lcs_column(left: Column, right: Column) -> Column:
     chars = F.split(shorter, "")
 
     def one(a: Column, b: Column) -> Column:
-        step = lambda masks: lambda row, c: _let(row.bitwiseAND(F.coalesce(masks[c], _long(0))), lambda u: (row + u).bitwiseAND(_long(_FULL)).bitwiseOR(row.bitwiseAND(F.bitwise_not(u))))
-        return _let(_masks(a, F.lit(0), F.size(a) - 1), lambda m: F.aggregate(b, _low(F.size(a)), step(m), lambda row: F.size(a) - F.bit_count(row.bitwiseAND(_low(F.size(a))))))
+        # Each character of b becomes the places where a has it; a step is then a few operations on longs.
+        letters = F.array_distinct(a)
+        bit = lambda c: lambda acc, i: F.when(a[i] == c, acc.bitwiseOR(_bit(i))).otherwise(acc)
+        places = F.array_prepend(F.transform(letters, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), _long(0), bit(c))), _long(0))
+        step = lambda row, m: (row + row.bitwiseAND(m)).bitwiseAND(_long(_FULL)).bitwiseOR(row.bitwiseAND(F.bitwise_not(m)))
+        of = lambda t: F.transform(b, lambda c: F.get(t["places"], F.call_function("locate", c, t["letters"])))
+        known = F.struct(F.array_join(letters, "").alias("letters"), places.alias("places"))
+        return _let(known, lambda t: F.aggregate(of(t), _low(F.size(a)), step, lambda row: F.size(a) - F.bit_count(row.bitwiseAND(_low(F.size(a))))))
 
     def several(a: Column, b: Column) -> Column:
         parts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BITS).cast("int"))
@@ -115,8 +121,10 @@ def token_set_ratio_column(left: Column, right: Column) -> Column:
     def aligned(t: Column) -> Column:
         s, p, q = F.length(t["both"]), F.length(t["x"]), F.length(t["y"])
         gap = F.when(s > 0, 1).otherwise(0)
-        whole = 1 - (p + q - 2 * lcs_column(t["x"], t["y"])) / (2 * s + 2 * gap + p + q)
-        best = F.when(s > 0, F.greatest(whole, 1 - (1 + p) / (2 * s + gap + p), 1 - (1 + q) / (2 * s + gap + q))).otherwise(whole)
+        whole = lambda common: 1 - (p + q - 2 * common) / (2 * s + 2 * gap + p + q)
+        beside = F.when(s > 0, F.greatest(1 - (1 + p) / (2 * s + gap + p), 1 - (1 + q) / (2 * s + gap + q))).otherwise(0.0)
+        # A subsequence is no longer than the shorter text: where even that would not be more than the shared words are worth, nothing is aligned.
+        best = F.when(whole(F.least(p, q)) <= beside, beside).otherwise(F.greatest(beside, whole(lcs_column(t["x"], t["y"]))))
         return F.bround(100 * best, 0) / 100
 
     def compared(t: Column) -> Column:

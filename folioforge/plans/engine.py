@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas
-from ..errors import ConfigurationError
+from ..errors import ConfigurationError, DuplicateDocumentError, EmptyDocumentError, ParseError
 from ..functions import ids
 from ..functions import text as T
 from ..operators import answer, catalog, concepts, entities, retrieval, structure
@@ -69,6 +69,12 @@ class Settings:
         return Settings(**found)
 
 
+def _none(files: DataFrame, error: type[Exception], what: str) -> None:
+    """Raises where there are such files, naming some."""
+    if found := [r.filename for r in files.select("filename").limit(5).collect()]:
+        raise error(f"files {what}: {', '.join(found)}")
+
+
 @dataclass(frozen=True)
 class Engine:
     """The catalog's tables and the plans over them; every method returns new tables."""
@@ -92,11 +98,18 @@ class Engine:
         nodes = at_rest(structure.build_tree(headed, settings.id_mode), "nodes")
         return nodes, at_rest(structure.chunk_pages(structure.page_texts(nodes)), "chunks")
 
-    def ingest(self, files: DataFrame, blocks: Callable[[DataFrame], DataFrame], force: bool = False) -> Engine:
-        """The engine with new files in it; those that are there already (same content and session) are skipped unless forced."""
+    def ingest(self, files: DataFrame, blocks: Callable[[DataFrame], DataFrame], force: bool = False, strict: bool = False) -> Engine:
+        """The engine with new files in it; those that are there already (same content and session) are skipped unless forced. Files without text become
+        documents that have failed; strict raises instead, for empty files, for files that are there, and for those whose blocks hold no text."""
         new = files if force else catalog.unseen(files, self.documents)
+        if strict:
+            _none(files.where(F.coalesce(F.octet_length("content"), F.lit(0)) == 0), EmptyDocumentError, "without content")
+            if not force:
+                _none(files.join(new.select("document_id"), "document_id", "left_anti"), DuplicateDocumentError, "ready already")
         nodes, chunks = self.structure(blocks(new), self.settings)
         done = chunks.select("document_id").distinct().withColumn("ok", F.lit(True))
+        if strict:
+            _none(new.join(done, "document_id", "left_anti"), ParseError, "without readable text")
         rows = new.join(done, "document_id", "left").withColumns({"status": F.when(F.col("ok"), "ready").otherwise("failed"), "created_at": F.current_timestamp()})
         documents = catalog.upsert(self.documents, rows.select(self.documents.columns), ["document_id"])
         return replace(self, documents=documents, nodes=catalog.replace_children(self.nodes, nodes, "document_id"), chunks=catalog.replace_children(self.chunks, chunks, "document_id"))

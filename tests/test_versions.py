@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge import cli, schemas
-from folioforge.errors import ConflictError
+from folioforge.errors import ConflictError, DuplicateDocumentError, EmptyDocumentError, ParseError
 from folioforge.operators import catalog, index, index_store, retrieval, structure
 from folioforge.operators.index_store import SearchIndex
 from folioforge.plans.engine import Engine
@@ -113,6 +113,19 @@ def test_save_is_one_version(spark, tmp_path, monkeypatch):
     assert Engine.open(spark, home).nodes.count() == 0
 
 
+def test_strict_ingest(spark):
+    file = lambda name, content: catalog.register(spark.createDataFrame([("s", name, bytearray(content))], "session_id string, filename string, content binary")).withColumn("path", F.col("filename"))
+    read = lambda f: structure.plain_blocks(f.select("document_id", F.col("content").cast("string").alias("text")))
+    empty = Engine.open(spark, "/nowhere/at/all")
+    for name, content, error in (("a.txt", b"", EmptyDocumentError), ("b.txt", b" \n \n", ParseError)):
+        with pytest.raises(error, match=name):
+            empty.ingest(file(name, content), read, strict=True)
+    engine = empty.ingest(file("c.txt", b"Some text."), read, strict=True)
+    with pytest.raises(DuplicateDocumentError, match="c.txt"):
+        engine.ingest(file("c.txt", b"Some text."), read, strict=True)
+    assert engine.ingest(file("c.txt", b"Some text."), read, force=True, strict=True).documents.count() == 1
+
+
 def test_imported_concepts_are_kept_and_found(spark, tmp_path, capsys):
     home, told = str(tmp_path / "home"), {}
     for name, title in (("one", "Annual leave"), ("two", "Monthly pay")):

@@ -66,7 +66,8 @@ def first_sentence(t: Column) -> Column:
 
 
 def sentences(t: Column) -> Column:
-    return F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    # Not F.trim itself: transform would hand it a sentence's number as the characters to take off.
+    return F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")  # noqa: PLW0108
 
 
 def slug(t: Column) -> Column:

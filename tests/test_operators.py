@@ -185,3 +185,16 @@ def test_engine(spark, tmp_path):
     assert {r.query_id for r in routed} == {1, 2, 3} and {r.query_type for r in routed} == {"summary", "comparison", "direct_factual"}
     assert engine.mine_concepts().concepts.count() > 0
     assert engine.delete(engine.documents.select("document_id")).nodes.count() == 0
+
+
+def test_sentences_keep_their_digits(spark):
+    """Phrases, scores, parts and summaries of sentences that begin or end with their own number."""
+    text = "0997 and 4928819459423830. 19.37.233.111"
+    docs = spark.createDataFrame([(1, "d", text)], "node_id int, title string, text string")
+    assert structure.summaries(docs).first().summary == text
+    chunks = spark.createDataFrame([("d", "c", "0997 and 4928819459423830")], "document_id string, chunk_id string, text string")
+    assert {r.phrase for r in concepts.phrases(chunks).collect()} == {"0997", "4928819459423830"}
+    assert {(r.phrase, r.hits, r.n_sentences) for r in concepts.scores(chunks).collect()} == {("0997", 1, 1), ("4928819459423830", 1, 1)}
+    long = " ".join(f"0{n}" for n in range(300)) + ". " + " ".join(f"1{n}" for n in range(300)) + "1"
+    parts = docs.select(F.explode(structure.split_long(F.lit(long))).alias("p")).collect()
+    assert " ".join(r.p for r in parts) == long

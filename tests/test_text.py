@@ -25,6 +25,7 @@ def value(spark, column, **cols):
     (T.paragraphs, "a b\r\n\r\n \n c\n\n\n", ["a b", "c"]),
     (T.first_sentence, "One. Two.", "One."),
     (T.first_sentence, "x" * 300, "x" * 200),
+    (T.sentences, "0990 is it.  11 of 11! 22?  ", ["0990 is it.", "11 of 11!", "22?"]),
     (T.slug, " Hello, Wörld! ", "hello-w-rld"),
     (T.slug, "!!", "concept"),
     (T.match_expression, "what is the leave policy?", '"leave" OR "policy"'),

@@ -7,10 +7,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -194,6 +196,17 @@ def test_op3(spark, sf, odd, none):
     assert len(secret_scan.train(secret_scan.samples_of(none))) == secret_scan.WIDTH**2
 
 
+def test_encoding_holds_little():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(2500)) for _ in range(200)]
+    with byte_bpe._task(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern()) as encoder:
+        tracemalloc.start()
+        rows = sum(len(byte_bpe._encode_chunk(encoder, chunk)) for chunk in byte_bpe._chunks(iter([pa.array(texts)])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert rows == len(texts) and peak < 190 << 20
+
+
 # Quality
 
 
@@ -208,6 +221,31 @@ def test_quality(spark, sf, odd, none):
     assert quality_rank.quality_scores(none, empty).count() == 0
 
 
+def test_all_labels_count(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(quality_rank, "HALF", 20)
+    local = quality_rank.train(docs, labels)
+    monkeypatch.setattr(quality_rank, "LOCAL", 10)  # more labelled rows: summed by Spark, none left out
+    summed = quality_rank.train(docs, labels)
+    for part in ("centre", "scale", "weights", "a", "b", "threshold"):
+        assert np.allclose(getattr(local, part), getattr(summed, part), rtol=1e-6, atol=1e-9), part
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    told = [(marks[r.doc_id], quality_rank.features(r.text or "")) for r in docs.collect() if r.doc_id in marks]
+    assert len(told) > 50 and np.allclose(summed.centre, np.mean([x for _, x in told], 0))
+    share = np.mean(summed.scores(np.array([x for _, x in told])) < summed.threshold)
+    assert share == pytest.approx(np.mean([m == 0 for m, _ in told]), abs=0.02)
+    monkeypatch.setattr(quality_rank, "BROADCAST_LABELS", 10)
+    assert np.allclose(quality_rank.train(docs, labels).weights, local.weights, rtol=1e-6)
+
+
+@pytest.mark.parametrize("values", [[0.5] * 9, [0.1, 0.2, 0.2, 0.9], [0.0, 1.0], list(np.random.default_rng(3).random(3000) ** 9)])
+def test_scores_by_place(spark, values):
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double")
+    for share in (0.0, 0.3, 0.5, 1.0):
+        place = share * (len(values) - 1)
+        assert quality_rank._nth(scores, place) == pytest.approx(np.quantile(values, share, method="midpoint"), abs=1e-15)
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 5))

@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, lean, text_of, trim
 
-MEMO = 120_000
+#: Pieces in a memory, about.
+MEMO = 60_000
 #: UTF-8 bytes of the texts that are replayed together.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_500_000
 
 _loaded: dict = {}
 

@@ -127,3 +127,8 @@ def test_state_survives_several_batches_at_once():
 
 def test_op13_sql(spark, sf):
     assert same_rows(queries.op13_valid_time(spark, sf), queries.OP13, sf)
+
+
+def test_stores_share_bounded_memory():
+    settings = {k.rsplit(".", 1)[-1]: v for k, v in valid_time.STATE.items()}
+    assert settings["boundedMemoryUsage"] == "true" and int(settings["maxMemoryUsageMB"]) <= 256 and int(settings["writeBufferSizeMB"]) <= 4

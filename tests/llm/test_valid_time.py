@@ -132,3 +132,14 @@ def test_op13_sql(spark, sf):
 def test_stores_share_bounded_memory():
     settings = {k.rsplit(".", 1)[-1]: v for k, v in valid_time.STATE.items()}
     assert settings["boundedMemoryUsage"] == "true" and int(settings["maxMemoryUsageMB"]) <= 256 and int(settings["writeBufferSizeMB"]) <= 4
+
+
+@pytest.mark.parametrize("per_store,kind", [(valid_time.PER_STORE, "HDFSBackedStateStoreProvider"), (0, "RocksDBStateStoreProvider")])
+def test_stores_close_with_their_tasks(spark, sf, monkeypatch, per_store, kind):
+    """Small stores leave nothing in an executor's native memory; large ones are in RocksDB; both give the same rows."""
+    used, run = set(), valid_time._run_batch
+    setting = lambda name: spark.conf.get(f"spark.sql.streaming.stateStore.{name}")
+    monkeypatch.setattr(valid_time, "PER_STORE", per_store)
+    monkeypatch.setattr(valid_time, "_run_batch", lambda *a: (used.add((setting("providerClass").rsplit(".", 1)[-1], setting("unloadOnCommit"))), run(*a)))
+    assert same_rows(queries.op13_valid_time(spark, sf), queries.OP13, sf)
+    assert used == {(kind, "true")}

@@ -5,7 +5,7 @@ out as one linked sequence of symbols. An inverted index holds, for each pair of
 neighbouring symbols that a merge can join, the positions where it stands. Merges
 are applied in rank order, each at all its positions at once; only the
 neighbours that a merge touches are entered anew. Words are remembered across
-batches (in two memories of about MEMO each), so each is replayed about once for each task. The memories
+batches (in two memories of about `memo` pieces each), so each is replayed about once for each task. The memories
 go with the task; a worker keeps only the tables of the vocabulary.
 
 A merge can create a pair of lower rank than its own, which then goes first. A
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, lean, text_of, trim
 
-#: Pieces in a memory, about.
-MEMO = 60_000
+#: Pieces in a memory, about: where workers share an executor with much else, and where encoding has it to itself.
+MEMO, LARGE_MEMO = 60_000, 120_000
 #: UTF-8 bytes of the texts that are replayed together.
 CHUNK_BYTES = 1_500_000
 
@@ -194,10 +194,11 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Encoder:
-    def __init__(self, replay: MergeReplay, pattern: str):
+    def __init__(self, replay: MergeReplay, pattern: str, most: int = MEMO):
         import regex
 
         self.replay = replay
+        self.most = most
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}  # a piece to the ids of ' ' + piece
         self.older: dict[str, bytes] = {}
@@ -226,20 +227,20 @@ class Encoder:
         keys = list(fresh)
         found = self._learn([*firsts, *(" " + k for k in keys)])
         memo.update(zip(keys, found[len(firsts) :], strict=True))
-        if len(memo) > MEMO:  # what isn't met again before the next change of memories is forgotten
+        if len(memo) > self.most:  # what isn't met again before the next change of memories is forgotten
             self.memo, self.older = {}, memo
         return [np.frombuffer(first + b"".join(map(memo.__getitem__, pieces)), np.int32) for first, pieces in zip(found, rest, strict=False)]
 
 
 @contextmanager
-def _task(rank_file: bytes, pattern: str) -> Iterator[Encoder]:
+def _task(rank_file: bytes, pattern: str, memo: int = MEMO) -> Iterator[Encoder]:
     """An encoder for one task. What it has learnt is given back to the system at the end: the worker goes on to other tasks."""
     lean()
     key = hash(rank_file)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = MergeReplay(read_ranks(rank_file))
-    encoder = Encoder(_loaded[key], pattern)
+    encoder = Encoder(_loaded[key], pattern, memo)
     gc.disable()  # millions of small tuples, none in a cycle
     try:
         yield encoder
@@ -310,11 +311,11 @@ def decode_column(ids: Column, rank_file: bytes) -> Column:
     return _over_batches(run, "binary")(ids)
 
 
-def round_trip_column(text: Column, rank_file: bytes, pattern: str) -> Column:
+def round_trip_column(text: Column, rank_file: bytes, pattern: str, memo: int = MEMO) -> Column:
     """Column of structs: ids as encode_column gives them, and decoded, what decode_column makes of these ids; both in one worker."""
 
     def run(batches):
-        with _task(rank_file, pattern) as encoder:
+        with _task(rank_file, pattern, memo) as encoder:
             vocab = {i: b for b, i in encoder.replay.ranks.items()}
             for texts in _chunks(batches):
                 ids = _encode_chunk(encoder, texts)
@@ -323,8 +324,8 @@ def round_trip_column(text: Column, rank_file: bytes, pattern: str) -> Column:
     return _over_batches(run, "struct<ids:array<int>,decoded:binary>")(text)
 
 
-def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """Per row of docs: doc_id, ids (array of token ids), decoded (the bytes that the ids decode to)."""
     bounded_batches(docs.sparkSession)
-    both = docs.select(docs[id_col].alias("doc_id"), round_trip_column(text_of(docs, text_col), rank_file, pattern).alias("both"))
+    both = docs.select(docs[id_col].alias("doc_id"), round_trip_column(text_of(docs, text_col), rank_file, pattern, memo).alias("both"))
     return both.select("doc_id", "both.ids", "both.decoded")

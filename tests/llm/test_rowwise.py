@@ -343,3 +343,15 @@ def test_op7(spark, sf):
         ids = ref.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_op7_remembers_more_pieces():
+    """Pieces that come back after 60,000 others are remembered where an encoder has a large memory, and not encoded anew; ids are the same."""
+    replay = byte_bpe.MergeReplay(byte_bpe.read_ranks(queries.vocabulary("byte_bpe_50k.tiktoken")))
+    texts = [" ".join(f"w{n}x" for n in range(k * 20_000, (k + 1) * 20_000)) for k in range(5)]
+    ids, fresh = [], []
+    for most in (byte_bpe.LARGE_MEMO, 10_000):
+        encoder = byte_bpe.Encoder(replay, queries.pattern(), most)
+        ids.append([encoder.encode([t])[0].tolist() for t in [*texts, texts[0]]])
+        fresh.append(texts[0].split(" ")[5] in encoder.memo and texts[1].split(" ")[5] in encoder.memo)
+    assert ids[0] == ids[1] and fresh == [True, False]

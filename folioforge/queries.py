@@ -332,7 +332,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {NODES}, {POSTED} SELECT term, count(DISTINCT node_id) AS df, count(*) AS cf FROM posted GROUP BY 1")
 def q_postings_df(spark, sf):
-    return index.term_stats(index.postings(nodes(spark, sf)))
+    return index.node_term_stats(nodes(spark, sf))
 
 
 @query(f"WITH {NODES}, {ASKED}, {TERMS}, {POSTED}, {FTS} {TOP.format('scored', 20)}")

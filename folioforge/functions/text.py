@@ -184,8 +184,7 @@ def proper_names(t: Column) -> Column:
 
 def content_words(t: Column) -> Column:
     """Distinct content words of a claim or evidence, lower-cased, without citation stop words."""
-    stop = F.array(*map(F.lit, C.CITATION_STOPWORDS))
-    return F.filter(distinct_matches(t, C.CONTENT_WORD), lambda w: ~F.array_contains(stop, w))
+    return F.filter(distinct_matches(t, C.CONTENT_WORD), lambda w: ~w.isin(*C.CITATION_STOPWORDS))
 
 
 def source_marks(t: Column) -> Column:

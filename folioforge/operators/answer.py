@@ -161,12 +161,14 @@ def supported(answer: Column, evidence: Column, least: float = 0.35) -> Column:
     """Whether a claim's words, numbers, dates, names and directions stand in the evidence."""
     plain = F.regexp_replace(answer, r"\[S\d+\]", "")
     a, e = T.content_words(plain), T.content_words(evidence)
-    within = lambda f, x: F.size(F.array_except(f(x), f(evidence))) == 0
+    # The evidence is searched only where the claim holds any of a kind.
+    within = lambda f, x: F.when(F.size(f(x)) == 0, F.when(evidence.isNotNull(), True)).otherwise(F.size(F.array_except(f(x), f(evidence))) == 0)
     ok = (F.size(a) == 0) | (F.size(F.array_intersect(a, e)) / F.greatest(F.size(a), F.lit(1)) >= least)
     ok = ok & within(T.numbers, answer) & within(T.dates, answer) & within(T.proper_names, plain)
+    told = F.when(plain == answer, a).otherwise(T.content_words(answer))
     for group in C.DIRECTIONS:
         words = F.array(*map(F.lit, group))
-        ok = ok & (~F.arrays_overlap(T.content_words(answer), words) | F.arrays_overlap(e, words))
+        ok = ok & (~F.arrays_overlap(told, words) | F.arrays_overlap(e, words))
     return ok
 
 

@@ -537,8 +537,10 @@ _DIR = " AND ".join(f"(NOT list_has_any({_cw("a")}, {list(g)!r}) OR list_has_any
 
 @query(f"WITH {LINES}, p AS (SELECT c.doc_id, c.pos, {ASCII.format('c.line')} AS a, {ASCII.format('e.line')} AS e FROM lines c JOIN lines e ON e.doc_id = c.doc_id AND e.pos = c.pos - 1) SELECT doc_id, pos, (len({_cw('a')}) = 0 OR CAST(len(list_intersect({_cw('a')}, {_cw('e')})) AS DOUBLE) / greatest(len({_cw('a')}), 1) >= 0.35) AND {_within(C.NUMBER, False)} AND {_within(C.DATE, True)} AND {_within(C.PROPER_NAME, True)} AND {_DIR} AS valid FROM p")
 def q_citation_validate(spark, sf):
-    rows = lines(spark, sf)
-    pairs = rows.select("doc_id", "pos", F.col("line").alias("a")).join(rows.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("line").alias("e")), ["doc_id", "pos"])
+    # A line and the one before it are paired in their document's row; no text is shuffled.
+    held = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    zipped = held.select("doc_id", F.posexplode(F.arrays_zip(F.slice("l", F.lit(2), F.size("l")).alias("a"), F.slice("l", F.lit(1), F.size("l") - 1).alias("e"))).alias("pos", "p"))
+    pairs = zipped.select("doc_id", (F.col("pos") + 1).alias("pos"), F.trim("p.a").alias("a"), F.trim("p.e").alias("e"))
     return pairs.select("doc_id", "pos", answer.supported(F.col("a"), F.col("e")).alias("valid"))
 
 

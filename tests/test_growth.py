@@ -2,7 +2,10 @@
 
 import re
 
-from folioforge.operators import index
+from pyspark.sql import functions as F
+
+from folioforge.operators import answer, index
+from folioforge.queries import QUERIES
 
 
 def shuffled_by(df):
@@ -19,3 +22,16 @@ def test_node_term_stats(spark):
     assert {tuple(r) for r in told.collect()} == {("tree", 2, 3), ("stone", 3, 4), ("uber", 2, 2)}
     assert told.exceptAll(index.term_stats(index.postings(nodes))).count() == 0
     assert dict(told.dtypes) == dict(index.term_stats(index.postings(nodes)).dtypes)
+
+
+def test_citation_pairs_stay_in_their_row(spark, sf):
+    assert shuffled_by(QUERIES["q_citation_validate"](spark, sf)) == []
+
+
+def test_supported(spark):
+    rows = [
+        ("Sales rose [S1] in 2020.", "sales rose in 2020", True), ("Sales rose in 2020", "sales rose", False), ("Sales rose", None, None), ("12 of 3", None, None), ("", None, None), ("", "x", True),
+        ("Sales rose[S1]up", "sales", False), ("Sales figures rose", "sales figures fell", False), ("Ada Lovelace wrote notes", "Ada Lovelace wrote notes", True), ("Ada Lovelace wrote notes", "ada lovelace wrote notes", False),
+    ]
+    told = spark.createDataFrame(rows, "a string, e string, want boolean").select("a", "e", "want", answer.supported(F.col("a"), F.col("e")).alias("got"))
+    assert [(r.a, r.e, r.got) for r in told.collect()] == [(r.a, r.e, r.want) for r in told.collect()]

@@ -619,7 +619,7 @@ CHOSEN = "ch AS (SELECT document_id, phrase FROM (SELECT *, row_number() OVER (P
 def q_concept_related(spark, sf):
     found = concepts.phrases(_chunks(spark, sf))
     best = Window.partitionBy("document_id").orderBy(F.desc("score"), "phrase")
-    chosen = at_rest(concepts.scores(_chunks(spark, sf)).withColumn("r", F.row_number().over(best)).where("r <= 12"), "chosen")
+    chosen = at_rest(concepts.scores(_chunks(spark, sf), hits=False).withColumn("r", F.row_number().over(best)).where("r <= 12"), "chosen")
     return concepts.related(found, chosen)
 
 

@@ -505,6 +505,31 @@ def test_edited_passages_whose_parts_stand_elsewhere(spark, length, every, piece
     assert found >= 9 and set(got) <= {10000 + n for n in range(20)}
 
 
+def test_passages_whose_partners_are_found_already(spark):
+    """Runs of 50 words whose other texts have them in longer passages, whose text has the least id and them twice, and that repeat few words; many texts hold parts of them."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    texts = {}
+    for no in range(6):
+        run, private = fresh(50 + no), fresh(70)
+        texts |= {1000 + 10 * no: fresh(30) + run + fresh(40) + run, 1001 + 10 * no: fresh(40) + private + run + fresh(20), 1002 + 10 * no: fresh(10) + private + run}
+        for i in range(40):
+            at = rng.randrange(len(run) - 24)
+            texts[100 * no + i] = fresh(20) + run[at : at + 25] + fresh(30)
+    for period in range(1, 10):
+        few = [f"p{period}_{i}" for i in range(period)] * 300
+        for n, length in enumerate((300, 60, 52)):
+            texts[2000 + 10 * period + n] = fresh(period + n) + few[n : n + length] + fresh(20)
+        rest = fresh(30)
+        for n, length in enumerate((20, 21, 60)):
+            texts[2005 + 10 * period + n] = fresh(20) + few[60 * period - length : 60 * period] + rest + fresh(20)
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    rng.shuffle(rows)
+    got = {r.doc_id: spans_of(r) for r in passage_chains.repeated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert not uncovered(rows, got)
+    assert not {i for i in got if i < 1000}  # parts of 25 words are no passages
+
+
 def test_without_repeats(spark):
     rng = random.Random(32)
     fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]

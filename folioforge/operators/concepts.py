@@ -14,7 +14,7 @@ from ..errors import BundleError
 from ..functions import text as T
 from ..plans.tables import at_rest
 from . import catalog
-from .index import few
+from .index import few, is_few
 
 
 def _ngrams(marked: Column, n: int) -> Column:
@@ -106,6 +106,40 @@ def top_concepts(scored: DataFrame, most: int = 12, first: int = FIRST) -> DataF
         open_, n = scored.join(short, "document_id", "left_semi"), 16 * n
 
 
+#: Words of a document that are looked for in each of its sentences; of a document with more, all phrases are candidates.
+ABLE = 1000
+
+
+def best_phrases(chunks: DataFrame, most: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(found, chosen): the `most` phrases of each document with the best scores, ties to the smaller one (document_id, phrase, score), and the sentences with a
+    phrase that may be one of them (document_id, chunk_id, sentence, phrase).
+
+    A phrase stands in no more sentences than its first and last word. So words are counted first: the `most`-th best score among words that are candidates bounds
+    those of the chosen from below, and a phrase whose outer words are too rare to reach it isn't counted. What can reach it is counted exactly."""
+    s = chunks.select("document_id", "chunk_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sentence", "s"))
+    told = s.select("document_id", "chunk_id", "sentence", T.tokens(F.col("s")).alias("t"))
+    edge = lambda w: (F.length(w) >= 3) & ~w.isin(*C.CONCEPT_STOPWORDS)
+    counts = at_rest(told.select("document_id", F.explode(F.array_distinct("t")).alias("w")).where(edge(F.col("w"))).groupBy("document_id", "w").agg(F.count("*").alias("n")), "words")
+    nth = Window.partitionBy("document_id").orderBy(F.desc("n"), "w")
+    least = counts.withColumn("no", F.row_number().over(nth)).where(F.col("no") <= most).groupBy("document_id").agg(F.when(F.count("*") == most, F.min("n")).otherwise(0).alias("least"))
+    able = at_rest(counts.join(least, "document_id").where("n * 1.7 + 0.001 >= least").select("document_id", "w"), "able")
+    lists = able.groupBy("document_id").agg(F.count("*").alias("size")).where(F.col("size") <= ABLE).join(able, "document_id").groupBy("document_id").agg(F.collect_list("w").alias("able"))
+    lists = F.broadcast(lists) if is_few(able) else lists
+
+    hit = F.when(F.col("able").isNull(), F.filter(F.array_distinct("t"), edge)).otherwise(F.array_intersect("t", "able"))
+    sentence = told.join(lists, "document_id", "left").withColumn("hit", hit).where("size(hit) > 0")
+    outer = lambda n: lambda i: F.array_contains("hit", F.get("t", i)) & F.array_contains("hit", F.get("t", i + n - 1))
+    starts = lambda n: F.when(F.size("t") >= n, F.filter(F.sequence(F.lit(0), F.size("t") - n), outer(n))).otherwise(F.array().cast("array<int>"))
+    runs = lambda n: F.transform(starts(n), lambda i: F.concat_ws(" ", *(F.get("t", i + j) for j in range(n))))
+    longer = F.filter(F.concat(runs(3), runs(2)), lambda p: ~p.rlike("(^| )[0-9]+( |$)"))
+    held = at_rest(sentence.select("document_id", "chunk_id", "sentence", F.array_distinct(F.concat(longer, "hit")).alias("grams")), "candidates")
+    found = held.select("document_id", "chunk_id", "sentence", F.explode("grams").alias("phrase"))
+    score = F.round(F.col("n_sentences") * (1 + 0.35 * (F.size(F.array_distinct(F.split("phrase", " "))) - 1)), 6)
+    scored = found.groupBy("document_id", "phrase").agg(F.count("*").alias("n_sentences")).select("document_id", "phrase", score.alias("score"))
+    best = Window.partitionBy("document_id").orderBy(F.desc("score"), "phrase")
+    return found, at_rest(scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).drop("r"), "chosen")
+
+
 def related(found: DataFrame, chosen: DataFrame, most: int = 5) -> DataFrame:
     """(document_id, phrase, other, jaccard, place): chosen phrases of a document that share sentences."""
     keys = found.join(few(chosen.select("document_id", "phrase")), ["document_id", "phrase"], "left_semi").select("document_id", "phrase", "chunk_id", "sentence").distinct()

@@ -617,9 +617,7 @@ CHOSEN = "ch AS (SELECT document_id, phrase FROM (SELECT *, row_number() OVER (P
 
 @query(f"WITH {GRAMS}, {SCORED}, {CHOSEN}, k AS (SELECT DISTINCT document_id, phrase, chunk_id FROM found JOIN ch USING (document_id, phrase)), z AS (SELECT document_id, phrase, count(*) AS n FROM k GROUP BY 1, 2), m AS (SELECT a.document_id, a.phrase, b.phrase AS other, count(*) AS m FROM k a JOIN k b ON a.document_id = b.document_id AND a.chunk_id = b.chunk_id AND a.phrase <> b.phrase GROUP BY 1, 2, 3), j AS (SELECT m.document_id, m.phrase, other, round(CAST(m AS DOUBLE) / (z.n + y.n - m), 6) AS jaccard FROM m JOIN z ON z.document_id = m.document_id AND z.phrase = m.phrase JOIN z y ON y.document_id = m.document_id AND y.phrase = other) SELECT document_id, phrase, other, jaccard, place FROM (SELECT *, row_number() OVER (PARTITION BY document_id, phrase ORDER BY jaccard DESC, other) AS place FROM j) WHERE place <= 5")
 def q_concept_related(spark, sf):
-    found = concepts.phrases(_chunks(spark, sf))
-    best = Window.partitionBy("document_id").orderBy(F.desc("score"), "phrase")
-    chosen = at_rest(concepts.scores(_chunks(spark, sf), hits=False).withColumn("r", F.row_number().over(best)).where("r <= 12"), "chosen")
+    found, chosen = concepts.best_phrases(_chunks(spark, sf))
     return concepts.related(found, chosen)
 
 

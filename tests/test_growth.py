@@ -1,10 +1,13 @@
 """Steps whose work must follow the input: what they shuffle, and that their rows stay the same."""
 
+import random
 import re
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioforge.operators import answer, index
+from folioforge.operators import answer, concepts, index
 from folioforge.queries import QUERIES
 
 
@@ -49,3 +52,23 @@ def test_like_search_hands_on_k_nodes_of_a_piece(spark):
     assert {(r.query_id, r.node_id, r.rank) for r in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"WindowGroupLimit \[piece[^\n]* 3, Partial", plan)  # before the shuffle by piece
+
+
+@pytest.mark.parametrize("able", [1000, 15])
+def test_best_phrases_counts_what_can_be_best(spark, monkeypatch, able):
+    monkeypatch.setattr(concepts, "ABLE", able)
+    rng = random.Random(5)
+    words = [f"word{n}" for n in range(200)] + ["the", "12", "999", "ox", "big tree", "big tree house", "big big big", "2020 tree"]
+    text = lambda n: " ".join(words[min(int(rng.paretovariate(0.7)), len(words)) - 1] for _ in range(n)) + rng.choice([".", "! ", "? The tree"])
+    rows = [(doc, f"{doc}:{n}", " ".join(text(9) for _ in range(3))) for doc in ("a", "b") for n in range(150)] + [("c", "c:0", "Tree house. Big tree"), ("d", "d:0", None), ("e", "e:0", "ox 12.")]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id string, text string")
+    found, chosen = concepts.best_phrases(chunks)
+    every = concepts.scores(chunks, hits=False)
+    best = Window.partitionBy("document_id").orderBy(F.desc("score"), "phrase")
+    want = {(r.document_id, r.phrase, r.score) for r in every.withColumn("r", F.row_number().over(best)).where("r <= 12").collect()}
+    assert {tuple(r) for r in chosen.select("document_id", "phrase", "score").collect()} == want
+    whole = concepts.phrases(chunks)
+    told = {tuple(r) for r in concepts.related(found, chosen).collect()}
+    assert told == {tuple(r) for r in concepts.related(whole, chosen).collect()} and told
+    if able == 1000:  # most phrases have too rare words
+        assert found.select("document_id", "phrase").distinct().count() < every.count() / 2

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioforge.operators import answer, concepts, index
+from folioforge.operators.index_store import SearchIndex
 from folioforge.queries import QUERIES
 
 
@@ -72,3 +74,19 @@ def test_best_phrases_counts_what_can_be_best(spark, monkeypatch, able):
     assert told == {tuple(r) for r in concepts.related(whole, chosen).collect()} and told
     if able == 1000:  # most phrases have too rare words
         assert found.select("document_id", "phrase").distinct().count() < every.count() / 2
+
+
+def test_index_leaves_no_shuffle_files(spark, tmp_path):
+    """Segments are packed closely, and what was shuffled for them is gone when they are written."""
+    rows = [(f"n{i}", f"d{i // 3}", f"Title {i}", f"annual leave number {i}") for i in range(30)]
+    nodes = spark.createDataFrame(rows, "node_id string, document_id string, title string, text string")
+    held = lambda: {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().toString())}
+    before = held()
+    store = SearchIndex.open(spark, str(tmp_path / "index")).add(nodes).remove(nodes.where("document_id = 'd1'").select("document_id"))
+    until = time.time() + 20
+    while held() - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert not held() - before
+    files = [f.name for f in (tmp_path / "index" / "segment").rglob("*.parquet")]
+    assert files and all(".zstd." in f for f in files)
+    store.check(nodes.where("document_id <> 'd1'"))
